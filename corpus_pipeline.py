@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colscope.llm import quality
+from colscope.llm import bpe, mixing, quality, simhash, substring_dedup
 from colscope.llm.common import shared_dir
+from colscope.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +16,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return simhash.keep_one(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages that an earlier document has go; a document that loses all stays, with an empty text."""
+    return substring_dedup.remove_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated, up to twice; every document is there once at least."""
+    return mixing.mixed_rows(docs, max_repeats=2.0)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of tokens of each document, and digests of its ids and of what they decode to."""
+    return bpe.token_digests(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("substring dedup", substring_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
 
 #: SQL can't express the SimHash stage; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
