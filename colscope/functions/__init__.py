@@ -1 +1 @@
-
+"""Types and column functions."""

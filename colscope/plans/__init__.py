@@ -1 +1 @@
-
+"""Actions, the facade, and all queries."""

@@ -1 +1 @@
-
+"""Extensions for streams."""
