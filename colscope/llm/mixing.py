@@ -107,10 +107,11 @@ def narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, sources: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Each row once for every block that has it: ``__block`` and ``__order_key`` are added."""
-    found = join_lookup(rows, sources.withColumnRenamed("source", "__source"), "__source", n)
-    last = F.col("until").isNotNull() & (order_key(F.col(key), F.col("blocks"), seed) <= F.col("until"))
-    upto = F.col("blocks") - F.when(last, F.lit(0)).otherwise(F.lit(1))
+    """Each row once for every block that has it. Columns that are added have ``__`` in front."""
+    planned = sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns])
+    found = join_lookup(rows, planned, "__source", n)
+    last = F.col("__until").isNotNull() & (order_key(F.col(key), F.col("__blocks"), seed) <= F.col("__until"))
+    upto = F.col("__blocks") - F.when(last, F.lit(0)).otherwise(F.lit(1))
     numbers = F.when(upto >= 0, F.sequence(F.lit(0).cast("long"), upto)).otherwise(F.array().cast("array<long>"))
     return found.withColumn("__block", F.explode(numbers)).withColumn("__order_key", order_key(F.col(key), F.col("__block"), seed))
 
@@ -125,10 +126,10 @@ def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = narrow(df, key, text, source)
     sources, n = plan(rows, max_repeats, target_entropy, budget, seed)
     out = _blocks(rows.withColumnRenamed("source", "__source"), sources, n, "key", seed)
-    return out.select(F.col("key").alias(key), F.col("__source").alias("source"), F.col("tokens").alias("n_tokens"), "weight", "epochs", F.col("__block").alias("block"), F.col("__order_key").alias("order_key"))
+    return out.select(F.col("key").alias(key), F.col("__source").alias("source"), F.col("tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__epochs").alias("epochs"), F.col("__block").alias("block"), F.col("__order_key").alias("order_key"))
 
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
     """The mixture itself: the rows of ``df``, with its columns, as often as they are in it."""
     sources, n = plan(narrow(df, key, text, source), max_repeats, target_entropy, budget, seed)
-    return _blocks(df.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, n, key, seed).select(*df.columns)
+    return _blocks(df.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, n, key, seed).select(*[F.col(f"`{c}`") for c in df.columns])

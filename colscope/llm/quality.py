@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checkpointed, join_lookup, let, words, written
+from .common import checkpointed, join_lookup, let, words, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: A host is rejected if its shrunk failure rate is above this.
@@ -114,7 +114,5 @@ def keep_good(df: DataFrame, text: str = "text", host: str = "source", max_rate:
     rows = written(judged(df, text, host), "quality")
     bad, n = rejected_hosts(rows, max_rate)
     out = join_lookup(rows, bad, "__host", n).filter(F.col("__rejected").isNull()) if n else rows
-    return out.filter(~F.col("__base_failed")).select(*df.columns)
+    return out.filter(~F.col("__base_failed")).select(*[F.col(f"`{c}`") for c in df.columns])
 
-
-__all__ = ["SPACE_CLASS", "quality_rules", "keep_good", "host_rates", "judged", "repeated_words"]
