@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The sketch's ranks are off by one in ACCURACY of a group's rows at most; the bracket allows for several times that.
-ACCURACY, SLACK = 10_000, 0.0008
+#: A group of under SMALL rows, where single ranks count, is all in the bracket.
+ACCURACY, SLACK, SMALL = 10_000, 0.0008, 10_000
 
 
 def nearest_rank(n: Column, q: float) -> tuple[Column, Column, Column]:
@@ -26,7 +27,7 @@ def linear_rank(n: Column, q: float) -> tuple[Column, Column, Column]:
     """As ``nearest_rank``, with linear interpolation between two rows."""
     exact = (n - 1) * F.lit(q)
     low = F.floor(exact)
-    return low, F.least(low + 1, n - 1), exact - low
+    return low, F.ceil(exact), exact - low
 
 
 RULES = {"nearest": nearest_rank, "linear": linear_rank}
@@ -42,7 +43,9 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], value.alias("x"))
     ends = [p for _, q, _ in wanted for p in (max(0.0, q - SLACK), min(1.0, q + SLACK))]
-    sketched = [F.count("x").alias("n"), F.percentile_approx("x", F.array(*[F.lit(p) for p in ends]), F.lit(ACCURACY)).alias("b")]
+    around = F.percentile_approx("x", F.array(*[F.lit(p) for p in ends]), F.lit(ACCURACY))
+    whole = F.array(*[F.min("x"), F.max("x")] * len(wanted))
+    sketched = [F.count("x").alias("n"), F.when(F.count("x") < SMALL, whole).otherwise(around).alias("b")]
     sketch = rows.groupBy(*keys).agg(*sketched) if keys else rows.agg(*sketched)
 
     def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
