@@ -165,7 +165,7 @@ def _digests(ids: str, text: str) -> tuple[int, str, str]:
     return ids.count(","), hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[str]) -> DataFrame:
+def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """``finish(codec, tokens)`` for the texts of ``rows (key, text)``; equal rows are encoded once and all returned."""
     field = rows.schema["key"].dataType.simpleString()
 
@@ -193,7 +193,7 @@ def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[
                 parts[piece] = Encoded(text, at, np.frombuffer(start, np.uint16).astype(np.int64), np.unpackbits(np.frombuffer(opens, np.uint8), count=len(at)).astype(bool))
         values = finish(c, tree(list(parts.values()), c.encoded).ids.tolist())
         key = t.column("key")[0]
-        return pa.table([pa.array([key.as_py()] * copies, t.schema.field("key").type), *[pa.array([v] * copies) for v in values]], names=names)
+        return pa.table([pa.array([key.as_py()] * copies, t.schema.field("key").type), *[pa.array([v] * copies, t) for v, t in zip(values, types, strict=True)]], names=names)
 
     cut_up = rows.withColumn("h", F.sha2("text", 256)).mapInArrow(cut, f"key {field}, h string, piece int, text string")
     leaves = cut_up.repartition("h", "piece").mapInArrow(encode, f"key {field}, h string, piece int, text string, ids binary, start binary, opens binary")
@@ -218,7 +218,7 @@ def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns:
 
     schema = f"key {kind}, {columns}"
     out = rows.filter(F.char_length("text") <= long).mapInArrow(whole, schema)
-    many = _encoded_long(rows.filter(F.char_length("text") > long), definition, finish, schema, names)
+    many = _encoded_long(rows.filter(F.char_length("text") > long), definition, finish, schema, names, types)
     return out.unionByName(many).withColumnRenamed("key", key)
 
 

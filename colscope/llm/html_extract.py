@@ -35,7 +35,9 @@ SCOPE = frozenset("article aside blockquote body button caption details div fiel
 #: Elements and names that are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 NOT_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu object canvas audio video map datalist".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner banners skip hidden copyright disclaimer form search".split())
+NOT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner banners skip hidden copyright disclaimer form search".split())
+NOT_ENDINGS = ("sidebar", "navbar", "nav", "menu", "footer", "comments", "advert", "masthead", "pageheader", "siteheader")
+NOT_BEGINNINGS = ("comment", "cookie", "advert", "sidebar", "newsletter", "sponsor")
 ARTICLE_NAMES = frozenset("article content entry post story body text main maincontent articlebody prose".split())
 ROOTS = frozenset("html body main article".split())
 MILLION = 1_000_000
@@ -49,13 +51,28 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Node:
-    """An open element: what it is, whether its text counts, its text and link text so far."""
+    """An open element: what it is, whether its text counts and is a link's, and what a share of text in it weighs."""
 
-    __slots__ = ("tag", "path", "depth", "dropped", "chars", "link", "good", "parts")
+    __slots__ = ("tag", "path", "depth", "dropped", "link", "weight")
 
-    def __init__(self, tag: str, path: str, depth: int, dropped: bool, link: bool, good: bool) -> None:
-        self.tag, self.path, self.depth, self.dropped, self.link, self.good = tag, path, depth, dropped, link, good
-        self.chars = 0
+    def __init__(self, tag: str, path: str, depth: int, dropped: bool, link: bool, weight: float) -> None:
+        self.tag, self.path, self.depth, self.dropped, self.link, self.weight = tag, path, depth, dropped, link, weight
+
+
+def _weight(tag: str, a: dict[str, str], names: set[str], depth: int) -> float:
+    """Elements that say they are the article weigh most, whatever their depth, so that of two with the same text the
+    outer one wins; others a little more the deeper they are."""
+    if tag == "article" or a.get("role", "").lower() == "article" or "articlebody" in a.get("itemprop", "").lower():
+        return 2.5
+    if tag == "main" or a.get("role", "").lower() == "main":
+        return 1.6
+    if names & ARTICLE_NAMES and tag not in ROOTS:
+        return 1.5
+    return 1.0 + 0.1 * min(depth, 4)
+
+
+def _unwanted(name: str) -> bool:
+    return name in NOT_NAMES or name.endswith(NOT_ENDINGS) or (name.startswith(NOT_BEGINNINGS) and name != "commentary")
 
 
 def _open(tag: str, attributes: str, parent: Node | None) -> Node:
@@ -70,12 +87,12 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
         label += "!" + re.sub("[0-9]+", "#", a["id"])
     role = a.get("role", "").lower()
     style = a.get("style", "").replace(" ", "").lower()
-    bad = names & NOT_NAMES
+    bad = {n for n in names if _unwanted(n)}
     if bad <= {"header", "banner"} and names & ARTICLE_NAMES:
         bad = set()
     dropped = tag in NOT_TAGS or (tag not in ROOTS and (role in NOT_ROLES or bool(bad))) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
-    good = tag in ("article", "main") or role in ("main", "article") or "articlebody" in a.get("itemprop", "").lower() or bool(names & ARTICLE_NAMES and tag not in ("html", "body"))
-    return Node(tag, f"{parent.path}>{label}" if parent else label, parent.depth + 1 if parent else 0, dropped or bool(parent and parent.dropped), tag == "a" or bool(parent and parent.link), good)
+    depth = parent.depth + 1 if parent else 0
+    return Node(tag, f"{parent.path}>{label}" if parent else label, depth, dropped or bool(parent and parent.dropped), tag == "a" or bool(parent and parent.link), _weight(tag, a, names, depth))
 
 
 def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
@@ -101,7 +118,8 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
     while at < len(html):
         m = TOKEN.search(html, at)
         if m is None:
-            yield "text", stack[-1] if stack else None, unescape(html[at:])
+            rest = html[at:].removesuffix("</")  # of a page cut within an end tag
+            yield "text", stack[-1] if stack else None, unescape(rest)
             break
         if m.start() > at:
             yield "text", stack[-1] if stack else None, unescape(html[at : m.start()])
@@ -144,7 +162,7 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
 
 def scores(html: str) -> dict[str, int]:
     """The page's votes by container path, in millionths: the share of its text outside links that the containers on
-    the path hold, more for elements that say they are the article and a little more the deeper they are."""
+    the path hold, times their weight."""
     chars: dict[str, int] = defaultdict(int)
     weight: dict[str, float] = {}
     whole = 0
@@ -156,9 +174,9 @@ def scores(html: str) -> dict[str, int]:
             inside.pop()
         elif kind == "text" and (node is None or not (node.dropped or node.link)) and (n := len("".join(text.split()))):
             whole += n
-            for path in {x.path: x for x in inside}.values():
-                chars[path.path] += n
-                weight[path.path] = (1.5 if path.good else 1.0) + 0.1 * min(path.depth, 10)
+            for path, x in {x.path: x for x in inside}.items():
+                chars[path] += n
+                weight[path] = x.weight
     return {p: int(MILLION * weight[p] * n / whole) for p, n in chars.items()}
 
 
@@ -194,7 +212,7 @@ def extract(html: str | None, path: str | None) -> str:
     if path is not None and (found := text_on(path)):
         return found
     own = scores(html)
-    return text_on(max(own, key=lambda p: (own[p], p)) if own else None)
+    return text_on(min(own, key=lambda p: (-own[p], p)) if own else None)
 
 
 def with_host(df: DataFrame, url: str) -> DataFrame:

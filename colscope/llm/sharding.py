@@ -74,11 +74,12 @@ def shard_bounded(df: DataFrame, key: str = "doc_id", text: str = "text", n_shar
 
     ``size`` is the UTF-8 length of the text plus 1 and ``text_crc32`` its CRC-32 (null texts count as empty).
     ``law`` is ``rows``: with ``epsilon`` 0 the counts of any two shards differ by one at most; ``grown_shard``
-    is null, as loads depend on all rows. Null keys share a cell, rows that are equal in key, size and checksum
-    are interchangeable, so ties never change the table that results. Extra columns are ignored.
+    is null, as loads depend on all rows. Rows with a null key are placed by their text; rows that are equal in key,
+    size and checksum are interchangeable, so ties never change the table that results. Extra columns are ignored.
     """
     owners = ring_owners(n_shards, vnodes, cells)
-    position = F.xxhash64(F.col(key))
+    # Rows without a key would all have one place, so theirs follows from the text.
+    position = F.when(F.col(key).isNull(), F.xxhash64(F.lit(1), F.col(text))).otherwise(F.xxhash64(F.col(key)))
     cell = F.pmod(position, F.lit(cells)).cast("int")
     found = {r["cell"]: r["count"] for r in df.groupBy(cell.alias("cell")).count().collect()}  # `cells` rows at most
     segments = place([found.get(c, 0) for c in range(cells)], owners, n_shards, epsilon)
