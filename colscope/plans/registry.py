@@ -435,6 +435,12 @@ query(label_sql(FIRST_20), "enc_preview_label")(_encoded("label", "preview"))
 query(ordinal_sql(FIRST_20), "enc_preview_ordinal")(_encoded("ordinal", "preview"))
 
 
+@query(f"SELECT event_id, CAST(kind IS NOT DISTINCT FROM 'click' AS INTEGER) AS kind_click, CAST(kind IS NULL AS INTEGER) AS kind_null FROM {FIRST_20} AS f")
+def enc_preview_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = encode.head(events(spark, sf_dir).select("event_id", "kind"), "event_id")
+    return encode.encode_one_hot(first, "kind", ["click", None])
+
+
 @query('SELECT o_orderkey, CAST(o_orderstatus IS NOT DISTINCT FROM \'F\' AS INTEGER) AS "o_orderstatus_F", CAST(o_orderstatus IS NOT DISTINCT FROM \'O\' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus IS NULL AS INTEGER) AS o_orderstatus_null FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> \'P\' THEN o_orderstatus END AS o_orderstatus FROM orders) AS o')
 def enc_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"))
@@ -509,6 +515,20 @@ def std_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "standardize", order_key="event_id", scope="preview").withColumn("v_std", F.round("v_std", 6))
 
 
+PREVIEW_EQUAL = f"SELECT list_transform(range(1, 4), lambda i: lo + i * ((hi - lo) / 4)) AS breaks FROM (SELECT min(v) AS lo, max(v) AS hi FROM {PREVIEW_STD} AS e) AS s"
+PREVIEW_QUANTILE = f"SELECT list_sort(list_distinct(quantile_cont(v, [0.25, 0.5, 0.75]))) AS breaks FROM {PREVIEW_STD} AS e"
+
+
+@query(bins_sql("event_id", "v", PREVIEW_STD, PREVIEW_EQUAL))
+def bin_preview_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds_rounded(binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "equal_width", 4, "event_id", "preview"), "v")
+
+
+@query(bins_sql("event_id", "v", PREVIEW_STD, PREVIEW_QUANTILE))
+def bin_preview_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds_rounded(binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "quantile", 4, "event_id", "preview"), "v")
+
+
 # Cleaning
 
 QUANTITY = "(SELECT l_orderkey, l_linenumber, nullif(l_quantity, 50.0) AS q FROM lineitem)"

@@ -2,8 +2,9 @@
 
 import pytest
 
-from colscope.plans.actions import CleaningAction, EngineeringAction, Insight, next_step
+from colscope.plans.actions import CleaningAction, EngineeringAction, Insight, Worker, next_step
 from colscope.plans.api import Dataset, carry_out
+from colscope.plans.session import Session
 from colscope.sources.files import extract_columns, scan, sink
 from colscope.streaming.running import running_numeric, windowed_frequencies
 
@@ -78,6 +79,21 @@ def test_facade(spark, csv):
     assert data.encode("s", "label", "i", "preview", 2).count() == 2 and data.bin("i", "quantile", 2).count() == 3
 
 
+def test_session(spark, csv, tmp_path):
+    s = Session(spark, csv, "csv")
+    assert s.column_names == ["i", "d", "t", "s"] and s.apply() is None
+    assert s.run("profile").count() == 4 and s.run("chart", "s")[0] == "count" and s.run("encode", "s", "ordinal").count() == 3
+    assert s.worker("bin") is Worker.FEATURES and s.worker("") is Worker.FINISH
+    with pytest.raises(KeyError):
+        s.run("polish")
+    s.propose(Insight("mean", 2.0, 3))
+    told = s.propose(CleaningAction(csv, "csv", str(tmp_path / "done"), "gaps", "s", action="drop_rows"))
+    assert (told.rows_affected, len(s.insights)) == (1, 1)
+    assert s.apply(lambda a: False) is None and s.pending is told
+    assert s.apply(lambda a: True).count() == 2 and s.pending is None
+    assert s.completed_steps == ["profile", "chart", "encode", "drop_rows"]
+
+
 def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.limit(50).write.parquet(str(tmp_path / "in"))
