@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Tie the neighbours of each node (large: the larger ones; else the smaller ones and itself) to the smallest."""
     swapped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = edges.unionByName(swapped) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # As a table of its own: a hub's rows can be split only if nothing but the join needs them together.
+    least = checkpointed(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     tied = near.join(least, "u")
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
