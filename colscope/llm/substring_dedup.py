@@ -26,6 +26,8 @@ from .vector_text import U64, Words, mixed, read_words
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
 #: Bytes of text in a block, and hashes in a range, on average.
 BLOCK_BYTES, RANGE_HASHES = 4 << 20, 1 << 20
+#: Bytes that are hashed at once.
+RUN_BYTES = 1 << 18
 LAST = np.iinfo(np.int64).max
 ODD = U64(0x9E3779B97F4A7C15)
 
@@ -42,20 +44,24 @@ class Block(NamedTuple):
 
 
 def _word_hashes(w: Words) -> np.ndarray:
-    """64-bit hashes of the words: differences of one running sum over the block's bytes, brought to one place."""
-    if not len(w.start):
-        return np.empty(0, U64)
-    n = int(w.end[-1])
+    """64-bit hashes of the words: differences of a running sum over the bytes, brought to one place. The sum runs
+    over ``RUN_BYTES`` at a time, or one word if it is longer, so that little more than the words takes memory."""
+    out = np.empty(len(w.start), U64)
+    byte = mixed(np.arange(256, dtype=U64), 77)
+    begin = 0
     with np.errstate(over="ignore"):
-        scale = np.full(n, ODD)
-        scale[0] = 1
-        scale = np.cumprod(scale)
-        back = np.full(n, U64(pow(int(ODD), -1, 1 << 64)))
-        back[0] = 1
-        back = np.cumprod(back)
-        byte = mixed(np.arange(256, dtype=U64), 77)
-        total = np.concatenate([[U64(0)], np.cumsum(byte[w.buffer[:n]] * scale)])
-        return mixed((total[w.end] - total[w.start]) * back[w.start] + (w.end - w.start).astype(U64), 5)
+        while begin < len(out):
+            base = int(w.start[begin])
+            end = max(int(np.searchsorted(w.end, base + RUN_BYTES, "right")), begin + 1)
+            n = int(w.end[end - 1]) - base
+            scale, back = np.full(n, ODD), np.full(n, U64(pow(int(ODD), -1, 1 << 64)))
+            scale[0] = back[0] = 1
+            total = np.zeros(n + 1, U64)
+            np.cumsum(byte[w.buffer[base : base + n]] * np.cumprod(scale, out=scale), out=total[1:])
+            a, z = w.start[begin:end] - base, w.end[begin:end] - base
+            out[begin:end] = mixed((total[z] - total[a]) * np.cumprod(back, out=back)[a] + (z - a).astype(U64), 5)
+            begin = end
+    return out
 
 
 def read_block(keys: list, texts: list[str | None]) -> Block:
