@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .vector_text import slices
 
 #: Characters above which a text is cut, and of a piece at most.
@@ -203,6 +204,7 @@ def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[
 def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns: str, long: int) -> DataFrame:
     """``finish(codec, ids)`` or, for what is not long, ``short(codec, text)`` of every row. The tokenizer's file, of
     constant size, is read by the driver and broadcast."""
+    small_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[key].dataType.simpleString()

@@ -14,6 +14,15 @@ SPACE_CLASS = "[ \\t-\\r]+"
 #: Tables up to this many narrow rows may be broadcast; beyond it joins are salted.
 BROADCAST_ROWS = 10_000
 
+#: Arrow batches hold whole texts, in the engine and in Python, so they are limited by bytes.
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(8 << 20)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch from its default; another limit that was set stays."""
+    if str(spark.conf.get(BATCH_LIMIT)).rstrip("b") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
 
 def words(text: Column) -> Column:
     """The words of a text as an array; none for null."""
@@ -46,13 +55,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """A wide table written once as Parquet in the shared folder and read back."""
+    """A wide table written once as Parquet in the shared folder and read back. It stays until ``drop_written``."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, *more: str) -> None:
+    """Delete the tables that ``written`` made in this process, and more paths; nothing may read them any longer."""
+    for path in [*_written, *more]:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+    _written.clear()
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, key: str, rows: int, salts: int = 32) -> DataFrame:
     """Left join of a large, possibly skewed table with a lookup table unique by ``key``.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_lookup
+from .common import checkpointed, join_lookup, small_batches
 from .vector_text import slices
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
@@ -41,6 +41,8 @@ NOT_BEGINNINGS = ("comment", "cookie", "advert", "sidebar", "newsletter", "spons
 ARTICLE_NAMES = frozenset("article content entry post story body text main maincontent articlebody prose".split())
 ROOTS = frozenset("html body main article".split())
 MILLION = 1_000_000
+#: Elements open at once, and levels that a path tells apart, at most; what lies deeper counts as on the last.
+MOST_OPEN, MOST_LEVELS = 512, 48
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -92,7 +94,8 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
         bad = set()
     dropped = tag in NOT_TAGS or (tag not in ROOTS and (role in NOT_ROLES or bool(bad))) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
     depth = parent.depth + 1 if parent else 0
-    return Node(tag, f"{parent.path}>{label}" if parent else label, depth, dropped or bool(parent and parent.dropped), tag == "a" or bool(parent and parent.link), _weight(tag, a, names, depth))
+    path = label if parent is None else f"{parent.path}>{label}" if depth < MOST_LEVELS else parent.path
+    return Node(tag, path, depth, dropped or bool(parent and parent.dropped), tag == "a" or bool(parent and parent.link), _weight(tag, a, names, depth))
 
 
 def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
@@ -155,6 +158,9 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
+        if len(stack) >= MOST_OPEN:
+            yield "break", None, ""
+            continue
         stack.append(node)
         yield "open", node, ""
     yield from popped(0)
@@ -169,7 +175,8 @@ def scores(html: str) -> dict[str, int]:
     inside: list[Node] = []
     for kind, node, text in walk(html):
         if kind == "open" and node.tag not in INLINE and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "pre", "blockquote"):
-            inside.append(node)
+            if node.depth < MOST_LEVELS:
+                inside.append(node)
         elif kind == "close" and inside and inside[-1] is node:
             inside.pop()
         elif kind == "text" and (node is None or not (node.dropped or node.link)) and (n := len("".join(text.split()))):
@@ -239,6 +246,7 @@ def host_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` of every page, from the whole page. Repeated rows are extracted each for itself;
     extra columns are ignored."""
+    small_batches(df.sparkSession)
     winners = checkpointed(host_paths(df, url, html))
     rows = with_host(df.select(key, url, html), url)
     found = join_lookup(rows, winners, "__host", winners.count()).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), "__path")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, small_batches
 from .components import components
 from .vector_text import U64, mixed, read_words, slices, xxh64
 
@@ -65,6 +65,8 @@ def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
 def fingerprint_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, fp`` of every row; texts are read whole, in slices of bounded size, and never shuffled."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist()).view(np.int64))], names=["key", "fp"])

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .vector_text import U64, Words, mixed, read_words
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
@@ -221,6 +222,7 @@ def dedup_substrings(df: DataFrame, finish: Callable[[pa.Table, list[tuple[int,
     Keys are integers. Null keys come after all others, and equal keys are one document's: neither removes the
     other's words. Null texts have no words. Windows are judged on the input.
     """
+    small_batches(df.sparkSession)
     size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_blocks = max(int(size // BLOCK_BYTES) + 1, 2 * df.sparkSession.sparkContext.defaultParallelism)
     n_ranges = max(8, int(size // (RANGE_HASHES * 12)) + 1)  # of twelve bytes of text about one is sent

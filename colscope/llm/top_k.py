@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SCALE = 64.0
 LEVELS = (4, 16)
 #: Most queries and candidates in a block, candidates that are bounded at once, and share of survivors from which
@@ -106,6 +108,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     counts as if zeros followed. A row's own are all rows with its key; a query that is repeated exactly counts
     once, repeated candidates count each. Extra columns are ignored.
     """
+    small_batches(df.sparkSession)
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     rows = df.filter(F.col(key).isNotNull() & v.isNotNull()).filter(finite).select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"))

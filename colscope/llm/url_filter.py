@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed values of the query's contract.
 PREFIX_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -119,6 +121,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     URLs without ``://`` have an empty host and path; patterns still see the latter. Repeated rows are judged each
     for itself, other columns are ignored, an empty table gives no rows.
     """
+    small_batches(df.sparkSession)
     parsed = [parse_pattern(p) for p in patterns]
     counts = token_counts(df, url_col, sorted({t for p in parsed for t in p.tokens}))
     index, rest = index_patterns(parsed, counts)
