@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from colscope.llm import bpe, mixing, quality, simhash, substring_dedup
-from colscope.llm.common import shared_dir
+from colscope.llm.common import drop_written, shared_dir
 from colscope.llm.queries import tokenizer_path
 
 
@@ -49,10 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`, each written as Parquet and read again; only the last one's table stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{i}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        drop_written(spark, *before)
+        docs, before = spark.read.parquet(path), [path]
     return docs

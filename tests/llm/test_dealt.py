@@ -140,6 +140,11 @@ def test_html_templates():
         assert best(frame % inner) == want
 
 
+def test_deep_html():
+    deep = "<div>" * 20_000 + "<p>core</p>" + "<b>" * 20_000 + "x" + "</section>" * 20_000
+    assert html_extract.extract(deep, None) == "core x"
+
+
 def test_html_of_the_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
