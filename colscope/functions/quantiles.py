@@ -33,7 +33,9 @@ def linear_rank(n: Column, q: float) -> tuple[Column, Column, Column]:
 RULES = {"nearest": nearest_rank, "linear": linear_rank}
 
 
-def quantiles(df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str]], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str]], by: Sequence[str] = ()
+) -> DataFrame:
     """One row a group with ``name`` for each ``(name, probability, rule)``; without ``by`` one row in all.
 
     Nulls take no part; a group without other values, and an empty table, have nulls. Values come as doubles; null
@@ -60,8 +62,18 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str
         return left.join(renamed, whole, "left").drop(*[f"{k}r" for k in on])
 
     seen = met(rows.filter("x IS NOT NULL"), sketch, keys)
-    slots = F.array(*[F.when(F.col("x") <= F.col("b")[2 * i + 1], F.struct(F.lit(i).alias("i"), (F.col("x") < F.col("b")[2 * i]).alias("below"))) for i in range(len(wanted))])
-    placed = seen.select(*keys, "x", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s")).select(*keys, "s.i", F.when(~F.col("s.below"), F.col("x")).alias("x"))
+    slots = F.array(
+        *[
+            F.when(
+                F.col("x") <= F.col("b")[2 * i + 1],
+                F.struct(F.lit(i).alias("i"), (F.col("x") < F.col("b")[2 * i]).alias("below")),
+            )
+            for i in range(len(wanted))
+        ]
+    )
+    placed = seen.select(
+        *keys, "x", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s")
+    ).select(*keys, "s.i", F.when(~F.col("s.below"), F.col("x")).alias("x"))
     counted = placed.groupBy(*keys, "i", "x").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
     ranked = met(counted.withColumn("upto", upto), sketch.select(*keys, "n"), keys).filter("x IS NOT NULL")
@@ -70,7 +82,10 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str
         low, high, _ = RULES[rule](F.col("n"), q)
         mine = F.col("i") == i
         holds = lambda rank: mine & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        parts += [F.max(F.when(holds(low), F.col("x"))).alias(f"l{i}"), F.max(F.when(holds(high), F.col("x"))).alias(f"h{i}")]
+        parts += [
+            F.max(F.when(holds(low), F.col("x"))).alias(f"l{i}"),
+            F.max(F.when(holds(high), F.col("x"))).alias(f"h{i}"),
+        ]
     found = ranked.groupBy(*keys).agg(*parts) if keys else ranked.agg(*parts)
     out = met(sketch, found, keys) if keys else sketch.crossJoin(F.broadcast(found))
     results = []
@@ -78,6 +93,8 @@ def quantiles(df: DataFrame, column: str, wanted: Sequence[tuple[str, float, str
         weight = RULES[rule](F.col("n"), q)[2]
         low, high = F.col(f"l{i}"), F.col(f"h{i}")
         exact = F.when(low == high, low).otherwise(low + (high - low) * weight)
-        checked = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(low.isNull() | high.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(exact)
+        checked = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(
+            low.isNull() | high.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        ).otherwise(exact)
         results.append(checked.alias(name))
     return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *results)

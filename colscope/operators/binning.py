@@ -27,7 +27,9 @@ def standardize(df: DataFrame, column: str) -> DataFrame:
     require_numeric(df, column)
     x = F.col(column).cast("double")
     one = df.agg(F.mean(x).alias("__mean"), F.stddev_samp(x).alias("__std"))
-    return df.crossJoin(F.broadcast(one)).withColumn(f"{column}_std", F.try_divide(x - F.col("__mean"), F.col("__std"))).drop("__mean", "__std")
+    return df.crossJoin(F.broadcast(one)).withColumn(
+        f"{column}_std", F.try_divide(x - F.col("__mean"), F.col("__std"))
+    ).drop("__mean", "__std")
 
 
 def spread(df: DataFrame, column: str) -> float:
@@ -48,7 +50,12 @@ def _binned(df: DataFrame, column: str, breaks: DataFrame) -> DataFrame:
     """Adds ``column_binned`` (from 0), ``column_lower`` and ``column_upper`` (null: unbounded); ``breaks`` is one row."""
     x = F.col(column).cast("double")
     out = df.crossJoin(F.broadcast(breaks)).withColumn("__bin", _index(x, F.col("__breaks")))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__bin").alias(f"{column}_binned"), F.get("__breaks", F.col("__bin") - 1).alias(f"{column}_lower"), F.get("__breaks", F.col("__bin")).alias(f"{column}_upper"))
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("__bin").alias(f"{column}_binned"),
+        F.get("__breaks", F.col("__bin") - 1).alias(f"{column}_lower"),
+        F.get("__breaks", F.col("__bin")).alias(f"{column}_upper"),
+    )
 
 
 def _check(n_bin: int) -> None:
@@ -62,7 +69,9 @@ def equal_width_breaks(df: DataFrame, column: str, n_bin: int = 10) -> DataFrame
     x = F.col(require_numeric(df, column)).cast("double")
     step = (F.col("high") - F.col("low")) / F.lit(n_bin)
     breaks = F.array(*[F.col("low") + i * step for i in range(1, n_bin)]).cast("array<double>")
-    return df.agg(F.min(x).alias("low"), F.max(x).alias("high")).select(F.when(F.col("high") > F.col("low"), breaks).otherwise(F.array().cast("array<double>")).alias("__breaks"))
+    return df.agg(F.min(x).alias("low"), F.max(x).alias("high")).select(
+        F.when(F.col("high") > F.col("low"), breaks).otherwise(F.array().cast("array<double>")).alias("__breaks")
+    )
 
 
 def quantile_breaks(df: DataFrame, column: str, n_bin: int = 10) -> DataFrame:
@@ -87,11 +96,25 @@ def bin_quantile(df: DataFrame, column: str, n_bin: int = 10) -> DataFrame:
 def bin_label(df: DataFrame, column: str) -> DataFrame:
     """Adds ``column_label``, the interval in words, to a binned table."""
     low, high = F.col(f"{column}_lower"), F.col(f"{column}_upper")
-    text = F.concat(F.lit("("), F.coalesce(low.cast("string"), F.lit("-inf")), F.lit(", "), F.coalesce(high.cast("string"), F.lit("inf")), F.lit("]"))
+    text = F.concat(
+        F.lit("("),
+        F.coalesce(low.cast("string"), F.lit("-inf")),
+        F.lit(", "),
+        F.coalesce(high.cast("string"), F.lit("inf")),
+        F.lit("]"),
+    )
     return df.withColumn(f"{column}_label", F.when(F.col(f"{column}_binned").isNotNull(), text))
 
 
-def transform(df: DataFrame, column: str, kind: Binning | str, n_bin: int = 10, order_key: str | None = None, scope: str = "full", length: int = 20) -> DataFrame:
+def transform(
+    df: DataFrame,
+    column: str,
+    kind: Binning | str,
+    n_bin: int = 10,
+    order_key: str | None = None,
+    scope: str = "full",
+    length: int = 20,
+) -> DataFrame:
     """The table with the column standardised or binned; a preview describes its first rows by ``order_key`` only."""
     kind = Binning(kind)
     if scope not in ("full", "preview"):

@@ -25,9 +25,13 @@ def chart_kind(df: DataFrame, columns: Sequence[str]) -> str:
     """``count, hist, scatter, box, scatter_hue`` or ``bubble``; ``ValueError`` if no chart fits the columns."""
     numbers = [c for c in columns if is_numeric(df, c)]
     categories = [c for c in columns if is_categorical(df, c)]
-    kinds = {(0, 1): "count", (1, 0): "hist", (2, 0): "scatter", (1, 1): "box", (2, 1): "scatter_hue", (3, 0): "bubble"}
+    kinds = {
+        (0, 1): "count", (1, 0): "hist", (2, 0): "scatter", (1, 1): "box", (2, 1): "scatter_hue", (3, 0): "bubble"
+    }
     if len(numbers) + len(categories) != len(columns) or (len(numbers), len(categories)) not in kinds:
-        raise ValueError(f"no chart for {', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in columns) or 'no columns'}")
+        raise ValueError(
+            f"no chart for {', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in columns) or 'no columns'}"
+        )
     return kinds[len(numbers), len(categories)]
 
 
@@ -54,7 +58,10 @@ def histogram_bins(df: DataFrame, column: str) -> DataFrame:
     ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
     found = ends.crossJoin(F.broadcast(quantiles(rows, column, [("q1", 0.25, "linear"), ("q3", 0.75, "linear")])))
     whole = not isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
-    sized = found.filter("n > 0").withColumn("w", _bin_width(whole)).withColumn("bins", F.when(F.col("w") > 0, F.ceil((F.col("high") - F.col("low")) / F.col("w"))).otherwise(F.lit(1)).cast("long"))
+    sized = found.filter("n > 0").withColumn("w", _bin_width(whole)).withColumn(
+        "bins",
+        F.when(F.col("w") > 0, F.ceil((F.col("high") - F.col("low")) / F.col("w"))).otherwise(F.lit(1)).cast("long"),
+    )
     return sized.select("n", "low", "high", "bins", ((F.col("high") - F.col("low")) / F.col("bins")).alias("width"))
 
 
@@ -62,10 +69,19 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     """``bin, lower, upper, count`` for all bins, empty ones too; the highest value is in the last."""
     bins = histogram_bins(df, column)
     x = F.col(column).cast("double")
-    at = F.when(F.col("width") > 0, F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.col("bins") - 1)).otherwise(F.lit(0)).cast("long")
-    counts = df.select(x.alias("x")).dropna().crossJoin(F.broadcast(bins)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    at = F.when(
+        F.col("width") > 0, F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")), F.col("bins") - 1)
+    ).otherwise(F.lit(0)).cast("long")
+    counts = df.select(x.alias("x")).dropna().crossJoin(F.broadcast(bins)).groupBy(at.alias("bin")).agg(
+        F.count(F.lit(1)).alias("count")
+    )
     every = bins.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), "low", "width")
-    return every.join(counts, "bin", "left").select("bin", (F.col("low") + F.col("bin") * F.col("width")).alias("lower"), (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
+    return every.join(counts, "bin", "left").select(
+        "bin",
+        (F.col("low") + F.col("bin") * F.col("width")).alias("lower"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
+        F.coalesce("count", F.lit(0)).alias("count"),
+    )
 
 
 def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048) -> DataFrame:
@@ -76,14 +92,28 @@ def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048) ->
     """
     require_numeric(df, column)
     rows = df.select(F.col(column).cast("double").alias("v")).dropna()
-    one = rows.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s")).filter("s > 0").withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
+    one = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s")
+    ).filter("s > 0").withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2)))
     wide = (F.col("high") - F.col("low")) / F.lit(cells)
     cell = F.least(F.floor((F.col("v") - F.col("low")) / wide), F.lit(cells - 1))
-    binned = rows.crossJoin(F.broadcast(one)).groupBy("n", "low", "high", "h", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    binned = rows.crossJoin(F.broadcast(one)).groupBy(
+        "n", "low", "high", "h", cell.alias("cell")
+    ).agg(F.count(F.lit(1)).alias("c"))
     start, length = F.col("low") - 3 * F.col("h"), F.col("high") - F.col("low") + 6 * F.col("h")
-    grid = binned.select("n", "h", "c", (F.col("low") + (F.col("cell") + 0.5) * wide).alias("centre"), start.alias("start"), length.alias("length"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    grid = binned.select(
+        "n",
+        "h",
+        "c",
+        (F.col("low") + (F.col("cell") + 0.5) * wide).alias("centre"),
+        start.alias("start"),
+        length.alias("length"),
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"),
+    )
     x = F.col("start") + F.col("length") * F.col("i") / F.lit(points - 1)
-    kernel = F.col("c") * F.exp(-F.pow((x - F.col("centre")) / F.col("h"), F.lit(2)) / 2) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793)))
+    kernel = F.col("c") * F.exp(-F.pow((x - F.col("centre")) / F.col("h"), F.lit(2)) / 2) / (
+        F.col("n") * F.col("h") * F.sqrt(F.lit(2 * 3.141592653589793))
+    )
     return grid.groupBy("i").agg(F.max(x).alias("x"), F.sum(kernel).alias("density")).drop("i")
 
 
@@ -98,12 +128,21 @@ def boxes(df: DataFrame, category: str, number: str) -> DataFrame:
     outermost values within 1.5 interquartile ranges of the box, and fliers count what lies beyond."""
     require_categorical(df, category)
     require_numeric(df, number)
-    rows = _complete(df, [category, number]).select(F.col(category).alias("category"), F.col(number).cast("double").alias("x"))
-    box = quantiles(rows, "x", [("q1", 0.25, "linear"), ("median", 0.5, "linear"), ("q3", 0.75, "linear")], ["category"])
+    rows = _complete(df, [category, number]).select(
+        F.col(category).alias("category"), F.col(number).cast("double").alias("x")
+    )
+    box = quantiles(
+        rows, "x", [("q1", 0.25, "linear"), ("median", 0.5, "linear"), ("q3", 0.75, "linear")], ["category"]
+    )
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= F.col("q1") - spread) & (F.col("x") <= F.col("q3") + spread)
     seen = rows.join(box, "category")
-    return seen.groupBy("category", "q1", "median", "q3").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("x"))).alias("whisker_low"), F.max(F.when(inside, F.col("x"))).alias("whisker_high"), F.count_if(~inside).alias("fliers"))
+    return seen.groupBy("category", "q1", "median", "q3").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("fliers"),
+    )
 
 
 def chart_data(df: DataFrame, columns: Sequence[str], fraction: float | None = None) -> tuple[str, DataFrame]:

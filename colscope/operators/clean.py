@@ -61,12 +61,20 @@ def cast(df: DataFrame, column: str, target_dtype: str, strict: bool = True) ->
     return df.withColumn(column, c.cast(kind) if strict else c.try_cast(kind))
 
 
-def clean(df: DataFrame, column: str, action: Cleaning | str, target_dtype: str | None = None, strict: bool = True) -> DataFrame:
+def clean(
+    df: DataFrame, column: str, action: Cleaning | str, target_dtype: str | None = None, strict: bool = True
+) -> DataFrame:
     """The table after the action."""
     action = Cleaning(action)
     if action is Cleaning.CAST_DTYPE:
         if not target_dtype:
             raise ValueError("cast_dtype needs target_dtype")
         return cast(df, column, target_dtype, strict)
-    run = {Cleaning.DROP_ROWS: drop_rows, Cleaning.IMPUTE_MEDIAN: impute_median, Cleaning.IMPUTE_MEAN: impute_mean, Cleaning.IMPUTE_MODE: impute_mode, Cleaning.DROP_COLUMN: drop_column}
+    run = {
+        Cleaning.DROP_ROWS: drop_rows,
+        Cleaning.IMPUTE_MEDIAN: impute_median,
+        Cleaning.IMPUTE_MEAN: impute_mean,
+        Cleaning.IMPUTE_MODE: impute_mode,
+        Cleaning.DROP_COLUMN: drop_column,
+    }
     return run[action](df, column)

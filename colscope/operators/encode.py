@@ -34,7 +34,9 @@ def head(df: DataFrame, order_key: str, length: int = 20) -> DataFrame:
 def _looked_up(df: DataFrame, column: str, codes: DataFrame, result: Column) -> DataFrame:
     """``df`` with the code of each value; null matches null. Spark broadcasts the codes if they are small."""
     renamed = codes.withColumnRenamed("value", "__value")
-    return df.join(renamed, df[column].eqNullSafe(renamed["__value"]), "left").withColumn(f"{column}_encoded", result).drop(*renamed.columns)
+    return df.join(
+        renamed, df[column].eqNullSafe(renamed["__value"]), "left"
+    ).withColumn(f"{column}_encoded", result).drop(*renamed.columns)
 
 
 def encode_frequency(df: DataFrame, column: str) -> DataFrame:
@@ -54,7 +56,9 @@ def encode_label(df: DataFrame, column: str, order_key: str) -> DataFrame:
     """Codes from 0 in order of first appearance by ``order_key``; null stays null."""
     require_categorical(df, column)
     require_column(df, order_key)
-    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order_key).alias("__first"))
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.min(order_key).alias("__first")
+    )
     return _looked_up(df, column, _numbered(first, "__first"), F.col("__code"))
 
 
@@ -77,11 +81,21 @@ def encode_one_hot(df: DataFrame, column: str, values: list[str | None] | None =
         if len(values) > most:
             raise TooManyValues(f"{column!r} has more than {most} values")
     ordered = sorted((v for v in values if v is not None)) + [None] * (None in values)
-    hot = [F.col(column).eqNullSafe(F.lit(v)).cast("int").alias(f"{column}_{'null' if v is None else v}") for v in ordered]
+    hot = [
+        F.col(column).eqNullSafe(F.lit(v)).cast("int").alias(f"{column}_{'null' if v is None else v}")
+        for v in ordered
+    ]
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != column], *hot)
 
 
-def encode(df: DataFrame, column: str, kind: Encoding | str, order_key: str | None = None, scope: str = "full", length: int = 20) -> DataFrame:
+def encode(
+    df: DataFrame,
+    column: str,
+    kind: Encoding | str,
+    order_key: str | None = None,
+    scope: str = "full",
+    length: int = 20,
+) -> DataFrame:
     """The table with the column encoded; ``scope`` is ``full`` or ``preview``."""
     kind = Encoding(kind)
     if scope not in ("full", "preview"):
@@ -91,4 +105,6 @@ def encode(df: DataFrame, column: str, kind: Encoding | str, order_key: str | No
     rows = head(df, order_key, length) if scope == "preview" else df
     if kind is Encoding.LABEL:
         return encode_label(rows, column, order_key)
-    return {Encoding.ORDINAL: encode_ordinal, Encoding.FREQUENCY: encode_frequency, Encoding.ONE_HOT: encode_one_hot}[kind](rows, column)
+    return {
+        Encoding.ORDINAL: encode_ordinal, Encoding.FREQUENCY: encode_frequency, Encoding.ONE_HOT: encode_one_hot
+    }[kind](rows, column)

@@ -23,7 +23,9 @@ def profile_wide(df: DataFrame, approximate: bool = False) -> DataFrame:
     columns = [F.count(F.lit(1)).alias("n_rows")]
     for name, kind in df.dtypes:
         columns.append(F.count_if(F.col(f"`{name}`").isNull()).alias(f"{name}_nulls"))
-        columns.append((F.lit(None).cast("long") if "map<" in kind else _distinct(name, approximate)).alias(f"{name}_nunique"))
+        columns.append(
+            (F.lit(None).cast("long") if "map<" in kind else _distinct(name, approximate)).alias(f"{name}_nunique")
+        )
     return df.agg(*columns)
 
 

@@ -16,7 +16,10 @@ def table(df: DataFrame, rows: int = 20, empty: str = "No rows.") -> str:
     found = df.limit(rows).collect()
     if not found:
         return empty
-    cells = [df.columns, *[["null" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in found]]
+    cells = [
+        df.columns,
+        *[["null" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v) for v in r] for r in found],
+    ]
     widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in cells)
 

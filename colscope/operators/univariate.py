@@ -14,7 +14,9 @@ SYMMETRIC = 0.5
 
 def skew_class(skewness: Column) -> Column:
     """In words; null and NaN are undetermined, and exactly the limit counts as skewed."""
-    return F.when(skewness.isNull() | F.isnan(skewness), "undetermined").when(F.abs(skewness) < SYMMETRIC, "approximately symmetric").when(skewness > 0, "right-skewed").otherwise("left-skewed")
+    return F.when(skewness.isNull() | F.isnan(skewness), "undetermined").when(
+        F.abs(skewness) < SYMMETRIC, "approximately symmetric"
+    ).when(skewness > 0, "right-skewed").otherwise("left-skewed")
 
 
 def moments(df: DataFrame, column: str) -> DataFrame:
@@ -22,30 +24,51 @@ def moments(df: DataFrame, column: str) -> DataFrame:
     sample's, skewness is the population's; all are null where undefined."""
     c = F.col(require_numeric(df, column))
     x = c.cast("double")
-    one = df.agg(F.count(c).alias("count"), F.count_if(c.isNull()).alias("null_count"), F.mean(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("std"), F.skewness(x).alias("skewness"))
+    one = df.agg(
+        F.count(c).alias("count"),
+        F.count_if(c.isNull()).alias("null_count"),
+        F.mean(x).alias("mean"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.var_samp(x).alias("variance"),
+        F.stddev_samp(x).alias("std"),
+        F.skewness(x).alias("skewness"),
+    )
     return one.withColumn("range", F.col("max") - F.col("min"))
 
 
 def quartiles(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
     """One row: ``q1, median, q3, iqr, lower_bound, upper_bound``. The median always interpolates."""
     require_numeric(df, column)
-    found = quantiles(df, column, [("q1", 0.25, interpolation), ("median", 0.5, "linear"), ("q3", 0.75, interpolation)])
+    found = quantiles(
+        df, column, [("q1", 0.25, interpolation), ("median", 0.5, "linear"), ("q3", 0.75, interpolation)]
+    )
     spread = F.col("q3") - F.col("q1")
-    return found.withColumns({"iqr": spread, "lower_bound": F.col("q1") - 1.5 * spread, "upper_bound": F.col("q3") + 1.5 * spread})
+    return found.withColumns(
+        {"iqr": spread, "lower_bound": F.col("q1") - 1.5 * spread, "upper_bound": F.col("q3") + 1.5 * spread}
+    )
 
 
 def outliers(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
     """The rows strictly outside the bounds."""
-    bounds = quartiles(df, column, interpolation).select(F.col("lower_bound").alias("__low"), F.col("upper_bound").alias("__high"))
+    bounds = quartiles(df, column, interpolation).select(
+        F.col("lower_bound").alias("__low"), F.col("upper_bound").alias("__high")
+    )
     x = F.col(column).cast("double")
-    return df.crossJoin(F.broadcast(bounds)).filter((x < F.col("__low")) | (x > F.col("__high"))).drop("__low", "__high")
+    return df.crossJoin(F.broadcast(bounds)).filter(
+        (x < F.col("__low")) | (x > F.col("__high"))
+    ).drop("__low", "__high")
 
 
 def univariate_numeric(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
     """One row: all of ``moments`` and ``quartiles``, ``outlier_count`` and ``skew_class``."""
     bounds = quartiles(df, column, interpolation)
     x = F.col(column).cast("double")
-    outside = df.select(x.alias("__x")).crossJoin(F.broadcast(bounds)).agg(F.count_if((F.col("__x") < F.col("lower_bound")) | (F.col("__x") > F.col("upper_bound"))).alias("outlier_count"))
+    outside = df.select(x.alias("__x")).crossJoin(F.broadcast(bounds)).agg(
+        F.count_if(
+            (F.col("__x") < F.col("lower_bound")) | (F.col("__x") > F.col("upper_bound"))
+        ).alias("outlier_count")
+    )
     whole = moments(df, column).crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(outside))
     return whole.withColumn("skew_class", skew_class(F.col("skewness")))
 
@@ -56,7 +79,9 @@ def frequency_table(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("Column_value")).agg(F.count(F.lit(1)).alias("Value_count"))
     total = df.agg(F.count(F.lit(1)).alias("__n"))
     share = F.col("Value_count") / F.col("__n")
-    return counts.crossJoin(F.broadcast(total)).select("Column_value", "Value_count", share.alias("Frequency"), (share * 100).alias("Percentage"))
+    return counts.crossJoin(F.broadcast(total)).select(
+        "Column_value", "Value_count", share.alias("Frequency"), (share * 100).alias("Percentage")
+    )
 
 
 def sorted_frequency_table(df: DataFrame, column: str) -> DataFrame:
@@ -75,7 +100,9 @@ def frequency_missing(df: DataFrame, column: str) -> DataFrame:
 def modes(df: DataFrame, column: str) -> DataFrame:
     """``value, count`` of every most frequent value, null aside. Counts are compared, values never gathered."""
     require_categorical(df, column)
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("count")
+    )
     most = counts.agg(F.max("count").alias("__most"))
     return counts.crossJoin(F.broadcast(most)).filter(F.col("count") == F.col("__most")).drop("__most")
 
@@ -92,5 +119,10 @@ def univariate_categorical(df: DataFrame, column: str, most_modes: int = 1000) -
     listed = found.orderBy("value").limit(most_modes).agg(F.sort_array(F.collect_list("value")).alias("modes"))
     number = found.agg(F.count(F.lit(1)).alias("n_modes"))
     valid = F.col("v").isNotNull()
-    one = counts.agg(F.count("v").alias("n_unique"), F.coalesce(F.sum(F.when(valid, F.col("n"))), F.lit(0)).alias("valid_count"), F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("null_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"))
+    one = counts.agg(
+        F.count("v").alias("n_unique"),
+        F.coalesce(F.sum(F.when(valid, F.col("n"))), F.lit(0)).alias("valid_count"),
+        F.coalesce(F.sum(F.when(~valid, F.col("n"))), F.lit(0)).alias("null_count"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"),
+    )
     return listed.crossJoin(F.broadcast(number)).crossJoin(F.broadcast(one))

@@ -43,19 +43,36 @@ class Dataset:
     def report(self, column: str) -> str:
         from ..functions.types import is_categorical
 
-        return report.categorical_report(self.df, column) if is_categorical(self.df, column) else report.numeric_report(self.df, column)
+        return report.categorical_report(
+            self.df, column
+        ) if is_categorical(self.df, column) else report.numeric_report(self.df, column)
 
     def chart(self, *columns: str, fraction: float | None = None) -> tuple[str, DataFrame]:
         return charts.chart_data(self.df, columns, fraction)
 
-    def encode(self, column: str, kind: str, order_key: str | None = None, scope: str = "full", length: int = 20) -> DataFrame:
+    def encode(
+        self, column: str, kind: str, order_key: str | None = None, scope: str = "full", length: int = 20
+    ) -> DataFrame:
         return encode.encode(self.df, column, kind, order_key, scope, length)
 
-    def bin(self, column: str, kind: str, n_bin: int = 10, order_key: str | None = None, scope: str = "full", length: int = 20) -> DataFrame:
+    def bin(
+        self,
+        column: str,
+        kind: str,
+        n_bin: int = 10,
+        order_key: str | None = None,
+        scope: str = "full",
+        length: int = 20,
+    ) -> DataFrame:
         return binning.transform(self.df, column, kind, n_bin, order_key, scope, length)
 
 
-def carry_out(spark: SparkSession, action: CleaningAction | EngineeringAction, confirm: Confirm | None = None, mode: str = "errorifexists") -> DataFrame | None:
+def carry_out(
+    spark: SparkSession,
+    action: CleaningAction | EngineeringAction,
+    confirm: Confirm | None = None,
+    mode: str = "errorifexists",
+) -> DataFrame | None:
     """Apply the action to its file and write the result as CSV to its output path. None, and nothing is written, if
     ``confirm`` says no; without ``confirm`` nobody is asked."""
     if confirm is not None and not confirm(action):

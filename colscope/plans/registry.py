@@ -72,7 +72,11 @@ def written_csv(spark: SparkSession, sf_dir: str) -> str:
 def written_json(spark: SparkSession, sf_dir: str) -> str:
     """One document: an array of five objects."""
     path = scratch(spark, "region")
-    one = table(spark, sf_dir, "region").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("r_regionkey", "r_name"))), ","), F.lit("]")).alias("value"))
+    one = table(spark, sf_dir, "region").agg(
+        F.concat(
+            F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct("r_regionkey", "r_name"))), ","), F.lit("]")
+        ).alias("value")
+    )
     one.write.text(path)
     return path
 
@@ -97,26 +101,39 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, written_json(spark, sf_dir), "json", "r_regionkey int, r_name string")
 
 
-@query("SELECT 'csv' AS format, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'json', CAST(count(*) AS BIGINT) FROM region UNION ALL SELECT 'parquet', CAST(count(*) AS BIGINT) FROM part")
+@query(
+    "SELECT 'csv' AS format, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'json', CAST(count(*) AS BIGINT) FROM region UNION ALL SELECT 'parquet', CAST(count(*) AS BIGINT) FROM part"
+)
 def scan_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = {"csv": written_csv(spark, sf_dir), "json": written_json(spark, sf_dir), "parquet": f"{sf_dir}/part.parquet"}
+    paths = {
+        "csv": written_csv(spark, sf_dir), "json": written_json(spark, sf_dir), "parquet": f"{sf_dir}/part.parquet"
+    }
     counts = [scan(spark, path, kind).agg(F.lit(kind).alias("format"), F.count(F.lit(1)).alias("n")) for kind, path in paths.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query("SELECT p_brand, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_size > 25 GROUP BY p_brand")
 def scan_file_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, f"{sf_dir}/part.parquet", "parquet").filter("p_size > 25").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return scan(
+        spark, f"{sf_dir}/part.parquet", "parquet"
+    ).filter("p_size > 25").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) AS t(position, \"column\", dtype)")
+@query(
+    "SELECT * FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) AS t(position, \"column\", dtype)"
+)
 def schema_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_table(table(spark, sf_dir, "nation"))
 
 
-@query("SELECT * FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) AS t(position, \"column\")", "extract_columns")
+@query(
+    "SELECT * FROM (VALUES (0, 'n_nationkey'), (1, 'n_name'), (2, 'n_regionkey')) AS t(position, \"column\")",
+    "extract_columns",
+)
 def columns_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract_columns(spark, written_csv(spark, sf_dir), "csv") + extract_columns(spark, f"{sf_dir}/no-such-file", "csv")
+    found = extract_columns(
+        spark, written_csv(spark, sf_dir), "csv"
+    ) + extract_columns(spark, f"{sf_dir}/no-such-file", "csv")
     return spark.createDataFrame(list(enumerate(found)), "position int, column string")
 
 
@@ -138,12 +155,16 @@ def profile_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(events(spark, sf_dir))
 
 
-@query(f"SELECT count(*) FILTER (WHERE event_id IS NULL) AS event_id_nulls, count(*) FILTER (WHERE user_id IS NULL) AS user_id_nulls, count(*) FILTER (WHERE kind IS NULL) AS kind_nulls, count(*) FILTER (WHERE v IS NULL) AS v_nulls FROM {EVENTS} AS e")
+@query(
+    f"SELECT count(*) FILTER (WHERE event_id IS NULL) AS event_id_nulls, count(*) FILTER (WHERE user_id IS NULL) AS user_id_nulls, count(*) FILTER (WHERE kind IS NULL) AS kind_nulls, count(*) FILTER (WHERE v IS NULL) AS v_nulls FROM {EVENTS} AS e"
+)
 def profile_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_wide(events(spark, sf_dir)).select("event_id_nulls", "user_id_nulls", "kind_nulls", "v_nulls")
 
 
-@query(f"SELECT (SELECT count(*) FROM (SELECT DISTINCT kind FROM {EVENTS} AS a) AS x) AS kind_nunique, (SELECT count(*) FROM (SELECT DISTINCT v FROM {EVENTS} AS b) AS y) AS v_nunique")
+@query(
+    f"SELECT (SELECT count(*) FROM (SELECT DISTINCT kind FROM {EVENTS} AS a) AS x) AS kind_nunique, (SELECT count(*) FROM (SELECT DISTINCT v FROM {EVENTS} AS b) AS y) AS v_nunique"
+)
 def profile_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_wide(events(spark, sf_dir).select("kind", "v")).select("kind_nunique", "v_nunique")
 
@@ -153,12 +174,16 @@ def profile_nrows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_wide(table(spark, sf_dir, "lineitem")).select("n_rows")
 
 
-@query("SELECT * FROM (VALUES (0, 'c_custkey'), (1, 'c_name'), (2, 'c_nationkey'), (3, 'c_acctbal'), (4, 'c_mktsegment')) AS t(position, \"column\")")
+@query(
+    "SELECT * FROM (VALUES (0, 'c_custkey'), (1, 'c_name'), (2, 'c_nationkey'), (3, 'c_acctbal'), (4, 'c_mktsegment')) AS t(position, \"column\")"
+)
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_table(table(spark, sf_dir, "customer")).select("position", "column")
 
 
-@query("SELECT * FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) AS t(\"column\", dtype)")
+@query(
+    "SELECT * FROM (VALUES ('c_custkey', 'bigint'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'double'), ('c_mktsegment', 'string')) AS t(\"column\", dtype)"
+)
 def profile_dtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_table(table(spark, sf_dir, "customer")).select("column", "dtype")
 
@@ -227,12 +252,24 @@ def num_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(univariate.univariate_numeric(df, "x")).withColumn("skewness", F.col("skewness") + F.lit(0.0))
 
 
-@query("""SELECT round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem""")
+@query(
+    """SELECT round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem"""
+)
 def num_quartiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(univariate.quartiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", "linear").select("q1", "median", "q3"))
-
-
-@query("SELECT " + nearest("l_extendedprice", "lineitem", 0.25) + " AS q1, " + nearest("l_extendedprice", "lineitem", 0.75) + " AS q3")
+    return rounded(
+        univariate.quartiles(
+            table(spark, sf_dir, "lineitem"), "l_extendedprice", "linear"
+        ).select("q1", "median", "q3")
+    )
+
+
+@query(
+    "SELECT "
+    + nearest("l_extendedprice", "lineitem", 0.25)
+    + " AS q1, "
+    + nearest("l_extendedprice", "lineitem", 0.75)
+    + " AS q3"
+)
 def num_quartiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return univariate.quartiles(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("q1", "q3")
 
@@ -248,12 +285,18 @@ def _gate(check) -> Query:
                 return False
             return True
 
-        return spark.createDataFrame([(c, passes(c)) for c in [*df.columns, "no_such"]], "column string, passes boolean")
+        return spark.createDataFrame(
+            [(c, passes(c)) for c in [*df.columns, "no_such"]], "column string, passes boolean"
+        )
 
     return run
 
 
-GATES = {"gate_column_exists": (types.require_column, "ttttttf"), "gate_numeric": (types.require_numeric, "tftftff"), "gate_categorical": (types.require_categorical, "ffftftf")}
+GATES = {
+    "gate_column_exists": (types.require_column, "ttttttf"),
+    "gate_numeric": (types.require_numeric, "tftftff"),
+    "gate_categorical": (types.require_categorical, "ffftftf"),
+}
 for _name, (_check, _passes) in GATES.items():
     _rows = ", ".join(f"('{c}', {str(p == 't').lower()})" for c, p in zip(("event_id", "ts", "user_id", "event_type", "value", "props", "no_such"), _passes, strict=True))
     query(f'SELECT * FROM (VALUES {_rows}) AS t("column", passes)', _name)(_gate(_check))
@@ -264,7 +307,9 @@ for _name, (_check, _passes) in GATES.items():
 FREQUENCIES = f"SELECT kind AS \"Column_value\", count(*) AS \"Value_count\", round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM events), 9) AS \"Frequency\", round(100 * (count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM events)), 9) AS \"Percentage\" FROM {EVENTS} AS e GROUP BY kind"
 
 
-@query("SELECT list(p_size_text ORDER BY p_size_text) AS modes FROM (SELECT CAST(p_size AS VARCHAR) AS p_size_text, rank() OVER (ORDER BY count(*) DESC) AS r FROM part GROUP BY 1) AS x WHERE r = 1")
+@query(
+    "SELECT list(p_size_text ORDER BY p_size_text) AS modes FROM (SELECT CAST(p_size AS VARCHAR) AS p_size_text, rank() OVER (ORDER BY count(*) DESC) AS r FROM part GROUP BY 1) AS x WHERE r = 1"
+)
 def cat_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("s"))
     return univariate.univariate_categorical(df, "s").select("modes")
@@ -295,7 +340,9 @@ def cat_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(univariate.frequency_table(events(spark, sf_dir), "kind"), 9).select("Column_value", "Percentage")
 
 
-@query(f'SELECT "Column_value", "Value_count" FROM ({FREQUENCIES}) AS f ORDER BY "Value_count" DESC, "Column_value" ASC NULLS LAST')
+@query(
+    f'SELECT "Column_value", "Value_count" FROM ({FREQUENCIES}) AS f ORDER BY "Value_count" DESC, "Column_value" ASC NULLS LAST'
+)
 def cat_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return univariate.sorted_frequency_table(events(spark, sf_dir), "kind").select("Column_value", "Value_count")
 
@@ -377,7 +424,9 @@ def chart_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(charts.chart_data(events(spark, sf_dir), ["v", "kind"])[1])
 
 
-@query(f"SELECT CAST(user_id AS BIGINT) AS user_id, v, kind FROM {EVENTS} AS e WHERE v IS NOT NULL AND user_id IS NOT NULL AND kind IS NOT NULL")
+@query(
+    f"SELECT CAST(user_id AS BIGINT) AS user_id, v, kind FROM {EVENTS} AS e WHERE v IS NOT NULL AND user_id IS NOT NULL AND kind IS NOT NULL"
+)
 def chart_scatter_hue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.chart_data(events(spark, sf_dir), ["user_id", "kind", "v"])[1]
 
@@ -387,7 +436,9 @@ def chart_bubble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.chart_data(table(spark, sf_dir, "part"), ["p_partkey", "p_size", "p_retailprice"])[1]
 
 
-@query("SELECT * FROM (VALUES ('kind', 'count'), ('v', 'hist'), ('kind,v', 'box'), ('user_id,v', 'scatter'), ('kind,kind', NULL), ('kind,kind,v', NULL), ('', NULL)) AS t(\"columns\", chart)")
+@query(
+    "SELECT * FROM (VALUES ('kind', 'count'), ('v', 'hist'), ('kind,v', 'box'), ('user_id,v', 'scatter'), ('kind,kind', NULL), ('kind,kind,v', NULL), ('', NULL)) AS t(\"columns\", chart)"
+)
 def chart_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir)
 
@@ -412,7 +463,9 @@ def preview_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(kind: str, scope: str = "full") -> Query:
-    return lambda spark, sf_dir: rounded(encode.encode(events(spark, sf_dir).select("event_id", "kind"), "kind", kind, "event_id", scope), 9)
+    return lambda spark, sf_dir: rounded(
+        encode.encode(events(spark, sf_dir).select("event_id", "kind"), "kind", kind, "event_id", scope), 9
+    )
 
 
 def frequency_sql(t: str) -> str:
@@ -435,15 +488,21 @@ query(label_sql(FIRST_20), "enc_preview_label")(_encoded("label", "preview"))
 query(ordinal_sql(FIRST_20), "enc_preview_ordinal")(_encoded("ordinal", "preview"))
 
 
-@query(f"SELECT event_id, CAST(kind IS NOT DISTINCT FROM 'click' AS INTEGER) AS kind_click, CAST(kind IS NULL AS INTEGER) AS kind_null FROM {FIRST_20} AS f")
+@query(
+    f"SELECT event_id, CAST(kind IS NOT DISTINCT FROM 'click' AS INTEGER) AS kind_click, CAST(kind IS NULL AS INTEGER) AS kind_null FROM {FIRST_20} AS f"
+)
 def enc_preview_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = encode.head(events(spark, sf_dir).select("event_id", "kind"), "event_id")
     return encode.encode_one_hot(first, "kind", ["click", None])
 
 
-@query('SELECT o_orderkey, CAST(o_orderstatus IS NOT DISTINCT FROM \'F\' AS INTEGER) AS "o_orderstatus_F", CAST(o_orderstatus IS NOT DISTINCT FROM \'O\' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus IS NULL AS INTEGER) AS o_orderstatus_null FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> \'P\' THEN o_orderstatus END AS o_orderstatus FROM orders) AS o')
+@query(
+    'SELECT o_orderkey, CAST(o_orderstatus IS NOT DISTINCT FROM \'F\' AS INTEGER) AS "o_orderstatus_F", CAST(o_orderstatus IS NOT DISTINCT FROM \'O\' AS INTEGER) AS "o_orderstatus_O", CAST(o_orderstatus IS NULL AS INTEGER) AS o_orderstatus_null FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> \'P\' THEN o_orderstatus END AS o_orderstatus FROM orders) AS o'
+)
 def enc_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"))
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus")
+    )
     return encode.encode(df, "o_orderstatus", "one_hot")
 
 
@@ -454,7 +513,9 @@ def enc_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT count(*) AS rows, count(kind_encoded) AS encoded FROM ({label_sql(EVENTS)}) AS x")
 def enc_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode_label(events(spark, sf_dir), "kind", "event_id").agg(F.count(F.lit(1)).alias("rows"), F.count("kind_encoded").alias("encoded"))
+    return encode.encode_label(events(spark, sf_dir), "kind", "event_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("kind_encoded").alias("encoded")
+    )
 
 
 # Standardising and binning
@@ -465,15 +526,21 @@ def bin_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k.value,) for k in binning.Binning], "kind string")
 
 
-@query(f"SELECT event_id, v, round((v - (SELECT avg(v) FROM {EVENTS} AS a)) / (SELECT stddev_samp(v) FROM {EVENTS} AS b), 6) AS v_std FROM {EVENTS} AS e")
+@query(
+    f"SELECT event_id, v, round((v - (SELECT avg(v) FROM {EVENTS} AS a)) / (SELECT stddev_samp(v) FROM {EVENTS} AS b), 6) AS v_std FROM {EVENTS} AS e"
+)
 def std_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "standardize").withColumn("v_std", F.round("v_std", 6))
+    return binning.transform(
+        events(spark, sf_dir).select("event_id", "v"), "v", "standardize"
+    ).withColumn("v_std", F.round("v_std", 6))
 
 
 @query("SELECT count(*) AS rows, count(CAST(NULL AS DOUBLE)) AS standardized FROM part")
 def std_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
     constant = table(spark, sf_dir, "part").select(F.lit(7.0).alias("x"))
-    return binning.standardize(constant, "x").agg(F.count(F.lit(1)).alias("rows"), F.count("x_std").alias("standardized"))
+    return binning.standardize(constant, "x").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("x_std").alias("standardized")
+    )
 
 
 def bins_sql(key: str, x: str, t: str, breaks: str) -> str:
@@ -498,21 +565,32 @@ QUANTILE_BREAKS = "SELECT list_sort(list_distinct(quantile_cont(CAST(p_size AS D
 
 @query(bins_sql("p_partkey", "p_size", "part", QUANTILE_BREAKS))
 def bin_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bounds_rounded(binning.transform(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "quantile", 4), "p_size")
+    return _bounds_rounded(
+        binning.transform(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "quantile", 4),
+        "p_size",
+    )
 
 
-@query("SELECT * FROM (VALUES (1.0, '(-inf, 4.0]'), (2.0, '(-inf, 4.0]'), (4.0, '(-inf, 4.0]'), (5.0, '(4.0, 7.0]'), (7.0, '(4.0, 7.0]'), (10.0, '(7.0, inf]'), (NULL, NULL)) AS t(x, x_label)")
+@query(
+    "SELECT * FROM (VALUES (1.0, '(-inf, 4.0]'), (2.0, '(-inf, 4.0]'), (4.0, '(-inf, 4.0]'), (5.0, '(4.0, 7.0]'), (7.0, '(4.0, 7.0]'), (10.0, '(7.0, inf]'), (NULL, NULL)) AS t(x, x_label)"
+)
 def bin_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, 5.0, 7.0, 10.0, None)], "x double")
-    return binning.bin_label(binning.bin_equal_width(df, "x", 3), "x").select(F.col("x").cast("decimal(3,1)").alias("x"), "x_label")
+    return binning.bin_label(binning.bin_equal_width(df, "x", 3), "x").select(
+        F.col("x").cast("decimal(3,1)").alias("x"), "x_label"
+    )
 
 
 PREVIEW_STD = f"(SELECT event_id, v FROM {EVENTS} AS e ORDER BY event_id LIMIT 20)"
 
 
-@query(f"SELECT event_id, v, round((v - (SELECT avg(v) FROM {PREVIEW_STD} AS a)) / (SELECT stddev_samp(v) FROM {PREVIEW_STD} AS b), 6) AS v_std FROM {PREVIEW_STD} AS f")
+@query(
+    f"SELECT event_id, v, round((v - (SELECT avg(v) FROM {PREVIEW_STD} AS a)) / (SELECT stddev_samp(v) FROM {PREVIEW_STD} AS b), 6) AS v_std FROM {PREVIEW_STD} AS f"
+)
 def std_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "standardize", order_key="event_id", scope="preview").withColumn("v_std", F.round("v_std", 6))
+    return binning.transform(
+        events(spark, sf_dir).select("event_id", "v"), "v", "standardize", order_key="event_id", scope="preview"
+    ).withColumn("v_std", F.round("v_std", 6))
 
 
 PREVIEW_EQUAL = f"SELECT list_transform(range(1, 4), lambda i: lo + i * ((hi - lo) / 4)) AS breaks FROM (SELECT min(v) AS lo, max(v) AS hi FROM {PREVIEW_STD} AS e) AS s"
@@ -521,12 +599,18 @@ PREVIEW_QUANTILE = f"SELECT list_sort(list_distinct(quantile_cont(v, [0.25, 0.5,
 
 @query(bins_sql("event_id", "v", PREVIEW_STD, PREVIEW_EQUAL))
 def bin_preview_equal_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bounds_rounded(binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "equal_width", 4, "event_id", "preview"), "v")
+    return _bounds_rounded(
+        binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "equal_width", 4, "event_id", "preview"),
+        "v",
+    )
 
 
 @query(bins_sql("event_id", "v", PREVIEW_STD, PREVIEW_QUANTILE))
 def bin_preview_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bounds_rounded(binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "quantile", 4, "event_id", "preview"), "v")
+    return _bounds_rounded(
+        binning.transform(events(spark, sf_dir).select("event_id", "v"), "v", "quantile", 4, "event_id", "preview"),
+        "v",
+    )
 
 
 # Cleaning
@@ -535,7 +619,9 @@ QUANTITY = "(SELECT l_orderkey, l_linenumber, nullif(l_quantity, 50.0) AS q FROM
 
 
 def quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_quantity", F.lit(50.0)).alias("q"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif("l_quantity", F.lit(50.0)).alias("q")
+    )
 
 
 def _cleaned(action: str) -> Query:
@@ -543,13 +629,24 @@ def _cleaned(action: str) -> Query:
 
 
 query(f"SELECT * FROM {QUANTITY} AS t WHERE q IS NOT NULL", "clean_drop_rows")(_cleaned("drop_rows"))
-query(f"SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT quantile_cont(q, 0.5) FROM {QUANTITY} AS m)), 6) AS q FROM {QUANTITY} AS t", "clean_impute_median")(_cleaned("impute_median"))
-query(f"SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT avg(q) FROM {QUANTITY} AS m)), 6) AS q FROM {QUANTITY} AS t", "clean_impute_mean")(_cleaned("impute_mean"))
-query(f"SELECT l_orderkey, l_linenumber, coalesce(q, (SELECT q FROM {QUANTITY} AS m WHERE q IS NOT NULL GROUP BY q ORDER BY count(*) DESC, q LIMIT 1)) AS q FROM {QUANTITY} AS t", "clean_impute_mode")(_cleaned("impute_mode"))
+query(
+    f"SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT quantile_cont(q, 0.5) FROM {QUANTITY} AS m)), 6) AS q FROM {QUANTITY} AS t",
+    "clean_impute_median",
+)(_cleaned("impute_median"))
+query(
+    f"SELECT l_orderkey, l_linenumber, round(coalesce(q, (SELECT avg(q) FROM {QUANTITY} AS m)), 6) AS q FROM {QUANTITY} AS t",
+    "clean_impute_mean",
+)(_cleaned("impute_mean"))
+query(
+    f"SELECT l_orderkey, l_linenumber, coalesce(q, (SELECT q FROM {QUANTITY} AS m WHERE q IS NOT NULL GROUP BY q ORDER BY count(*) DESC, q LIMIT 1)) AS q FROM {QUANTITY} AS t",
+    "clean_impute_mode",
+)(_cleaned("impute_mode"))
 query("SELECT l_orderkey, l_linenumber FROM lineitem", "clean_drop_column")(_cleaned("drop_column"))
 
 
-@query(f"SELECT event_id, coalesce(kind, (SELECT kind FROM {EVENTS} AS m WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)) AS kind FROM {EVENTS} AS e")
+@query(
+    f"SELECT event_id, coalesce(kind, (SELECT kind FROM {EVENTS} AS m WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)) AS kind FROM {EVENTS} AS e"
+)
 def clean_impute_mode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(events(spark, sf_dir).select("event_id", "kind"), "kind", "impute_mode")
 
@@ -559,13 +656,19 @@ def clean_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_size", "cast_dtype", "Float64")
 
 
-@query("SELECT p_partkey, TRY_CAST(substr(p_brand, length(p_brand), 1) || CASE WHEN p_size > 25 THEN 'x' ELSE '' END AS INTEGER) AS b FROM part")
+@query(
+    "SELECT p_partkey, TRY_CAST(substr(p_brand, length(p_brand), 1) || CASE WHEN p_size > 25 THEN 'x' ELSE '' END AS INTEGER) AS b FROM part"
+)
 def clean_try_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.substring("p_brand", -1, 1), F.when(F.col("p_size") > 25, "x").otherwise(""))
-    return clean.clean(table(spark, sf_dir, "part").select("p_partkey", text.alias("b")), "b", "cast_dtype", "Int32", strict=False)
+    return clean.clean(
+        table(spark, sf_dir, "part").select("p_partkey", text.alias("b")), "b", "cast_dtype", "Int32", strict=False
+    )
 
 
-@query("SELECT * FROM (VALUES ('Int32', true), ('Float64', true), ('Nothing', false), ('', false)) AS t(target, accepted)")
+@query(
+    "SELECT * FROM (VALUES ('Int32', true), ('Float64', true), ('Nothing', false), ('', false)) AS t(target, accepted)"
+)
 def clean_validate_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .actions import CleaningAction
 
@@ -576,7 +679,9 @@ def clean_validate_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
             return False
         return True
 
-    return spark.createDataFrame([(t, accepted(t)) for t in ("Int32", "Float64", "Nothing", "")], "target string, accepted boolean")
+    return spark.createDataFrame(
+        [(t, accepted(t)) for t in ("Int32", "Float64", "Nothing", "")], "target string, accepted boolean"
+    )
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -586,7 +691,11 @@ def clean_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .api import carry_out
 
     out = scratch(spark, "cleaned")
-    carry_out(spark, CleaningAction(f"{sf_dir}/nation.parquet", "parquet", out, "not needed", "n_regionkey", action="drop_column"), confirm=lambda action: True)
+    carry_out(
+        spark,
+        CleaningAction(f"{sf_dir}/nation.parquet", "parquet", out, "not needed", "n_regionkey", action="drop_column"),
+        confirm=lambda action: True,
+    )
     return scan(spark, out, "csv", "n_nationkey int, n_name string")
 
 
@@ -606,17 +715,30 @@ def compute_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _impact(condition: str, *columns: str) -> tuple[str, Query]:
     names = ", ".join(f'"{c}"' for c in columns)
-    return f"SELECT {names} FROM ({IMPACT}) AS i WHERE {condition}", lambda spark, sf_dir: compute_impact(spark, sf_dir).filter(condition).select(*columns)
+    return f"SELECT {names} FROM ({IMPACT}) AS i WHERE {condition}", lambda spark, sf_dir: compute_impact(
+        spark, sf_dir
+    ).filter(condition).select(*columns)
 
 
-for _name, _parts in {"impact_drop_rows": ("action = 'drop_rows'", "column", "rows_affected"), "impact_drop_column": ("action = 'drop_column'", "column", "rows_affected"), "impact_other": ("action NOT IN ('drop_rows', 'drop_column')", "column", "action", "rows_affected"), "impact_pct": ("action = 'drop_rows'", "column", "rows_affected_pct")}.items():
+for _name, _parts in {
+    "impact_drop_rows": ("action = 'drop_rows'", "column", "rows_affected"),
+    "impact_drop_column": ("action = 'drop_column'", "column", "rows_affected"),
+    "impact_other": ("action NOT IN ('drop_rows', 'drop_column')", "column", "action", "rows_affected"),
+    "impact_pct": ("action = 'drop_rows'", "column", "rows_affected_pct"),
+}.items():
     _sql, _run = _impact(*_parts)
     query(_sql, _name)(_run)
 
 
-@query("SELECT * FROM (VALUES ('cleaning', 'compute_impact'), ('feature', 'compute_impact'), ('insight', 'validator')) AS t(proposed, next)")
+@query(
+    "SELECT * FROM (VALUES ('cleaning', 'compute_impact'), ('feature', 'compute_impact'), ('insight', 'validator')) AS t(proposed, next)"
+)
 def route_after_propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .actions import CleaningAction, EngineeringAction, Insight, next_step
 
-    proposed = {"cleaning": CleaningAction("a", "csv", "b", "why", "c"), "feature": EngineeringAction("a", "csv", "b", "why", "c"), "insight": Insight("mean", 1.0, 1)}
+    proposed = {
+        "cleaning": CleaningAction("a", "csv", "b", "why", "c"),
+        "feature": EngineeringAction("a", "csv", "b", "why", "c"),
+        "insight": Insight("mean", 1.0, 1),
+    }
     return spark.createDataFrame([(k, next_step(v)) for k, v in proposed.items()], "proposed string, next string")

@@ -18,7 +18,9 @@ def _csv(spark: SparkSession, path: str, schema: T.StructType | str | None, date
     df = reader.option("inferSchema", True).option("preferDate", True).csv(path)
     if not dates_as_strings:
         return df
-    dated = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    dated = [
+        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    ]
     # Inferred dates are read again as they stand in the file: a cast back could change how they are written.
     fields = [T.StructField(f.name, T.StringType() if f.name in dated else f.dataType) for f in df.schema.fields]
     return reader.schema(T.StructType(fields)).csv(path) if dated else df
@@ -44,10 +46,23 @@ def _columnar(kind: str):
     return read
 
 
-READERS = {"csv": _csv, "json": _json, "xlsx": _excel, "xls": _excel, "parquet": _columnar("parquet"), "orc": _columnar("orc")}
+READERS = {
+    "csv": _csv,
+    "json": _json,
+    "xlsx": _excel,
+    "xls": _excel,
+    "parquet": _columnar("parquet"),
+    "orc": _columnar("orc"),
+}
 
 
-def scan(spark: SparkSession, path: str, file_format: str, schema: T.StructType | str | None = None, dates_as_strings: bool = True) -> DataFrame:
+def scan(
+    spark: SparkSession,
+    path: str,
+    file_format: str,
+    schema: T.StructType | str | None = None,
+    dates_as_strings: bool = True,
+) -> DataFrame:
     """A lazy table over a file or folder.
 
     Without a schema, types are inferred where the format has none; CSV dates and times then stay strings unless

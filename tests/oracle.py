@@ -9,7 +9,17 @@ import duckdb
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Spark's types and DuckDB's.
-TYPES = {"tinyint": "TINYINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+TYPES = {
+    "tinyint": "TINYINT",
+    "smallint": "SMALLINT",
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "float": "FLOAT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "array<string>": "VARCHAR[]",
+}
 
 
 def connect(sf_dir: str):
@@ -38,5 +48,7 @@ def check(df, con, sql):
     names = list(asked.columns)
     assert sorted(names) == sorted(df.columns)
     kinds = dict(zip(names, map(str, asked.types), strict=True))
-    assert {c: TYPES.get(t, t) for c, t in df.dtypes if not t.startswith("decimal")} == {c: kinds[c] for c, t in df.dtypes if not t.startswith("decimal")}
+    assert {
+        c: TYPES.get(t, t) for c, t in df.dtypes if not t.startswith("decimal")
+    } == {c: kinds[c] for c, t in df.dtypes if not t.startswith("decimal")}
     assert rows(df.columns, df.collect()) == rows(names, asked.fetchall())

@@ -32,7 +32,9 @@ def test_csv(spark, csv, tmp_path):
 
 def test_other_formats(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1, "b": "x"},\n {"a": 2, "b": null}]')
-    assert [(r.a, r.b) for r in scan(spark, str(tmp_path / "a.json"), "json").orderBy("a").collect()] == [(1, "x"), (2, None)]
+    assert [
+        (r.a, r.b) for r in scan(spark, str(tmp_path / "a.json"), "json").orderBy("a").collect()
+    ] == [(1, "x"), (2, None)]
     for kind in ("parquet", "orc"):
         sink(spark.range(3), str(tmp_path / kind), kind)
         assert scan(spark, str(tmp_path / kind), kind).count() == 3
@@ -60,8 +62,12 @@ def test_actions(spark, csv, tmp_path):
     told = action.with_impact(data.profile_record())
     assert (told.rows_affected, told.rows_affected_pct) == (1, 1 / 3)
     for kind in ("label", "ordinal", "frequency"):
-        assert "s_encoded" in carry_out(spark, EngineeringAction(csv, "csv", str(tmp_path / kind), "", "s", action=kind, order_key="i")).columns
-    assert "i_binned" in carry_out(spark, EngineeringAction(csv, "csv", str(tmp_path / "bins"), "", "i", action="equal_width", n_bin=2)).columns
+        assert "s_encoded" in carry_out(
+            spark, EngineeringAction(csv, "csv", str(tmp_path / kind), "", "s", action=kind, order_key="i")
+        ).columns
+    assert "i_binned" in carry_out(
+        spark, EngineeringAction(csv, "csv", str(tmp_path / "bins"), "", "i", action="equal_width", n_bin=2)
+    ).columns
     assert EngineeringAction("a", "csv", "b", "", "c").n_bin == 10
     assert next_step(told) == "compute_impact" and next_step(Insight("mean", 1.0, 3)) == "validator"
     for wrong in (dict(action="cast_dtype"), dict(action="nothing"), dict(risk_level="huge")):
@@ -82,7 +88,9 @@ def test_facade(spark, csv):
 def test_session(spark, csv, tmp_path):
     s = Session(spark, csv, "csv")
     assert s.column_names == ["i", "d", "t", "s"] and s.apply() is None
-    assert s.run("profile").count() == 4 and s.run("chart", "s")[0] == "count" and s.run("encode", "s", "ordinal").count() == 3
+    assert s.run("profile").count() == 4 and s.run("chart", "s")[0] == "count" and s.run(
+        "encode", "s", "ordinal"
+    ).count() == 3
     assert s.worker("bin") is Worker.FEATURES and s.worker("") is Worker.FINISH
     with pytest.raises(KeyError):
         s.run("polish")
@@ -98,12 +106,16 @@ def test_streams(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.limit(50).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    q = running_numeric(stream, "value").writeStream.outputMode("complete").format("memory").queryName("running").start()
+    q = running_numeric(
+        stream, "value"
+    ).writeStream.outputMode("complete").format("memory").queryName("running").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("running").first()["count"] == 50
     timed = stream.withColumn("at", stream["ts"].cast("timestamp"))
-    q = windowed_frequencies(timed, "event_type", "at", "1 hour", "1 hour").writeStream.outputMode("update").format("memory").queryName("windows").start()
+    q = windowed_frequencies(
+        timed, "event_type", "at", "1 hour", "1 hour"
+    ).writeStream.outputMode("update").format("memory").queryName("windows").start()
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").groupBy().sum("Value_count").first()[0] == 50

@@ -26,10 +26,14 @@ def kinds(spark):
 
 def test_numeric(doubles):
     s = univariate.univariate_numeric(doubles(*NUMBERS), "x").first()
-    assert (s["count"], s.null_count, s["mean"], s.median, s["min"], s["max"], s["range"], s.variance) == (5, 1, 4.0, 3.0, 1.0, 10.0, 9.0, 12.5)
+    assert (
+        s["count"], s.null_count, s["mean"], s.median, s["min"], s["max"], s["range"], s.variance
+    ) == (5, 1, 4.0, 3.0, 1.0, 10.0, 9.0, 12.5)
     assert s["std"] == pytest.approx(3.5355339059)
     assert s["skewness"] == pytest.approx(1.1384199577)
-    assert (s.q1, s.q3, s.iqr, s.lower_bound, s.upper_bound, s.outlier_count, s.skew_class) == (2.0, 4.0, 2.0, -1.0, 7.0, 1, "right-skewed")
+    assert (
+        s.q1, s.q3, s.iqr, s.lower_bound, s.upper_bound, s.outlier_count, s.skew_class
+    ) == (2.0, 4.0, 2.0, -1.0, 7.0, 1, "right-skewed")
 
 
 def test_quartile_rules(doubles):
@@ -49,13 +53,18 @@ def test_degenerate(doubles, values):
 
 def test_skew_class(spark):
     df = spark.createDataFrame([(v,) for v in (0.5, -0.5, 0.49, float("nan"), None, -3.0)], "s double")
-    assert [r[0] for r in df.select(univariate.skew_class(F.col("s"))).collect()] == ["right-skewed", "left-skewed", "approximately symmetric", "undetermined", "undetermined", "left-skewed"]
+    assert [r[0] for r in df.select(univariate.skew_class(F.col("s"))).collect()] == [
+        "right-skewed", "left-skewed", "approximately symmetric", "undetermined", "undetermined", "left-skewed"
+    ]
 
 
 def test_categorical(kinds):
     s = univariate.univariate_categorical(kinds, "k").first()
     assert (s.modes, s.n_modes, s.n_unique, s.valid_count, s.null_count, s.total_count) == (["a", "b"], 2, 3, 5, 1, 6)
-    table = [(r.Column_value, r.Value_count, round(r.Frequency, 6)) for r in univariate.sorted_frequency_table(kinds, "k").collect()]
+    table = [
+        (r.Column_value, r.Value_count, round(r.Frequency, 6))
+        for r in univariate.sorted_frequency_table(kinds, "k").collect()
+    ]
     assert table == [("a", 2, 0.333333), ("b", 2, 0.333333), ("c", 1, 0.166667), (None, 1, 0.166667)]
     assert "most frequent: a, b" in report.categorical_report(kinds, "k")
     empty = kinds.filter("i < 0")
@@ -63,7 +72,9 @@ def test_categorical(kinds):
 
 
 def test_profile(spark, kinds):
-    assert {r["column"]: (r.dtype, r.nulls, r.nunique, r.n_rows) for r in profile(kinds).collect()} == {"i": ("int", 0, 6, 6), "k": ("string", 1, 4, 6)}
+    assert {
+        r["column"]: (r.dtype, r.nulls, r.nunique, r.n_rows) for r in profile(kinds).collect()
+    } == {"i": ("int", 0, 6, 6), "k": ("string", 1, 4, 6)}
     found = profile_record(kinds.filter("i < 0"))
     assert found["n_rows"] == 0 and found["stats"] == {"i_nulls": 0, "i_nunique": 0, "k_nulls": 0, "k_nunique": 0}
     odd = spark.createDataFrame([(1, {"a": 1})], "`a.b` int, m map<string,int>")
@@ -78,7 +89,9 @@ def test_encodings(kinds):
     assert codes(encode.encode(kinds, "k", "label", "i")) == [0, 1, 0, None, 1, 2]
     assert codes(encode.encode(kinds, "k", "ordinal")) == [1, 0, 1, None, 0, 2]
     assert codes(encode.encode(kinds, "k", "frequency")) == pytest.approx([2 / 6, 2 / 6, 2 / 6, 1 / 6, 2 / 6, 1 / 6])
-    assert codes(encode.encode(kinds, "k", "frequency", "i", scope="preview", length=3)) == pytest.approx([2 / 3, 1 / 3, 2 / 3])
+    assert codes(
+        encode.encode(kinds, "k", "frequency", "i", scope="preview", length=3)
+    ) == pytest.approx([2 / 3, 1 / 3, 2 / 3])
     hot = encode.encode(kinds, "k", "one_hot")
     assert hot.columns == ["i", "k_a", "k_b", "k_c", "k_null"]
     assert all(sum(r[1:]) == 1 for r in hot.collect())
@@ -104,23 +117,40 @@ def test_bins(doubles):
 
 def test_cleaning(spark, doubles, kinds):
     df = doubles(*NUMBERS)
-    found = {a: sorted(r.x for r in clean.clean(df, "x", a).collect()) for a in ("drop_rows", "impute_mean", "impute_median", "impute_mode")}
+    found = {
+        a: sorted(r.x for r in clean.clean(df, "x", a).collect())
+        for a in ("drop_rows", "impute_mean", "impute_median", "impute_mode")
+    }
     known = [v for v in NUMBERS if v is not None]
-    assert found == {"drop_rows": known, "impute_mean": sorted([*known, 4.0]), "impute_median": sorted([*known, 3.0]), "impute_mode": sorted([*known, 1.0])}
-    assert [r.k for r in clean.clean(kinds, "k", "impute_mode").orderBy("i").collect()] == ["b", "a", "b", "a", "a", "c"]
+    assert found == {
+        "drop_rows": known,
+        "impute_mean": sorted([*known, 4.0]),
+        "impute_median": sorted([*known, 3.0]),
+        "impute_mode": sorted([*known, 1.0]),
+    }
+    assert [
+        r.k for r in clean.clean(kinds, "k", "impute_mode").orderBy("i").collect()
+    ] == ["b", "a", "b", "a", "a", "c"]
     assert clean.clean(kinds, "k", "drop_column").columns == ["i"]
     assert clean.clean(kinds, "i", "cast_dtype", "Float64").dtypes[0] == ("i", "double")
     assert clean.clean(kinds, "k", "cast_dtype", "Int32", strict=False).filter("k IS NULL").count() == 6
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         clean.clean(kinds, "k", "cast_dtype", "Int32").collect()
-    for wrong in (lambda: clean.clean(kinds, "k", "cast_dtype"), lambda: clean.clean(kinds, "i", "cast_dtype", "int"), lambda: clean.clean(kinds, "i", "polish"), lambda: clean.clean(kinds, "z", "drop_rows")):
+    for wrong in (
+        lambda: clean.clean(kinds, "k", "cast_dtype"),
+        lambda: clean.clean(kinds, "i", "cast_dtype", "int"),
+        lambda: clean.clean(kinds, "i", "polish"),
+        lambda: clean.clean(kinds, "z", "drop_rows"),
+    ):
         with pytest.raises(ValueError):
             wrong()
     assert clean.clean(doubles(None, None), "x", "impute_median").filter("x IS NULL").count() == 2
 
 
 def test_gates(spark):
-    df = spark.sql("SELECT 1 AS i, 1.5 AS d, 'a' AS s, true AS b, date '2024-01-01' AS t, array(1) AS a, CAST(1 AS DOUBLE) AS f")
+    df = spark.sql(
+        "SELECT 1 AS i, 1.5 AS d, 'a' AS s, true AS b, date '2024-01-01' AS t, array(1) AS a, CAST(1 AS DOUBLE) AS f"
+    )
     assert [c for c in df.columns if types.is_numeric(df, c)] == ["i", "f"]
     assert [c for c in df.columns if types.is_categorical(df, c)] == ["s"]
     with pytest.raises(types.WrongType):
@@ -130,7 +160,10 @@ def test_gates(spark):
 
 
 def test_charts(spark):
-    df = spark.createDataFrame([("a", float(i), i) for i in range(10)] + [("b", 100.0, 1), ("a", 50.0, 2), (None, 1.0, 1)], "c string, x double, n int")
+    df = spark.createDataFrame(
+        [("a", float(i), i) for i in range(10)] + [("b", 100.0, 1), ("a", 50.0, 2), (None, 1.0, 1)],
+        "c string, x double, n int",
+    )
     kind, box = charts.chart_data(df, ["x", "c"])
     assert kind == "box"
     a = box.filter("category = 'a'").first()
@@ -157,10 +190,20 @@ def test_impact(kinds):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6))), max_size=60))
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from(["a", "b", None]),
+            st.one_of(st.none(), st.integers(-5, 5).map(float), st.floats(-1e6, 1e6)),
+        ),
+        max_size=60,
+    )
+)
 def test_quantiles_by_group(spark, rows):
     df = spark.createDataFrame(rows, "g string, x double")
-    found = {r.g: r for r in quantiles(df, "x", [("near", 0.25, "nearest"), ("line", 0.9, "linear")], ["g"]).collect()}
+    found = {
+        r.g: r for r in quantiles(df, "x", [("near", 0.25, "nearest"), ("line", 0.9, "linear")], ["g"]).collect()
+    }
     assert set(found) == {g for g, _ in rows}
     for g, r in found.items():
         xs = sorted(x for k, x in rows if k == g and x is not None)
@@ -177,7 +220,9 @@ def test_large_quantiles(spark):
     df = spark.range(200_000).select((F.xxhash64("id") % 1_000_003).cast("double").alias("x"))
     xs = sorted(r.x for r in df.collect())
     r = quantiles(df, "x", [("a", 0.01, "nearest"), ("b", 0.5, "linear"), ("c", 0.999, "nearest")]).first()
-    assert (r.a, r.b, r.c) == (xs[int(199_999 * 0.01 + 0.5)], (xs[99_999] + xs[100_000]) / 2, xs[int(199_999 * 0.999 + 0.5)])
+    assert (r.a, r.b, r.c) == (
+        xs[int(199_999 * 0.01 + 0.5)], (xs[99_999] + xs[100_000]) / 2, xs[int(199_999 * 0.999 + 0.5)]
+    )
 
 
 def test_plans_stay_in_the_engine(spark, sf):
