@@ -62,7 +62,7 @@ class Codec:
         pre = read.get("pre_tokenizer") or {}
         self.by_word = read.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.ids: dict[str, str] = {}
-        self.texts: dict[str, str] = {}
+        self.changed: dict[str, str] = {}  # words that decode to something else
         self.unseen = 0
 
     def encode(self, text: str) -> list[int]:
@@ -86,17 +86,17 @@ class Codec:
             ids = self.encode(text)
             return "".join([f"{i}," for i in ids]), self.decode(ids)
         words = WORD.findall(text)
-        ids, texts = self.ids, self.texts
+        ids = self.ids
         if new := [w for w in set(words) if w not in ids]:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            self.changed.update((w, d) for w, d in zip(new, self.tokenizer.decode_batch(found, skip_special_tokens=False), strict=True) if w != d)
             if len(ids) + len(new) > REMEMBERED:
-                ids, texts = ({w: d[w] for w in words if w in d} for d in (ids, texts))
+                ids = {w: ids[w] for w in words if w in ids}
                 self.unseen += len(new)
                 if self.unseen > REMEMBERED:  # the words have changed
-                    self.unseen, self.ids, self.texts = 0, {}, {}
+                    self.unseen, self.ids = 0, {}
             ids.update(zip(new, ["".join([f"{i}," for i in x]) for x in found], strict=True))
-            texts.update(zip(new, self.tokenizer.decode_batch(found, skip_special_tokens=False), strict=True))
-        return "".join(map(ids.__getitem__, words)), "".join(map(texts.__getitem__, words))
+        return "".join(map(ids.__getitem__, words)), "".join([self.changed.get(w, w) for w in words] if self.changed else words)
 
 
 _codecs: dict[int, Codec] = {}
