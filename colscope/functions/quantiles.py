@@ -1,13 +1,15 @@
 """Exact quantiles without sorting a table in one place.
 
-A first aggregate sketches, for each group and probability, two values around the quantile. A second pass counts the
-rows below the lower one and keeps only the few between the two; their distinct values are put in order, by group,
-and the wanted ranks are read off. Both passes aggregate before they shuffle, so no task ever holds a column.
+A first aggregate sketches, for each group and probability, two values around the quantile. A second one counts the
+rows below the lower of them. A third pass keeps only the few rows between the two; their distinct values are put in
+order, by group, and the wanted ranks are read off. All aggregate before they shuffle, so no task holds a column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,46 +57,41 @@ def quantiles(
         if not on:
             return left.crossJoin(F.broadcast(right))
         renamed = right.withColumnsRenamed({k: f"{k}r" for k in on})
-        condition = [left[k].eqNullSafe(renamed[f"{k}r"]) for k in on]
-        whole = condition[0]
-        for c in condition[1:]:
-            whole = whole & c
-        return left.join(renamed, whole, "left").drop(*[f"{k}r" for k in on])
+        same = reduce(and_, [left[k].eqNullSafe(renamed[f"{k}r"]) for k in on])
+        return left.join(renamed, same, "left").drop(*[f"{k}r" for k in on])
 
     seen = met(rows.filter("x IS NOT NULL"), sketch, keys)
-    slots = F.array(
-        *[
-            F.when(
-                F.col("x") <= F.col("b")[2 * i + 1],
-                F.struct(F.lit(i).alias("i"), (F.col("x") < F.col("b")[2 * i]).alias("below")),
-            )
-            for i in range(len(wanted))
-        ]
+    x, numbers = F.col("x"), range(len(wanted))
+    low = [F.col("b")[2 * i] for i in numbers]
+    high = [F.col("b")[2 * i + 1] for i in numbers]
+    counts = [F.count_if(x < low[i]).alias(f"c{i}") for i in numbers]
+    below = seen.groupBy(*keys).agg(*counts) if keys else seen.agg(*counts)
+    inside = F.filter(
+        F.array(*[F.when((x >= low[i]) & (x <= high[i]), F.lit(i)) for i in numbers]), lambda i: i.isNotNull()
     )
-    placed = seen.select(
-        *keys, "x", F.explode(F.filter(slots, lambda s: s.isNotNull())).alias("s")
-    ).select(*keys, "s.i", F.when(~F.col("s.below"), F.col("x")).alias("x"))
-    counted = placed.groupBy(*keys, "i", "x").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
-    ranked = met(counted.withColumn("upto", upto), sketch.select(*keys, "n"), keys).filter("x IS NOT NULL")
+    near = reduce(or_, [(x >= low[i]) & (x <= high[i]) for i in numbers])
+    counted = (
+        seen.filter(near).select(*keys, "x", F.explode(inside).alias("i")).groupBy(*keys, "i", "x")
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy("x"))
+    ranked = met(counted.withColumn("upto", upto), below, keys)
+    ranked = met(ranked, sketch.select(*keys, "n"), keys)
+    ranked = ranked.withColumn("upto", F.col("upto") + F.array(*[f"c{i}" for i in numbers])[F.col("i")])
     parts = []
     for i, (_, q, rule) in enumerate(wanted):
-        low, high, _ = RULES[rule](F.col("n"), q)
-        mine = F.col("i") == i
-        holds = lambda rank: mine & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        parts += [
-            F.max(F.when(holds(low), F.col("x"))).alias(f"l{i}"),
-            F.max(F.when(holds(high), F.col("x"))).alias(f"h{i}"),
-        ]
+        for name, rank in zip((f"l{i}", f"h{i}"), RULES[rule](F.col("n"), q), strict=False):
+            holds = (F.col("i") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+            parts.append(F.max(F.when(holds, x)).alias(name))
     found = ranked.groupBy(*keys).agg(*parts) if keys else ranked.agg(*parts)
     out = met(sketch, found, keys) if keys else sketch.crossJoin(F.broadcast(found))
     results = []
     for i, (name, q, rule) in enumerate(wanted):
         weight = RULES[rule](F.col("n"), q)[2]
-        low, high = F.col(f"l{i}"), F.col(f"h{i}")
-        exact = F.when(low == high, low).otherwise(low + (high - low) * weight)
+        lower, upper = F.col(f"l{i}"), F.col(f"h{i}")
+        exact = F.when(lower == upper, lower).otherwise(lower + (upper - lower) * weight)
         checked = F.when(F.col("n") == 0, F.lit(None).cast("double")).when(
-            low.isNull() | high.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+            lower.isNull() | upper.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
         ).otherwise(exact)
         results.append(checked.alias(name))
     return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *results)
