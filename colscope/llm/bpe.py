@@ -34,7 +34,9 @@ REMEMBERED = 400_000
 # The word pattern of byte-level BPE, for characters whose classes all versions of Unicode share.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r"
 PLAIN = re.compile("[\\t\\n\\r -~¡-¬®-ɏ]*")
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+WORD = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+)
 
 
 class Encoded(NamedTuple):
@@ -60,7 +62,11 @@ class Codec:
 
         read = json.loads(definition)
         pre = read.get("pre_tokenizer") or {}
-        self.by_word = read.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.by_word = read.get(
+            "normalizer"
+        ) is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get(
+            "add_prefix_space"
+        )
         self.ids: dict[str, str] = {}
         self.changed: dict[str, str] = {}  # words that decode to something else
         self.unseen = 0
@@ -74,7 +80,12 @@ class Codec:
     def encoded(self, text: str) -> Encoded:
         e = self.tokenizer.encode(text, add_special_tokens=False)
         word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-        return Encoded(text, np.array(e.ids, np.int64), np.array([a for a, _ in e.offsets], np.int64), np.diff(word, prepend=-2) != 0)
+        return Encoded(
+            text,
+            np.array(e.ids, np.int64),
+            np.array([a for a, _ in e.offsets], np.int64),
+            np.diff(word, prepend=-2) != 0,
+        )
 
     def written(self, text: str) -> tuple[str, str]:
         """Decimal ids with a comma after each, and what they decode to.
@@ -96,7 +107,9 @@ class Codec:
                 if self.unseen > REMEMBERED:  # the words have changed
                     self.unseen, self.ids = 0, {}
             ids.update(zip(new, ["".join([f"{i}," for i in x]) for x in found], strict=True))
-        return "".join(map(ids.__getitem__, words)), "".join([self.changed.get(w, w) for w in words] if self.changed else words)
+        return "".join(map(ids.__getitem__, words)), "".join(
+            [self.changed.get(w, w) for w in words] if self.changed else words
+        )
 
 
 _codecs: dict[int, Codec] = {}
@@ -151,14 +164,29 @@ def joined(a: Encoded, b: Encoded, encoded) -> Encoded:
             p, q = left[-1], right[0]
             head, tail = a.start < p, b.start >= q - cut
             body = (w.start >= p - begin) & (w.start < q - begin)
-            return Encoded(a.text + b.text, *(np.concatenate(x) for x in ((a.ids[head], w.ids[body], b.ids[tail]), (a.start[head], w.start[body] + begin, b.start[tail] + cut), (a.opens[head], w.opens[body], b.opens[tail]))))
+            return Encoded(
+                a.text + b.text,
+                *(
+                    np.concatenate(x)
+                    for x in (
+                        (a.ids[head], w.ids[body], b.ids[tail]),
+                        (a.start[head], w.start[body] + begin, b.start[tail] + cut),
+                        (a.opens[head], w.opens[body], b.opens[tail]),
+                    )
+                ),
+            )
         size *= 4
 
 
 def tree(parts: list[Encoded], encoded) -> Encoded:
     """Neighbours joined pairwise until one is left."""
     while len(parts) > 1:
-        parts = [joined(*pair, encoded) if len(pair) == 2 else pair[0] for pair in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+        parts = [
+            joined(*pair, encoded)
+            if len(pair) == 2
+            else pair[0]
+            for pair in (parts[i : i + 2] for i in range(0, len(parts), 2))
+        ]
     return parts[0]
 
 
@@ -166,38 +194,78 @@ def _digests(ids: str, text: str) -> tuple[int, str, str]:
     return ids.count(","), hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
+def _encoded_long(
+    rows: DataFrame, definition, finish, schema: str, names: list[str], types: list[pa.DataType]
+) -> DataFrame:
     """``finish(codec, tokens)`` for the texts of ``rows (key, text)``; equal rows are encoded once and all returned."""
     field = rows.schema["key"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             out = [(k, h, i, x) for k, text, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for i, x in enumerate(pieces(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], b.schema.field(0).type), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int32()), pa.array([r[3] for r in out], pa.string())], names=["key", "h", "piece", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in out], b.schema.field(0).type),
+                    pa.array([r[1] for r in out], pa.string()),
+                    pa.array([r[2] for r in out], pa.int32()),
+                    pa.array([r[3] for r in out], pa.string()),
+                ],
+                names=["key", "h", "piece", "text"],
+            )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(definition.value)
         for b in slices(batches, 3):
             found = [c.encoded(t) for t in b.column(3).to_pylist()]
             kind = np.uint16 if c.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([f(x).tobytes() for x in found], pa.binary()) for f in (lambda x: x.ids.astype(kind), lambda x: x.start.astype(np.uint16), lambda x: np.packbits(x.opens))]], names=["key", "h", "piece", "text", "ids", "start", "opens"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns,
+                    *[
+                        pa.array([f(x).tobytes() for x in found], pa.binary())
+                        for f in (
+                            lambda x: x.ids.astype(kind),
+                            lambda x: x.start.astype(np.uint16),
+                            lambda x: np.packbits(x.opens),
+                        )
+                    ],
+                ],
+                names=["key", "h", "piece", "text", "ids", "start", "opens"],
+            )
 
     def join(t: pa.Table) -> pa.Table:
         c = codec(definition.value)
         kind = np.uint16 if c.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         t = t.sort_by("piece")
         parts, copies = {}, 0
-        for piece, text, ids, start, opens in zip(*(t.column(n).to_pylist() for n in ("piece", "text", "ids", "start", "opens")), strict=True):
+        for piece, text, ids, start, opens in zip(
+            *(t.column(n).to_pylist() for n in ("piece", "text", "ids", "start", "opens")), strict=True
+        ):
             copies += piece == 0
             if piece not in parts:
                 at = np.frombuffer(ids, kind).astype(np.int64)
-                parts[piece] = Encoded(text, at, np.frombuffer(start, np.uint16).astype(np.int64), np.unpackbits(np.frombuffer(opens, np.uint8), count=len(at)).astype(bool))
+                parts[piece] = Encoded(
+                    text,
+                    at,
+                    np.frombuffer(start, np.uint16).astype(np.int64),
+                    np.unpackbits(np.frombuffer(opens, np.uint8), count=len(at)).astype(bool),
+                )
         values = finish(c, tree(list(parts.values()), c.encoded).ids.tolist())
         key = t.column("key")[0]
-        return pa.table([pa.array([key.as_py()] * copies, t.schema.field("key").type), *[pa.array([v] * copies, t) for v, t in zip(values, types, strict=True)]], names=names)
-
-    cut_up = rows.withColumn("h", F.sha2("text", 256)).mapInArrow(cut, f"key {field}, h string, piece int, text string")
-    leaves = cut_up.repartition("h", "piece").mapInArrow(encode, f"key {field}, h string, piece int, text string, ids binary, start binary, opens binary")
+        return pa.table(
+            [
+                pa.array([key.as_py()] * copies, t.schema.field("key").type),
+                *[pa.array([v] * copies, t) for v, t in zip(values, types, strict=True)],
+            ],
+            names=names,
+        )
+
+    cut_up = rows.withColumn("h", F.sha2("text", 256)).mapInArrow(
+        cut, f"key {field}, h string, piece int, text string"
+    )
+    leaves = cut_up.repartition("h", "piece").mapInArrow(
+        encode, f"key {field}, h string, piece int, text string, ids binary, start binary, opens binary"
+    )
     return leaves.groupBy("key", "h").applyInArrow(join, schema)
 
 
@@ -209,14 +277,23 @@ def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[key].dataType.simpleString()
     names = ["key", *[c.split()[0] for c in columns.split(", ")]]
-    types = [pa.from_numpy_dtype(np.int64) if c.split()[1] == "long" else pa.list_(pa.int32()) if c.split()[1] == "array<int>" else pa.string() for c in columns.split(", ")]
+    types = [
+        pa.from_numpy_dtype(np.int64)
+        if c.split()[1] == "long"
+        else pa.list_(pa.int32())
+        if c.split()[1] == "array<int>"
+        else pa.string()
+        for c in columns.split(", ")
+    ]
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(definition.value)
         for b in slices(batches, 1):
             found = list(zip(*[short(c, t) for t in b.column(1).to_pylist()], strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(found, types, strict=True)]], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *[pa.array(x, t) for x, t in zip(found, types, strict=True)]], names=names
+            )
 
     schema = f"key {kind}, {columns}"
     out = rows.filter(F.char_length("text") <= long).mapInArrow(whole, schema)
@@ -238,9 +315,14 @@ def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(definition.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.string())],
+                names=["key", "text"],
+            )
 
-    return df.select(F.col(key).alias("key"), ids).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, text string").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), ids).mapInArrow(
+        run, f"key {df.schema[key].dataType.simpleString()}, text string"
+    ).withColumnRenamed("key", key)
 
 
 def token_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
@@ -250,4 +332,13 @@ def token_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "te
     def finish(c: Codec, ids: list[int]) -> tuple[int, str, str]:
         return _digests("".join([f"{i}," for i in ids]), c.decode(ids))
 
-    return _run(df, path, key, text, lambda c, t: _digests(*c.written(t)), finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", long)
+    return _run(
+        df,
+        path,
+        key,
+        text,
+        lambda c, t: _digests(*c.written(t)),
+        finish,
+        "n_tokens long, ids_sha256 string, decoded_sha256 string",
+        long,
+    )

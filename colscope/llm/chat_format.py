@@ -40,7 +40,17 @@ def unescape_role(role: Column) -> Column:
 
 def text_part(text: Column) -> Column:
     """A plain text as a list of one part."""
-    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages")))
+    return F.array(
+        F.struct(
+            F.lit("text").alias("kind"),
+            text.alias("text"),
+            F.lit(None).cast("string").alias("ref"),
+            F.lit(None).cast("int").alias("width"),
+            F.lit(None).cast("int").alias("height"),
+            F.lit(None).cast("double").alias("seconds"),
+            F.lit(None).cast("int").alias("pages"),
+        )
+    )
 
 
 def _attached(part: Column) -> Column:
@@ -55,11 +65,19 @@ def visit_parts(parts: Column) -> dict[str, Column]:
     parts = F.coalesce(parts, F.array().cast(PART_SCHEMA))
 
     def tokens(part: Column) -> Column:
-        patches = F.ceil(F.coalesce(part["width"], F.lit(0)) / F.lit(PATCH)) * F.ceil(F.coalesce(part["height"], F.lit(0)) / F.lit(PATCH))
-        return F.when(part["kind"] == "image", patches).when(part["kind"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * F.lit(AUDIO_RATE))).when(part["kind"] == "document", F.coalesce(part["pages"], F.lit(0)).cast("long") * F.lit(PAGE_TOKENS)).otherwise(F.lit(0)).cast("long")
+        patches = F.ceil(F.coalesce(part["width"], F.lit(0)) / F.lit(PATCH)) * F.ceil(
+            F.coalesce(part["height"], F.lit(0)) / F.lit(PATCH)
+        )
+        return F.when(part["kind"] == "image", patches).when(
+            part["kind"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * F.lit(AUDIO_RATE))
+        ).when(
+            part["kind"] == "document", F.coalesce(part["pages"], F.lit(0)).cast("long") * F.lit(PAGE_TOKENS)
+        ).otherwise(F.lit(0)).cast("long")
 
     def shown(part: Column) -> Column:
-        return F.when(_attached(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape(part["text"]))
+        return F.when(
+            _attached(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))
+        ).otherwise(escape(part["text"]))
 
     attached = F.filter(parts, _attached)
     return {
@@ -75,10 +93,30 @@ def format_turns(df: DataFrame, role: str = "role", text: str | None = "text", p
     seen = visit_parts(F.col(parts) if parts else text_part(F.col(text)))
     head = F.concat(F.lit(START), escape_role(F.col(role)), F.lit("\n"))
     learned = F.coalesce(F.col(role) == "assistant", F.lit(False))
-    return df.withColumns({"__body": seen["body"], "attachments": seen["attachments"], "media_tokens": seen["media_tokens"], "__head": head}).withColumns({"turn_text": F.concat("__head", "__body", F.lit(END)), "loss_from": F.char_length("__head"), "loss_len": F.when(learned, F.char_length("__body")).otherwise(F.lit(0))}).drop("__body", "__head")
-
-
-def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None) -> DataFrame:
+    return df.withColumns(
+        {
+            "__body": seen["body"],
+            "attachments": seen["attachments"],
+            "media_tokens": seen["media_tokens"],
+            "__head": head,
+        }
+    ).withColumns(
+        {
+            "turn_text": F.concat("__head", "__body", F.lit(END)),
+            "loss_from": F.char_length("__head"),
+            "loss_len": F.when(learned, F.char_length("__body")).otherwise(F.lit(0)),
+        }
+    ).drop("__body", "__head")
+
+
+def format_conversations(
+    df: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    role: str = "role",
+    text: str | None = "text",
+    parts: str | None = None,
+) -> DataFrame:
     """One row a conversation: ``conv, formatted, loss_mask, attachments, media_tokens``.
 
     ``loss_mask`` has, for each turn, the code points ``from`` the turn's start on and the ``len`` of them that
@@ -87,7 +125,9 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     meet in one place; use ``format_turns`` where only single turns are needed.
     """
     piece = F.struct(F.col(turn).alias("turn"), "turn_text", "loss_from", "loss_len", "attachments", "media_tokens")
-    grouped = format_turns(df, role, text, parts).groupBy(F.col(conv).alias(conv)).agg(F.sort_array(F.collect_list(piece)).alias("t"))
+    grouped = format_turns(df, role, text, parts).groupBy(F.col(conv).alias(conv)).agg(
+        F.sort_array(F.collect_list(piece)).alias("t")
+    )
     return grouped.select(
         conv,
         F.array_join(F.transform("t", lambda t: t["turn_text"]), "").alias("formatted"),
@@ -104,7 +144,13 @@ def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
     def turn(piece: Column) -> Column:
         end = F.instr(piece, "\n")
         body = F.substring(piece, end + 1, F.char_length(piece) - end - len(END))
-        return F.struct(unescape_role(F.substring(piece, F.lit(1), end - 1)).alias("role"), unescape(body).alias("text"))
+        return F.struct(
+            unescape_role(F.substring(piece, F.lit(1), end - 1)).alias("role"), unescape(body).alias("text")
+        )
 
-    masked = F.zip_with("pieces", "loss_mask", lambda p, m: unescape(F.substring(p, m["from"] - len(START) + 1, m["len"])))
-    return df.withColumn("pieces", pieces).select(conv, "formatted", F.transform("pieces", turn).alias("turns"), F.array_join(masked, "").alias("loss_text"))
+    masked = F.zip_with(
+        "pieces", "loss_mask", lambda p, m: unescape(F.substring(p, m["from"] - len(START) + 1, m["len"]))
+    )
+    return df.withColumn("pieces", pieces).select(
+        conv, "formatted", F.transform("pieces", turn).alias("turns"), F.array_join(masked, "").alias("loss_text")
+    )

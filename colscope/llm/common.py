@@ -84,5 +84,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, key: str, rows: int, salts: in
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(lookup), key, "left")
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind]), F.lit(salts))
-    many = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    many = lookup.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    )
     return df.withColumn("__salt", spread).join(many, [key, "__salt"], "left").drop("__salt")

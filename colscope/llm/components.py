@@ -18,7 +18,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = tied.select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter("u != v").distinct()
 
 
@@ -29,11 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     split. Each round's edges are checkpointed; the number of rounds grows with the logarithm of a component's
     diameter. Loops are ignored.
     """
-    now = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
+    now = checkpointed(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    )
     seen = None
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
         seen = mark
         now = checkpointed(_star(_star(now, True), False))

@@ -20,23 +20,48 @@ from pyspark.sql import functions as F
 from .common import checkpointed, join_lookup, small_batches
 from .vector_text import slices
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 NAME_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-SCOPE = frozenset("article aside blockquote body button caption details div fieldset footer form header html li main nav object section table td th ul ol".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+}
+SCOPE = frozenset(
+    "article aside blockquote body button caption details div fieldset footer form header html li main nav object section table td th ul ol".split()
+)
 
 #: Elements and names that are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
-NOT_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu object canvas audio video map datalist".split())
-NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-NOT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner banners skip hidden copyright disclaimer form search".split())
-NOT_ENDINGS = ("sidebar", "navbar", "nav", "menu", "footer", "comments", "advert", "masthead", "pageheader", "siteheader")
+NOT_TAGS = frozenset(
+    "head nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu object canvas audio video map datalist".split()
+)
+NOT_ROLES = frozenset(
+    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
+)
+NOT_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner banners skip hidden copyright disclaimer form search".split()
+)
+NOT_ENDINGS = (
+    "sidebar", "navbar", "nav", "menu", "footer", "comments", "advert", "masthead", "pageheader", "siteheader"
+)
 NOT_BEGINNINGS = ("comment", "cookie", "advert", "sidebar", "newsletter", "sponsor")
 ARTICLE_NAMES = frozenset("article content entry post story body text main maincontent articlebody prose".split())
 ROOTS = frozenset("html body main article".split())
@@ -74,7 +99,9 @@ def _weight(tag: str, a: dict[str, str], names: set[str], depth: int) -> float:
 
 
 def _unwanted(name: str) -> bool:
-    return name in NOT_NAMES or name.endswith(NOT_ENDINGS) or (name.startswith(NOT_BEGINNINGS) and name != "commentary")
+    return name in NOT_NAMES or name.endswith(NOT_ENDINGS) or (
+        name.startswith(NOT_BEGINNINGS) and name != "commentary"
+    )
 
 
 def _open(tag: str, attributes: str, parent: Node | None) -> Node:
@@ -92,10 +119,19 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
     bad = {n for n in names if _unwanted(n)}
     if bad <= {"header", "banner"} and names & ARTICLE_NAMES:
         bad = set()
-    dropped = tag in NOT_TAGS or (tag not in ROOTS and (role in NOT_ROLES or bool(bad))) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
+    dropped = tag in NOT_TAGS or (
+        tag not in ROOTS and (role in NOT_ROLES or bool(bad))
+    ) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
     depth = parent.depth + 1 if parent else 0
     path = label if parent is None else f"{parent.path}>{label}" if depth < MOST_LEVELS else parent.path
-    return Node(tag, path, depth, dropped or bool(parent and parent.dropped), tag == "a" or bool(parent and parent.link), _weight(tag, a, names, depth))
+    return Node(
+        tag,
+        path,
+        depth,
+        dropped or bool(parent and parent.dropped),
+        tag == "a" or bool(parent and parent.link),
+        _weight(tag, a, names, depth),
+    )
 
 
 def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
@@ -174,12 +210,16 @@ def scores(html: str) -> dict[str, int]:
     whole = 0
     inside: list[Node] = []
     for kind, node, text in walk(html):
-        if kind == "open" and node.tag not in INLINE and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "pre", "blockquote"):
+        if kind == "open" and node.tag not in INLINE and node.tag not in (
+            "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "pre", "blockquote"
+        ):
             if node.depth < MOST_LEVELS:
                 inside.append(node)
         elif kind == "close" and inside and inside[-1] is node:
             inside.pop()
-        elif kind == "text" and (node is None or not (node.dropped or node.link)) and (n := len("".join(text.split()))):
+        elif kind == "text" and (
+            node is None or not (node.dropped or node.link)
+        ) and (n := len("".join(text.split()))):
             whole += n
             for path, x in {x.path: x for x in inside}.items():
                 chars[path] += n
@@ -223,7 +263,9 @@ def extract(html: str | None, path: str | None) -> str:
 
 
 def with_host(df: DataFrame, url: str) -> DataFrame:
-    return df.withColumn("__host", F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1)))
+    return df.withColumn(
+        "__host", F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1))
+    )
 
 
 def host_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -236,7 +278,14 @@ def host_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for path, n in scores(page or "").items():
                     votes[host, path] += n
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["__host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([h for h, _ in votes], pa.string()),
+                    pa.array([p for _, p in votes], pa.string()),
+                    pa.array(list(votes.values()), pa.int64()),
+                ],
+                names=["__host", "path", "votes"],
+            )
 
     cast = with_host(df, url).select("__host", html).mapInArrow(vote, "__host string, path string, votes long")
     totals = cast.groupBy("__host", "path").agg(F.sum("votes").alias("votes"))
@@ -249,12 +298,24 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: st
     small_batches(df.sparkSession)
     winners = checkpointed(host_paths(df, url, html))
     rows = with_host(df.select(key, url, html), url)
-    found = join_lookup(rows, winners, "__host", winners.count()).select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), "__path")
+    found = join_lookup(rows, winners, "__host", winners.count()).select(
+        F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), "__path"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2, 16 << 20):
             texts = [extract(h, p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    b.column(1),
+                    pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                ],
+                names=["key", "url", "text", "n_chars"],
+            )
 
     kind = df.schema[key].dataType.simpleString()
-    return found.mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key).withColumnRenamed("url", url)
+    return found.mapInArrow(
+        run, f"key {kind}, url string, text string, n_chars long"
+    ).withColumnRenamed("key", key).withColumnRenamed("url", url)

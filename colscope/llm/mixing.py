@@ -29,7 +29,9 @@ def order_key(key: Column, block: Column, seed: int) -> Column:
 
 def source_totals(rows: DataFrame) -> DataFrame:
     """``source, rows, tokens, share`` from ``rows (key, source, tokens)``; empty sources have a null share."""
-    totals = checkpointed(rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens")))
+    totals = checkpointed(
+        rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens"))
+    )
     whole = totals.agg(F.sum("tokens")).first()[0] or 0
     return totals.withColumn("share", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(float(max(whole, 1)))))
 
@@ -71,7 +73,13 @@ def exponent(sources: DataFrame, max_repeats: float | None, target_entropy: floa
     return high if max_repeats is not None else low
 
 
-def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 0) -> tuple[DataFrame, int]:
+def plan(
+    rows: DataFrame,
+    max_repeats: float | None = 2.0,
+    target_entropy: float | None = None,
+    budget: float | None = None,
+    seed: int = 0,
+) -> tuple[DataFrame, int]:
     """For each source of ``rows (key, source, tokens)`` its ``weight, epochs, blocks`` (whole ones) and ``until``, the
     last order key of the block after them (null: none); and how many sources there are.
 
@@ -81,29 +89,60 @@ def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     sources = source_totals(rows)
     a = exponent(sources, max_repeats, target_entropy)
     power = F.pow(F.col("share"), F.lit(a))
-    figures = sources.agg(F.sum(power), F.min(power / F.col("share")), F.sum("tokens"), F.count(F.lit(1)), F.max("rows")).first()
+    figures = sources.agg(
+        F.sum(power), F.min(power / F.col("share")), F.sum("tokens"), F.count(F.lit(1)), F.max("rows")
+    ).first()
     z, least, tokens, n, most_rows = figures[0] or 1.0, figures[1] or 1.0, figures[2] or 0, figures[3], figures[4] or 0
     per_token = 1 / least if budget is None else budget / max(tokens, 1) / z
     epochs = F.coalesce(power / F.col("share") * F.lit(per_token), F.lit(1.0))
     # A millionth of a block, such as rounding may leave, is none.
-    planned = sources.withColumn("weight", F.coalesce(power / F.lit(z), F.lit(0.0))).withColumn("epochs", epochs).withColumn("blocks", F.floor(F.col("epochs") + F.lit(1e-6)).cast("long"))
-    planned = checkpointed(planned.withColumn("part", F.greatest(F.round((F.col("epochs") - F.col("blocks")) * F.col("tokens"), 0), F.lit(0.0)).cast("long")))
+    planned = sources.withColumn(
+        "weight", F.coalesce(power / F.lit(z), F.lit(0.0))
+    ).withColumn("epochs", epochs).withColumn(
+        "blocks", F.floor(F.col("epochs") + F.lit(1e-6)).cast("long")
+    )
+    planned = checkpointed(
+        planned.withColumn(
+            "part",
+            F.greatest(F.round((F.col("epochs") - F.col("blocks")) * F.col("tokens"), 0), F.lit(0.0)).cast("long"),
+        )
+    )
     bits = min(max(math.ceil(math.log2(max(most_rows, 1) / RANGE_ROWS)), 4), 20) if most_rows > RANGE_ROWS else 4
     partial = planned.filter("part > 0").select("source", "blocks", "part")
-    keyed = join_lookup(rows, partial, "source", n).filter(F.col("part").isNotNull()).withColumn("order_key", order_key(F.col("key"), F.col("blocks"), seed))
-    keyed = checkpointed(keyed.withColumn("range", F.shiftright("order_key", 60 - bits)).select("source", "part", "range", "order_key", "tokens"))
+    keyed = join_lookup(rows, partial, "source", n).filter(F.col("part").isNotNull()).withColumn(
+        "order_key", order_key(F.col("key"), F.col("blocks"), seed)
+    )
+    keyed = checkpointed(
+        keyed.withColumn("range", F.shiftright("order_key", 60 - bits)).select(
+            "source", "part", "range", "order_key", "tokens"
+        )
+    )
     ranges = keyed.groupBy("source", "part", "range").agg(F.sum("tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("range")) - F.col("tokens")
-    crossing = ranges.withColumn("before", before).filter(F.col("before") < F.col("part")).groupBy("source").agg(F.max_by(F.struct("range", "before"), "range").alias("last")).select("source", "last.range", "last.before")
+    crossing = ranges.withColumn("before", before).filter(F.col("before") < F.col("part")).groupBy("source").agg(
+        F.max_by(F.struct("range", "before"), "range").alias("last")
+    ).select("source", "last.range", "last.before")
     inside = keyed.join(F.broadcast(crossing) if n <= 10_000 else crossing, ["source", "range"])
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("order_key")) - F.col("tokens")
-    ends = inside.withColumn("at", F.col("before") + running).filter(F.col("at") < F.col("part")).groupBy("source").agg(F.max("order_key").alias("until"))
-    return checkpointed(planned.join(ends, "source", "left").select("source", "weight", "epochs", "blocks", "until")), n
+    ends = inside.withColumn(
+        "at", F.col("before") + running
+    ).filter(F.col("at") < F.col("part")).groupBy("source").agg(
+        F.max("order_key").alias("until")
+    )
+    return checkpointed(
+        planned.join(ends, "source", "left").select("source", "weight", "epochs", "blocks", "until")
+    ), n
 
 
 def narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``key, source, tokens`` of every row; tokens are words, a null source is the empty one."""
-    return checkpointed(df.select(F.col(key).alias("key"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.size(words(F.col(text))).cast("long").alias("tokens")))
+    return checkpointed(
+        df.select(
+            F.col(key).alias("key"),
+            F.coalesce(F.col(source), F.lit("")).alias("source"),
+            F.size(words(F.col(text))).cast("long").alias("tokens"),
+        )
+    )
 
 
 def _blocks(rows: DataFrame, sources: DataFrame, n: int, key: str, seed: int) -> DataFrame:
@@ -113,10 +152,21 @@ def _blocks(rows: DataFrame, sources: DataFrame, n: int, key: str, seed: int) ->
     last = F.col("__until").isNotNull() & (order_key(F.col(key), F.col("__blocks"), seed) <= F.col("__until"))
     upto = F.col("__blocks") - F.when(last, F.lit(0)).otherwise(F.lit(1))
     numbers = F.when(upto >= 0, F.sequence(F.lit(0).cast("long"), upto)).otherwise(F.array().cast("array<long>"))
-    return found.withColumn("__block", F.explode(numbers)).withColumn("__order_key", order_key(F.col(key), F.col("__block"), seed))
-
-
-def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
+    return found.withColumn("__block", F.explode(numbers)).withColumn(
+        "__order_key", order_key(F.col(key), F.col("__block"), seed)
+    )
+
+
+def mixture(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    max_repeats: float | None = 2.0,
+    target_entropy: float | None = None,
+    budget: float | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """One row for each time that a row of ``df`` is in the mixture: ``key, source, n_tokens, weight, epochs, block,
     order_key``. Read source by source in order of ``block, order_key``, it is a sequence of block permutations.
 
@@ -126,10 +176,29 @@ def mixture(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = narrow(df, key, text, source)
     sources, n = plan(rows, max_repeats, target_entropy, budget, seed)
     out = _blocks(rows.withColumnRenamed("source", "__source"), sources, n, "key", seed)
-    return out.select(F.col("key").alias(key), F.col("__source").alias("source"), F.col("tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__epochs").alias("epochs"), F.col("__block").alias("block"), F.col("__order_key").alias("order_key"))
-
-
-def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
+    return out.select(
+        F.col("key").alias(key),
+        F.col("__source").alias("source"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("__weight").alias("weight"),
+        F.col("__epochs").alias("epochs"),
+        F.col("__block").alias("block"),
+        F.col("__order_key").alias("order_key"),
+    )
+
+
+def mixed_rows(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    max_repeats: float | None = 2.0,
+    target_entropy: float | None = None,
+    budget: float | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """The mixture itself: the rows of ``df``, with its columns, as often as they are in it."""
     sources, n = plan(narrow(df, key, text, source), max_repeats, target_entropy, budget, seed)
-    return _blocks(df.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, n, key, seed).select(*[F.col(f"`{c}`") for c in df.columns])
+    return _blocks(
+        df.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, n, key, seed
+    ).select(*[F.col(f"`{c}`") for c in df.columns])

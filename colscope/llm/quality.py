@@ -30,12 +30,31 @@ def repeated_words(w: Column) -> Column:
 
     def covered(h: Column) -> Column:
         def from_sorted(s: Column) -> Column:
-            same = F.filter(F.transform(s, lambda x, j: F.when((x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]), x["i"])), lambda i: i.isNotNull())
-            return let(F.sort_array(same), lambda p: F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x))
-
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), from_sorted))
+            same = F.filter(
+                F.transform(
+                    s,
+                    lambda x, j: F.when((x["h"] == F.get(s, j - 1)["h"]) | (x["h"] == F.get(s, j + 1)["h"]), x["i"]),
+                ),
+                lambda i: i.isNotNull(),
+            )
+            return let(
+                F.sort_array(same),
+                lambda p: F.aggregate(
+                    F.transform(
+                        p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)))
+                    ),
+                    F.lit(0).cast("long"),
+                    lambda a, x: a + x,
+                ),
+            )
+
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), from_sorted)
+        )
 
-    hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    hashes = F.transform(
+        F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
+    )
     return F.when(n > WINDOW, let(hashes, covered)).otherwise(F.lit(0).cast("long"))
 
 
@@ -59,8 +78,17 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
 def judged(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """All columns, the measures as columns in front of which ``__`` stands, ``__host`` and the rules' failures."""
     m = F.col("__m")
-    named = {"__n_words": m["n_words"], "__word_chars": m["word_chars"], "__n_symbols": m["n_symbols"], "__n_dup_lines": m["lines"]["dup"], "__n_lines": m["lines"]["all"], "__n_repeat_words": m["n_repeat_words"]}
-    out = measured(df, text).withColumns(named).drop("__m").withColumn("__host", F.lower(F.trim(F.coalesce(F.col(host), F.lit("")))))
+    named = {
+        "__n_words": m["n_words"],
+        "__word_chars": m["word_chars"],
+        "__n_symbols": m["n_symbols"],
+        "__n_dup_lines": m["lines"]["dup"],
+        "__n_lines": m["lines"]["all"],
+        "__n_repeat_words": m["n_repeat_words"],
+    }
+    out = measured(df, text).withColumns(named).drop("__m").withColumn(
+        "__host", F.lower(F.trim(F.coalesce(F.col(host), F.lit(""))))
+    )
     failed = {
         "__too_short": F.col("__n_words") < MIN_WORDS,
         "__repeats_words": 100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"),
@@ -76,16 +104,24 @@ def host_rates(rows: DataFrame) -> DataFrame:
     The prior is beta(m s, (1 - m) s): m is the mean of the hosts' rates, each host counting by its documents, and
     s follows from their variance beyond binomial noise. Both are single figures that pass through the driver.
     """
-    counts = [F.count(F.lit(1)).alias("n_docs"), F.count_if("__base_failed").alias("n_failed"), *[F.count_if(f"__{r}").alias(f"n_{r}") for r in RULES]]
+    counts = [
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count_if("__base_failed").alias("n_failed"),
+        *[F.count_if(f"__{r}").alias(f"n_{r}") for r in RULES],
+    ]
     hosts = checkpointed(rows.groupBy("__host").agg(*counts))
     total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f")).first()
     n, k = total["n"] or 1, total["k"] or 1
     mean = (total["f"] or 0) / n
-    spread = hosts.agg(F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), F.lit(2.0)))).first()[0] or 0.0
+    spread = hosts.agg(
+        F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), F.lit(2.0)))
+    ).first()[0] or 0.0
     noise = mean * (1 - mean)
     extra = spread / n - noise * k / n
     strength = min(max(noise / extra - 1, MIN_STRENGTH), MAX_STRENGTH) if extra > 0 else MAX_STRENGTH
-    return hosts.withColumn("rate", (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength)))
+    return hosts.withColumn(
+        "rate", (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
+    )
 
 
 def rejected_hosts(rows: DataFrame, max_rate: float = MAX_HOST_RATE) -> tuple[DataFrame, int]:
@@ -94,19 +130,33 @@ def rejected_hosts(rows: DataFrame, max_rate: float = MAX_HOST_RATE) -> tuple[Da
     return bad, bad.count()
 
 
-def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def quality_rules(
+    df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE
+) -> DataFrame:
     """Every document's measures and verdicts: ``key, host, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, host_rejected, kept``.
 
     Null texts have no words; null hosts count as the empty one, hosts are compared trimmed and in lower case.
     Repeated rows are judged, and count for their host, each for itself. Extra columns are ignored.
     """
-    rows = checkpointed(judged(df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(host).alias("__source")), "__text", "__source").drop("__text", "__source"))
+    rows = checkpointed(
+        judged(
+            df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(host).alias("__source")),
+            "__text",
+            "__source",
+        ).drop("__text", "__source")
+    )
     bad, n = rejected_hosts(rows, max_rate)
     out = join_lookup(rows, bad, "__host", n) if n else rows.withColumn("__rejected", F.lit(None).cast("boolean"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     rejected = F.coalesce("__rejected", F.lit(False))
-    return out.select(F.col("__key").alias(key), F.col("__host").alias("host"), *[F.col(f"__{c}").alias(c) for c in names], rejected.alias("host_rejected"), (~F.col("__base_failed") & ~rejected).alias("kept"))
+    return out.select(
+        F.col("__key").alias(key),
+        F.col("__host").alias("host"),
+        *[F.col(f"__{c}").alias(c) for c in names],
+        rejected.alias("host_rejected"),
+        (~F.col("__base_failed") & ~rejected).alias("kept"),
+    )
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -32,7 +32,9 @@ def ring_owners(n_shards: int, vnodes: int, cells: int) -> list[int]:
     return owners
 
 
-def place(counts: list[int], owners: list[int], n_shards: int, epsilon: float) -> list[tuple[int, int, int, int, int]]:
+def place(
+    counts: list[int], owners: list[int], n_shards: int, epsilon: float
+) -> list[tuple[int, int, int, int, int]]:
     """Segments ``(cell, from rank, to rank, shard, slot of the first)`` that respect every capacity.
 
     With ``epsilon`` 0 the capacities add up to the number of rows and differ by one at most, so all shards are
@@ -69,7 +71,15 @@ def place(counts: list[int], owners: list[int], n_shards: int, epsilon: float) -
     return segments
 
 
-def shard_bounded(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 16, vnodes: int = 64, cells: int = 4096, epsilon: float = 0.0) -> DataFrame:
+def shard_bounded(
+    df: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    n_shards: int = 16,
+    vnodes: int = 64,
+    cells: int = 4096,
+    epsilon: float = 0.0,
+) -> DataFrame:
     """Give every row a shard and a gapless slot in it: ``key, size, text_crc32, law, shard, slot, grown_shard``.
 
     ``size`` is the UTF-8 length of the text plus 1 and ``text_crc32`` its CRC-32 (null texts count as empty).
@@ -85,7 +95,29 @@ def shard_bounded(df: DataFrame, key: str = "doc_id", text: str = "text", n_shar
     segments = place([found.get(c, 0) for c in range(cells)], owners, n_shards, epsilon)
     plan = df.sparkSession.createDataFrame(segments, "cell int, first long, until long, shard int, base long")  # cells + shards rows and a few
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("key"), (F.octet_length(content).cast("long") + 1).alias("size"), F.crc32(content).cast("long").alias("text_crc32"), cell.alias("cell"), position.alias("position"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("position", "key", "size", "text_crc32")).cast("long") - 1)
-    placed = ranked.join(F.broadcast(plan), (ranked["cell"] == plan["cell"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["until"]))
-    return placed.select(F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    rows = df.select(
+        F.col(key).alias("key"),
+        (F.octet_length(content).cast("long") + 1).alias("size"),
+        F.crc32(content).cast("long").alias("text_crc32"),
+        cell.alias("cell"),
+        position.alias("position"),
+    )
+    ranked = rows.withColumn(
+        "rank",
+        F.row_number().over(
+            Window.partitionBy("cell").orderBy("position", "key", "size", "text_crc32")
+        ).cast("long") - 1,
+    )
+    placed = ranked.join(
+        F.broadcast(plan),
+        (ranked["cell"] == plan["cell"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["until"]),
+    )
+    return placed.select(
+        F.col("key").alias(key),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        (F.col("base") + F.col("rank") - F.col("first")).alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

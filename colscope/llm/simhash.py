@@ -11,6 +11,7 @@ are compared with all that came, on all 64 bits. Of the links that a task finds
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ SHINGLE, DISTANCE = 4, 4
 #: Offset and length of the parts of a fingerprint.
 PARTS = ((0, 22), (22, 21), (43, 21))
 HAMMING = 15
-#: Pairs that are compared at once in memory, and rows of unique fingerprints that make a task.
-PAIRS, ROWS_A_BUCKET = 1 << 20, 30_000
+#: Pairs that are compared at once in memory, and unique fingerprints that make a task: at least, and at most.
+PAIRS, ROWS_A_BUCKET, MOST_A_BUCKET = 1 << 20, 30_000, 240_000
 
 
 def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
@@ -64,16 +65,20 @@ def fingerprints(texts: list[str | None], k: int = SHINGLE) -> np.ndarray:
 
 def fingerprint_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, fp`` of every row; texts are read whole, in slices of bounded size, and never shuffled."""
-
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1).to_pylist()).view(np.int64))], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fingerprints(b.column(1).to_pylist()).view(np.int64))], names=["key", "fp"]
+            )
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        run, f"key {df.schema[key].dataType.simpleString()}, fp long"
+    )
 
 
+@cache
 def _hamming_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each 15-bit word its nearest codeword, and the codewords within distance 2, the nearest first, then -1."""
     words = np.arange(1 << HAMMING)
@@ -125,7 +130,9 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def linked(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked(
+    anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = DISTANCE
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among fingerprints that share an anchor, as forests.
 
     Those at home are compared with all there, ``PAIRS`` at a time. Where an anchor has so many that this would
@@ -172,7 +179,8 @@ def linked(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, most: int = DIS
 
 def link_edges(unique: DataFrame, n_unique: int) -> DataFrame:
     """``u, v``: forests over the unique fingerprints ``fp`` that have the same components as all links."""
-    buckets = max(16, -(-n_unique // ROWS_A_BUCKET) * len(PARTS))
+    rows = min(max(ROWS_A_BUCKET, n_unique // 2000), MOST_A_BUCKET)  # a task's copies are packed by bucket
+    buckets = max(16, -(-n_unique // rows) * len(PARTS))
     kind = np.dtype([("a", "<i4"), ("f", "<u8"), ("h", "?")])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +192,21 @@ def link_edges(unique: DataFrame, n_unique: int) -> DataFrame:
             for part, anchor, which, is_home in anchors(fp):
                 rows = np.empty(len(which), kind)
                 rows["a"], rows["f"], rows["h"] = anchor, fp[which], is_home
-                parts.append((mixed(anchor.astype(U64) + U64(part << 32), 1) % U64(buckets), np.full(len(which), part), rows))
+                parts.append(
+                    (mixed(anchor.astype(U64) + U64(part << 32), 1) % U64(buckets), np.full(len(which), part), rows)
+                )
             bucket, part, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
             place = bucket.astype(np.int64) * len(PARTS) + part
             order = np.argsort(place, kind="stable")
             place, rows = place[order], rows[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-            yield pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), pa.array([rows[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["place", "sent"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place[cuts[:-1]]),
+                    pa.array([rows[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                ],
+                names=["place", "sent"],
+            )
 
     def compare(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("sent").to_pylist()), kind)
@@ -201,7 +217,9 @@ def link_edges(unique: DataFrame, n_unique: int) -> DataFrame:
             u, v = forest(u, v)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return unique.select("fp").mapInArrow(send, "place long, sent binary").groupBy("place").applyInArrow(compare, "u long, v long")
+    return unique.select("fp").mapInArrow(
+        send, "place long, sent binary"
+    ).groupBy("place").applyInArrow(compare, "u long, v long")
 
 
 def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +231,9 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
     rows = checkpointed(fingerprint_table(df, key, text))
     unique = checkpointed(rows.groupBy("fp").agg(F.min("key").alias("least")))
     roots = components(link_edges(unique, unique.count()))
-    rooted = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = unique.join(
+        roots.withColumnRenamed("node", "fp"), "fp", "left"
+    ).withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = rooted.join(smallest, "root").select("fp", "component")
     return rows.join(named, "fp", "left").select(F.col("key").alias(key), "fp", "component")

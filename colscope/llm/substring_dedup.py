@@ -25,8 +25,10 @@ from .common import small_batches
 from .vector_text import U64, Words, mixed, read_words
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
-#: Bytes of text in a block, and hashes in a range, on average.
-BLOCK_BYTES, RANGE_HASHES = 4 << 20, 1 << 20
+#: Bytes of text in a block, and hashes in a range, on average: at least, and at most. Both grow with the input in
+#: between, as there is a piece for each block and range.
+BLOCK_BYTES, MOST_BLOCK_BYTES, RANGE_HASHES, MOST_RANGE_HASHES = 4 << 20, 32 << 20, 1 << 20, 8 << 20
+BLOCKS, RANGES = 4096, 1365
 #: Bytes that are hashed at once.
 RUN_BYTES = 1 << 18
 LAST = np.iinfo(np.int64).max
@@ -70,7 +72,14 @@ def read_block(keys: list, texts: list[str | None]) -> Block:
     counts = np.diff(w.first)
     text_of = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(len(w.start)) - w.first[text_of]
-    return Block(w, np.array([LAST if k is None else k for k in keys], np.int64), text_of, number, counts[text_of] - number, _word_hashes(w))
+    return Block(
+        w,
+        np.array([LAST if k is None else k for k in keys], np.int64),
+        text_of,
+        number,
+        counts[text_of] - number,
+        _word_hashes(w),
+    )
 
 
 def runs(b: Block, at: np.ndarray, length: int, salt: int) -> np.ndarray:
@@ -136,13 +145,17 @@ def windows(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return at, runs(b, at, WINDOW, 2)
 
 
-def block_windows(b: Block, shared: dict[int, bytes], n_anchor_ranges: int, n_ranges: int) -> Iterator[tuple[int, bytes]]:
+def block_windows(
+    b: Block, shared: dict[int, bytes], n_anchor_ranges: int, n_ranges: int
+) -> Iterator[tuple[int, bytes]]:
     """By range the windows that hold a shared anchor, each with the block's smallest key that has it."""
     if not shared:
         return
     at = anchor_places(b)
     place, low = range_and_hash(runs(b, at, ANCHOR, 1), n_anchor_ranges)
-    known = np.sort(np.concatenate([np.frombuffer(v, np.uint32).astype(U64) | U64(k << 32) for k, v in shared.items()]))
+    known = np.sort(
+        np.concatenate([np.frombuffer(v, np.uint32).astype(U64) | U64(k << 32) for k, v in shared.items()])
+    )
     whole = place << U64(32) | low
     hit = at[known[np.minimum(np.searchsorted(known, whole), len(known) - 1)] == whole]
     # A window that starts at s has the anchors that start at s to s + 6.
@@ -213,10 +226,18 @@ def kept_texts(b: Block, removed: np.ndarray) -> Iterator[tuple[int, int, bytes]
             cuts = np.flatnonzero(np.diff(keep) > 1)
             heads = keep[np.concatenate([[0], cuts + 1])]
             tails = keep[np.concatenate([cuts, [len(keep) - 1]])]
-            yield z - a, gone, b" ".join(data[start[x] : end[y]].tobytes() for x, y in zip(heads.tolist(), tails.tolist(), strict=True))
-
-
-def dedup_substrings(df: DataFrame, finish: Callable[[pa.Table, list[tuple[int, int, bytes]]], pa.Table], schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+            yield z - a, gone, b" ".join(
+                data[start[x] : end[y]].tobytes() for x, y in zip(heads.tolist(), tails.tolist(), strict=True)
+            )
+
+
+def dedup_substrings(
+    df: DataFrame,
+    finish: Callable[[pa.Table, list[tuple[int, int, bytes]]], pa.Table],
+    schema: str,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """Apply ``finish`` to the rows of every block and what ``kept_texts`` says of them, row by row.
 
     Keys are integers. Null keys come after all others, and equal keys are one document's: neither removes the
@@ -224,8 +245,11 @@ def dedup_substrings(df: DataFrame, finish: Callable[[pa.Table, list[tuple[int,
     """
     small_batches(df.sparkSession)
     size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    n_blocks = max(int(size // BLOCK_BYTES) + 1, 2 * df.sparkSession.sparkContext.defaultParallelism)
-    n_ranges = max(8, int(size // (RANGE_HASHES * 12)) + 1)  # of twelve bytes of text about one is sent
+    block_bytes = min(max(BLOCK_BYTES, size // BLOCKS), MOST_BLOCK_BYTES)
+    hashes = size // 12  # of twelve bytes of text about one is sent
+    range_hashes = min(max(RANGE_HASHES, hashes // RANGES), MOST_RANGE_HASHES)
+    n_blocks = max(int(size // block_bytes) + 1, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    n_ranges = max(8, int(hashes // range_hashes) + 1)
     rows = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
     blocks = rows.repartition("__block")
 
@@ -234,12 +258,24 @@ def dedup_substrings(df: DataFrame, finish: Callable[[pa.Table, list[tuple[int,
 
     def sent(pairs: Iterator[tuple[int, bytes]], block: int) -> pa.Table:
         pairs = list(pairs)
-        return pa.table({"range": pa.array([p for p, _ in pairs], pa.int32()), "block": pa.array([block] * len(pairs), pa.int32()), "hashes": pa.array([x for _, x in pairs], pa.binary())})
+        return pa.table(
+            {
+                "range": pa.array([p for p, _ in pairs], pa.int32()),
+                "block": pa.array([block] * len(pairs), pa.int32()),
+                "hashes": pa.array([x for _, x in pairs], pa.binary()),
+            }
+        )
 
     def returned(pick: Callable[[list[bytes]], Iterator[bytes]]) -> Callable[[pa.Table], pa.Table]:
         def run(t: pa.Table) -> pa.Table:
             found = [(r, b, x) for r, b, x in zip(t.column("range").to_pylist(), t.column("block").to_pylist(), pick(t.column("hashes").to_pylist()), strict=True) if x]
-            return pa.table({"range": pa.array([r for r, _, _ in found], pa.int32()), "__block": pa.array([b for _, b, _ in found], pa.int32()), "hashes": pa.array([x for _, _, x in found], pa.binary())})
+            return pa.table(
+                {
+                    "range": pa.array([r for r, _, _ in found], pa.int32()),
+                    "__block": pa.array([b for _, b, _ in found], pa.int32()),
+                    "hashes": pa.array([x for _, _, x in found], pa.binary()),
+                }
+            )
 
         return run
 
@@ -247,15 +283,31 @@ def dedup_substrings(df: DataFrame, finish: Callable[[pa.Table, list[tuple[int,
         return sent(block_anchors(block_of(t), n_ranges), k[0].as_py())
 
     def send_windows(k: tuple, t: pa.Table, shared: pa.Table) -> pa.Table:
-        return sent(block_windows(block_of(t), dict(zip(shared.column("range").to_pylist(), shared.column("hashes").to_pylist(), strict=True)), n_ranges, n_ranges) if len(t) else iter(()), k[0].as_py())
+        return sent(
+            block_windows(
+                block_of(t),
+                dict(zip(shared.column("range").to_pylist(), shared.column("hashes").to_pylist(), strict=True)),
+                n_ranges,
+                n_ranges,
+            ) if len(t) else iter(()),
+            k[0].as_py(),
+        )
 
     def conclude(t: pa.Table, later: pa.Table) -> pa.Table:
         b = block_of(t)
-        return finish(t.drop_columns(["__block"]), list(kept_texts(b, removed_words(b, later.column("hashes").to_pylist()))))
+        return finish(
+            t.drop_columns(["__block"]), list(kept_texts(b, removed_words(b, later.column("hashes").to_pylist())))
+        )
 
     packed, back = "range int, block int, hashes binary", "range int, __block int, hashes binary"
-    shared = blocks.groupBy("__block").applyInArrow(send_anchors, packed).groupBy("range").applyInArrow(returned(shared_anchors), back)
-    later = blocks.groupBy("__block").cogroup(shared.groupBy("__block")).applyInArrow(send_windows, packed).groupBy("range").applyInArrow(returned(later_windows), back)
+    shared = blocks.groupBy("__block").applyInArrow(send_anchors, packed).groupBy("range").applyInArrow(
+        returned(shared_anchors), back
+    )
+    later = blocks.groupBy("__block").cogroup(
+        shared.groupBy("__block")
+    ).applyInArrow(send_windows, packed).groupBy("range").applyInArrow(
+        returned(later_windows), back
+    )
     return blocks.groupBy("__block").cogroup(later.groupBy("__block")).applyInArrow(conclude, schema)
 
 
@@ -264,18 +316,31 @@ def substring_digests(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     import hashlib
 
     def finish(t: pa.Table, kept: list[tuple[int, int, bytes]]) -> pa.Table:
-        return pa.table({key: t.column(key), "n_words": pa.array([n for n, _, _ in kept], pa.int64()), "n_removed": pa.array([n for _, n, _ in kept], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for _, _, x in kept], pa.string())})
+        return pa.table(
+            {
+                key: t.column(key),
+                "n_words": pa.array([n for n, _, _ in kept], pa.int64()),
+                "n_removed": pa.array([n for _, n, _ in kept], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for _, _, x in kept], pa.string()),
+            }
+        )
 
     kind = df.schema[key].dataType.simpleString()
-    return dedup_substrings(df.select(key, text), finish, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", key, text)
+    return dedup_substrings(
+        df.select(key, text), finish, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", key, text
+    )
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+def remove_repeats(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars"
+) -> DataFrame:
     """All rows and columns; texts that lose words become the kept words joined by one space, and ``length``, if
     there is such a column, their code points. Other texts stay as they are."""
 
     def finish(t: pa.Table, kept: list[tuple[int, int, bytes]]) -> pa.Table:
-        texts = [x.decode() if gone else old for (_, gone, x), old in zip(kept, t.column(text).to_pylist(), strict=True)]
+        texts = [
+            x.decode() if gone else old for (_, gone, x), old in zip(kept, t.column(text).to_pylist(), strict=True)
+        ]
         t = t.set_column(t.column_names.index(text), text, pa.array(texts, t.schema.field(text).type))
         if length in t.column_names:
             field = t.schema.field(length)

@@ -58,12 +58,16 @@ def exact(a: np.ndarray, b: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | N
     return out if pairs is not None else out.reshape(len(a), len(b))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(
+    queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``which query, id, score`` of each query's k best, ties to smaller ids; a query's own id takes no part."""
     order = np.argsort(ids, kind="stable")  # in this order a later tie never wins
     vectors, ids = vectors[order], ids[order]
     coarse, fine = ([features(x, n) for x in (queries, vectors)] for n in LEVELS)
-    slack = 1e-9 * (np.linalg.norm(queries, axis=1).max(initial=0) * np.linalg.norm(vectors, axis=1).max(initial=0)) + 1e-6
+    slack = 1e-9 * (
+        np.linalg.norm(queries, axis=1).max(initial=0) * np.linalg.norm(vectors, axis=1).max(initial=0)
+    ) + 1e-6
     at, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     least = np.full(len(queries), -np.inf)
     for a in range(0, len(ids), STRIDE):
@@ -89,8 +93,12 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
                 q, c = np.nonzero(mask)
                 s, q = product[q, c], live[q]
         ok = (s > least[q]) & (ids[part][c] != query_ids[q])
-        at, found, score = np.concatenate([at, q[ok]]), np.concatenate([found, ids[part][c[ok]]]), np.concatenate([score, s[ok]])
-        rank = np.lexsort((found, -score, at)) if score.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (at[i], -score[i], found[i])), np.int64)
+        at, found, score = np.concatenate([at, q[ok]]), np.concatenate(
+            [found, ids[part][c[ok]]]
+        ), np.concatenate([score, s[ok]])
+        rank = np.lexsort((found, -score, at)) if score.dtype != object else np.array(
+            sorted(range(len(at)), key=lambda i: (at[i], -score[i], found[i])), np.int64
+        )
         at, found, score = at[rank], found[rank], score[rank]
         first = np.searchsorted(at, np.arange(len(queries) + 1))
         keep = np.arange(len(at)) - first[at] < k
@@ -111,7 +119,9 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     small_batches(df.sparkSession)
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    rows = df.filter(F.col(key).isNotNull() & v.isNotNull()).filter(finite).select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+    rows = df.filter(F.col(key).isNotNull() & v.isNotNull()).filter(finite).select(
+        F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("v")
+    )
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     cores = df.sparkSession.sparkContext.defaultParallelism
     n = df.select(F.count(F.lit(1)), F.count_if(F.col(key) % every == 0)).first()
@@ -128,22 +138,33 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
                 rows = [(g, np.flatnonzero(ok & (dealt == g))) for g in np.unique(dealt).tolist()]
                 rows = [(g, r) for g, r in rows if len(r)]
                 cells = [[g * others + o if side == "c" else o * blocks + g for o in range(others)] for g, _ in rows]
-                columns = [pa.array(cells, pa.list_(pa.int64())), pa.array([kind().itemsize for _ in rows], pa.int32())]
-                columns += [pa.array([f(r).tobytes() for _, r in rows], pa.binary()) for f in (lambda r: ids[r], lambda r: sign[r], lambda r: x[r].astype(kind))]
+                columns = [
+                    pa.array(cells, pa.list_(pa.int64())), pa.array([kind().itemsize for _ in rows], pa.int32())
+                ]
+                columns += [
+                    pa.array([f(r).tobytes() for _, r in rows], pa.binary())
+                    for f in (lambda r: ids[r], lambda r: sign[r], lambda r: x[r].astype(kind))
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["cells", "width", "ids", "signs", "x"])
 
         return run
 
     def sent(table: DataFrame, side: str, blocks: int, others: int) -> DataFrame:
         signed = table.withColumn("sign", F.xxhash64("id", "v"))
-        return signed.mapInArrow(packed(side, blocks, others), "cells array<long>, width int, ids binary, signs binary, x binary").select(F.explode("cells").alias("cell"), "width", "ids", "signs", "x")
+        return signed.mapInArrow(
+            packed(side, blocks, others), "cells array<long>, width int, ids binary, signs binary, x binary"
+        ).select(F.explode("cells").alias("cell"), "width", "ids", "signs", "x")
 
     def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, signs, xs = [], [], []
         for width, i, s, x in zip(*(t.column(c).to_pylist() for c in ("width", "ids", "signs", "x")), strict=True):
             ids.append(np.frombuffer(i, np.int64))
             signs.append(np.frombuffer(s, np.int64))
-            xs.append(np.frombuffer(x, np.float32 if width == 4 else np.float64).astype(np.float64).reshape(len(ids[-1]), -1))
+            xs.append(
+                np.frombuffer(
+                    x, np.float32 if width == 4 else np.float64
+                ).astype(np.float64).reshape(len(ids[-1]), -1)
+            )
         dims = max((x.shape[1] for x in xs), default=0)
         whole = np.concatenate([np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in xs]) if xs else np.empty((0, 0))
         return np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(signs or [np.empty(0, np.int64)]), whole
@@ -154,9 +175,15 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
         dims = max(x.shape[1], y.shape[1])
         x, y = (np.pad(z, ((0, 0), (0, dims - z.shape[1]))) for z in (x, y))
         at, found, score = best(y, query_ids, x, ids, k) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
-        return pa.table({"query_id": query_ids[at], "sign": signs[at], "vec_id": found, "score": score.astype(np.int64)})
+        return pa.table(
+            {"query_id": query_ids[at], "sign": signs[at], "vec_id": found, "score": score.astype(np.int64)}
+        )
 
-    cells = sent(rows, "c", c_blocks, q_blocks).groupBy("cell").cogroup(sent(queries, "q", q_blocks, c_blocks).groupBy("cell"))
+    cells = sent(rows, "c", c_blocks, q_blocks).groupBy("cell").cogroup(
+        sent(queries, "q", q_blocks, c_blocks).groupBy("cell")
+    )
     tops = cells.applyInArrow(compare, "query_id long, sign long, vec_id long, score long")
     order = Window.partitionBy("query_id", "sign").orderBy(F.col("score").desc(), "vec_id")
-    return tops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )

@@ -23,10 +23,25 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Fixed values of the query's contract.
-PREFIX_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+PREFIX_RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
 
 #: The default pattern list of the query.
-PATTERN_RULES = ("||casino-win.", "||cheap-pills.", "||free-bets.", "||ads-track.", "||spam-farm.", "/wp-login.php", "&affid=*&", "@@||spam-farm.example.net/en/about^")
+PATTERN_RULES = (
+    "||casino-win.",
+    "||cheap-pills.",
+    "||free-bets.",
+    "||ads-track.",
+    "||spam-farm.",
+    "/wp-login.php",
+    "&affid=*&",
+    "@@||spam-farm.example.net/en/about^",
+)
 
 SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,7 +82,9 @@ def parse_pattern(text: str) -> Pattern:
     return Pattern(text, regex, allows, tuple(dict.fromkeys(usable)))
 
 
-def index_patterns(patterns: Iterable[Pattern], counts: dict[str, int]) -> tuple[dict[str, list[Pattern]], list[Pattern]]:
+def index_patterns(
+    patterns: Iterable[Pattern], counts: dict[str, int]
+) -> tuple[dict[str, list[Pattern]], list[Pattern]]:
     """Rules by their rarest token (ties: the longer, then the smaller), and the rules without one."""
     index: dict[str, list[Pattern]] = {}
     rest = []
@@ -109,11 +126,19 @@ def token_counts(df: DataFrame, url: str, tokens: list[str]) -> dict[str, int]:
     known = F.array_intersect(split, F.array(*[F.lit(t) for t in tokens])) if len(tokens) <= 1000 else split
     found = df.select(F.explode(known).alias("token")).groupBy("token").count()
     if len(tokens) > 1000:
-        found = found.join(df.sparkSession.createDataFrame([(t,) for t in tokens], "token string"), "token", "left_semi")
+        found = found.join(
+            df.sparkSession.createDataFrame([(t,) for t in tokens], "token string"), "token", "left_semi"
+        )
     return {r["token"]: r["count"] for r in found.collect()}
 
 
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", patterns: Iterable[str] = PATTERN_RULES, prefixes: Iterable[tuple[str, str]] = PREFIX_RULES) -> DataFrame:
+def filter_urls(
+    df: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    patterns: Iterable[str] = PATTERN_RULES,
+    prefixes: Iterable[tuple[str, str]] = PREFIX_RULES,
+) -> DataFrame:
     """Judge every row's URL: ``id_col, host, path, rule, verdict, pattern``.
 
     ``rule`` is the prefix rule that decided (else null), ``pattern`` the pattern rule that did (else null): the
@@ -139,13 +164,24 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
                 host, path = split_url(url)
                 low = (url or "").translate(UPPER_TO_LOWER)
                 fits = fitting_prefix(host, path, by_host)
-                candidates = {p.text: p for t in set(TOKEN.findall(low)) for p in index.get(t, ())} | {p.text: p for p in rest}
-                hits = [p for p in sorted(candidates.values(), key=lambda p: order[p.text]) if url is not None and compiled[p.text].search(low)]
+                candidates = {
+                    p.text: p for t in set(TOKEN.findall(low)) for p in index.get(t, ())
+                } | {p.text: p for p in rest}
+                hits = [
+                    p
+                    for p in sorted(candidates.values(), key=lambda p: order[p.text])
+                    if url is not None and compiled[p.text].search(low)
+                ]
                 hit = next((p for p in hits if p.allows), None) or next(iter(hits), None)
                 verdict = fits[1] if fits else "block" if hit and not hit.allows else "allow"
                 out.append((host, path, fits[0] if fits else None, verdict, hit.text if hit else None))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns]], names=[id_col, "host", "path", "rule", "verdict", "pattern"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c, pa.string()) for c in columns]],
+                names=[id_col, "host", "path", "rule", "verdict", "pattern"],
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, url_col).mapInArrow(judged, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string")
+    return df.select(id_col, url_col).mapInArrow(
+        judged, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern string"
+    )

@@ -12,7 +12,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 
 # The primes of XXH64.
-P1, P2, P3, P4, P5 = U64(11400714785074694791), U64(14029467366897019727), U64(1609587929392839161), U64(9650029242287828579), U64(2870177450012600261)
+P1, P2, P3, P4, P5 = U64(
+    11400714785074694791
+), U64(14029467366897019727), U64(1609587929392839161), U64(9650029242287828579), U64(2870177450012600261)
 
 
 class Words(NamedTuple):

@@ -30,7 +30,9 @@ def sha(text):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(7)
-    vocabulary = ["the", "a", "Été", "ß", "日本", "x", "naïve", "don't", "😀", "<b>", "#", "2024"] + [f"w{i}" for i in range(60)]
+    vocabulary = [
+        "the", "a", "Été", "ß", "日本", "x", "naïve", "don't", "😀", "<b>", "#", "2024"
+    ] + [f"w{i}" for i in range(60)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
     out = []
     for i in range(60):
@@ -39,7 +41,17 @@ def texts():
             a = rng.randint(0, 20)
             body[5:5] = passage[a : a + rng.randint(10, 20)]
         out.append(rng.choice([" ", "\n", " \t"]).join(body))
-    out += [out[3], out[3], out[6] + " more", "", None, " \n ", "one", "spam spam spam spam spam spam spam spam spam spam spam", "line\nline\n\nline\nother"]
+    out += [
+        out[3],
+        out[3],
+        out[6] + " more",
+        "",
+        None,
+        " \n ",
+        "one",
+        "spam spam spam spam spam spam spam spam spam spam spam",
+        "line\nline\n\nline\nother",
+    ]
     out.append(" ".join(rng.choice(vocabulary) for _ in range(20000)))
     out.append("z" * 3000)
     return out
@@ -48,8 +60,15 @@ def texts():
 @pytest.fixture(scope="module")
 def docs(spark, texts):
     """Repeated rows, null keys, texts and sources; columns whose names operators use themselves."""
-    rows = [(i, t, f"s{i % 4}" if i % 9 else None, "9", "9", "9", "9", len(t) if t else None) for i, t in enumerate(texts)]
-    rows += [rows[2], rows[2], (None, "no key here at all", "s1", None, None, None, None, 18), (None, None, None, None, None, None, None, None)]
+    rows = [
+        (i, t, f"s{i % 4}" if i % 9 else None, "9", "9", "9", "9", len(t) if t else None) for i, t in enumerate(texts)
+    ]
+    rows += [
+        rows[2],
+        rows[2],
+        (None, "no key here at all", "s1", None, None, None, None, 18),
+        (None, None, None, None, None, None, None, None),
+    ]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
@@ -60,12 +79,17 @@ def empty(docs):
 
 def test_words(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    assert {r.i: r.w for r in df.select("i", common.words(F.col("t")).alias("w")).collect()} == {i: words(t) for i, t in enumerate(texts)}
+    assert {
+        r.i: r.w for r in df.select("i", common.words(F.col("t")).alias("w")).collect()
+    } == {i: words(t) for i, t in enumerate(texts)}
 
 
 def test_salted_lookup(spark, docs):
     lookup = spark.createDataFrame([(f"s{i}", i) for i in range(3)], "source string, n int")
-    salted, plain = (sorted(common.join_lookup(docs.select("doc_id", "text", "source"), lookup, "source", n).collect(), key=repr) for n in (10**9, 3))
+    salted, plain = (
+        sorted(common.join_lookup(docs.select("doc_id", "text", "source"), lookup, "source", n).collect(), key=repr)
+        for n in (10**9, 3)
+    )
     assert salted == plain and len(plain) == docs.count()
 
 
@@ -73,8 +97,27 @@ def test_salted_lookup(spark, docs):
 
 
 def test_url_filters(spark):
-    urls = ["http://www.example.org/en/1/x", "https://EXAMPLE.org/es/", "http://a.com/fr/b?x=/de/", "http://com/de/", "http://x.free-bets.example.net/en/", "ftp://spam-farm.example.net/en/about?x", "http://nocom/fr/", "no scheme casino-win.", "", None, "http://h:80#/org/", "a://b://c/de/", "http://x.net/wp-login.php", "http://x.net/?q&affid=1&b", "HTTP://Casino-Win.example.net"]
-    df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, rule string")
+    urls = [
+        "http://www.example.org/en/1/x",
+        "https://EXAMPLE.org/es/",
+        "http://a.com/fr/b?x=/de/",
+        "http://com/de/",
+        "http://x.free-bets.example.net/en/",
+        "ftp://spam-farm.example.net/en/about?x",
+        "http://nocom/fr/",
+        "no scheme casino-win.",
+        "",
+        None,
+        "http://h:80#/org/",
+        "a://b://c/de/",
+        "http://x.net/wp-login.php",
+        "http://x.net/?q&affid=1&b",
+        "HTTP://Casino-Win.example.net",
+    ]
+    df = spark.createDataFrame(
+        [(i, u, "h", "p") for i, u in enumerate([*urls, urls[0]])],
+        "page_id long, url string, host string, rule string",
+    )
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
     assert [got[i] for i in range(len(urls))] == [
         ("www.example.org", "/en/1/x", "example.org/en/1", "block"), ("example.org", "/es/", "example.org/es/", "block"), ("a.com", "/fr/b", "com/fr/", "allow"), ("com", "/de/", "com/de/", "block"),
@@ -90,7 +133,9 @@ def test_url_index_misses_nothing(spark):
     bits = ["ads", "win", "x1", ".", "-", "/", "casino", "?", "&a=", "*", "^"]
     rules = []
     while len(rules) < 60:
-        rule = rng.choice(["", "||", "|", "@@", "@@||"]) + "".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "|"])
+        rule = rng.choice(["", "||", "|", "@@", "@@||"]) + "".join(
+            rng.choice(bits) for _ in range(rng.randint(1, 4))
+        ) + rng.choice(["", "", "|"])
         try:
             url_filter.parse_pattern(rule)
         except ValueError:
@@ -99,7 +144,10 @@ def test_url_index_misses_nothing(spark):
     rules = list(dict.fromkeys(rules))
     parsed = [url_filter.parse_pattern(r) for r in rules]
     assert any(p.tokens for p in parsed) and any(not p.tokens for p in parsed)
-    urls = ["http://" + "".join(rng.choice([b for b in bits if b not in "*^"]) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    urls = [
+        "http://" + "".join(rng.choice([b for b in bits if b not in "*^"]) for _ in range(rng.randint(1, 6)))
+        for _ in range(300)
+    ]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for r in url_filter.filter_urls(df, patterns=rules, prefixes=()).collect():
         hits = [p for p in parsed if re.search(p.regex, urls[r.page_id].lower(), re.S)]
@@ -116,9 +164,22 @@ def test_html_extraction(spark):
     body = "<h1>Head &amp; more</h1><p>One <b>bo</b>ld &eacute;&#233;\n  <p>Two<br>three<script>if (a<b) x='</p>'</script><!-- no --><form>name</form><ul><li>a<li>b</ul><aside>side</aside>"
     wanted = "Head & more One bold éé Two three a b"
     rows = [(i, f"http://h/{i}", page % (f"post-{i} entry-content", body)) for i in range(5)]
-    rows += [(5, "http://h/5", "<p>Only this &amp that"), (6, None, page % ("c", body)), (7, "http://h/7", None), (8, "x", ""), (9, "http://h/9", (page % ("post-9 entry-content", body))[: page.index("%s") + 60]), (0, "http://h/0", page % ("post-0 entry-content", body))]
-    rows += [(10, "http://h/10", "just text < 3"), (11, "http://h/11", "<article>a<p class='x>b"), (12, "http://h/12", "<article>" + "<p>word</p>" * 5000 + "</article>")]
-    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    rows += [
+        (5, "http://h/5", "<p>Only this &amp that"),
+        (6, None, page % ("c", body)),
+        (7, "http://h/7", None),
+        (8, "x", ""),
+        (9, "http://h/9", (page % ("post-9 entry-content", body))[: page.index("%s") + 60]),
+        (0, "http://h/0", page % ("post-0 entry-content", body)),
+    ]
+    rows += [
+        (10, "http://h/10", "just text < 3"),
+        (11, "http://h/11", "<article>a<p class='x>b"),
+        (12, "http://h/12", "<article>" + "<p>word</p>" * 5000 + "</article>"),
+    ]
+    df = spark.createDataFrame(
+        [(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int"
+    )
     found = html_extract.extract_text(df).collect()
     got = {r.page_id: r.text for r in found}
     assert len(found) == len(rows) and all(r.n_chars == len(r.text) for r in found)
@@ -126,7 +187,9 @@ def test_html_extraction(spark):
     assert (got[5], got[7], got[8], got[10]) == ("Only this & that", "", "", "just text < 3")
     assert wanted.startswith(got[9]) and got[12] == " ".join(["word"] * 5000)
     assert html_extract.extract_text(df.filter("false")).count() == 0
-    assert html_extract.host_paths(df).filter("__host = 'h'").first()["__path"] == "html>body>div.wrap>div.entry-content.post-#"
+    assert html_extract.host_paths(df).filter(
+        "__host = 'h'"
+    ).first()["__path"] == "html>body>div.wrap>div.entry-content.post-#"
 
 
 def test_html_templates():
@@ -136,7 +199,15 @@ def test_html_templates():
     text = "".join(f"<p>Sentence {i} of the text that matters.</p>" for i in range(9))
     want = "Title " + " ".join(f"Sentence {i} of the text that matters." for i in range(9))
     frame = "<html><body><div class=topnav><a href=/>x</a> menu</div>%s<div class='leftSidebar'>side words</div><div id=user-comments><p>I disagree with all of it, at length, and so on and so on.</p></div><div class=page-footer>foot</div></body></html>"
-    for inner in (f"<article><h1>Title</h1><div class=body>{text}</div></article>", f"<main><h1>Title</h1>{text}<div class=share-bar>tell</div></main>", f"<div class='x9'><h1>Title</h1>{text}</div>", f"<div id=content><article><h1>Title</h1>{text}</article><div class=related>more</div></div>", f"<table><tr><td class=entry><h1>Title</h1>{text}<div role=alert>!</div></td></tr></table>", f"<article><header>by me</header><h1>Title</h1>{text}<section class=comments><article>No!</article></section></article>", f"<h1>Title</h1>{text}"):
+    for inner in (
+        f"<article><h1>Title</h1><div class=body>{text}</div></article>",
+        f"<main><h1>Title</h1>{text}<div class=share-bar>tell</div></main>",
+        f"<div class='x9'><h1>Title</h1>{text}</div>",
+        f"<div id=content><article><h1>Title</h1>{text}</article><div class=related>more</div></div>",
+        f"<table><tr><td class=entry><h1>Title</h1>{text}<div role=alert>!</div></td></tr></table>",
+        f"<article><header>by me</header><h1>Title</h1>{text}<section class=comments><article>No!</article></section></article>",
+        f"<h1>Title</h1>{text}",
+    ):
         assert best(frame % inner) == want
 
 
@@ -150,7 +221,9 @@ def test_html_of_the_pages(spark, sf):
     got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
-        assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+        assert got[r.page_id] == " ".join(
+            html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split()
+        )
 
 
 # 3
@@ -166,7 +239,10 @@ def test_sharding(docs, empty, epsilon):
     assert len(rows) == docs.count()
     sizes = [len(by_shard.get(s, [])) for s in range(5)]
     assert max(sizes) <= math.ceil((1 + epsilon) * len(rows) / 5) and (epsilon or max(sizes) - min(sizes) <= 1)
-    want = sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()), key=repr)
+    want = sorted(
+        ((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect()),
+        key=repr,
+    )
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=repr) == want
     assert sharding.shard_bounded(empty).count() == 0
 
@@ -194,7 +270,13 @@ def test_sharding_places_clockwise():
 
 def test_sharding_moves_little(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    before, after = ({r.doc_id: r.shard for r in sharding.shard_bounded(df, n_shards=n, vnodes=128, cells=8192, epsilon=0.25).collect()} for n in (10, 11))
+    before, after = (
+        {
+            r.doc_id: r.shard
+            for r in sharding.shard_bounded(df, n_shards=n, vnodes=128, cells=8192, epsilon=0.25).collect()
+        }
+        for n in (10, 11)
+    )
     assert sum(before[i] != after[i] for i in before) < 20_000 * 0.25
 
 
@@ -215,17 +297,29 @@ def test_bpe(docs, empty):
         assert sorted(map(tuple, bpe.token_digests(docs, tokenizer_path(), long=long).collect()), key=repr) == want
     assert bpe.token_digests(empty, tokenizer_path()).count() == 0
     ids = bpe.encode_texts(docs, tokenizer_path(), long=500)
-    assert sorted(((r.doc_id, r.text) for r in bpe.decode_ids(ids, tokenizer_path()).collect()), key=repr) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
+    assert sorted(
+        ((r.doc_id, r.text) for r in bpe.decode_ids(ids, tokenizer_path()).collect()), key=repr
+    ) == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=repr)
 
 
 def test_tree_concatenation():
     c = bpe.Codec(open(tokenizer_path()).read())
     rng = random.Random(5)
     plain = [chr(i) for i in range(0x250) if bpe.PLAIN.fullmatch(chr(i))]
-    kinds = [lambda n: "a" * n, lambda n: " " * n, lambda n: "".join(rng.choice("ACGT") for _ in range(n)), lambda n: "".join(rng.choice(plain) for _ in range(n)), lambda n: "".join(rng.choice("😀é日 本'ls\n") for _ in range(n)), lambda n: "the quick brown fox can't " * (n // 26), lambda n: "".join(rng.choice(["<|endoftext|>", "x", " ", "'ll"]) for _ in range(n // 4))]
+    kinds = [
+        lambda n: "a" * n,
+        lambda n: " " * n,
+        lambda n: "".join(rng.choice("ACGT") for _ in range(n)),
+        lambda n: "".join(rng.choice(plain) for _ in range(n)),
+        lambda n: "".join(rng.choice("😀é日 本'ls\n") for _ in range(n)),
+        lambda n: "the quick brown fox can't " * (n // 26),
+        lambda n: "".join(rng.choice(["<|endoftext|>", "x", " ", "'ll"]) for _ in range(n // 4)),
+    ]
     for _ in range(300):
         text = "".join(rng.choice(kinds)(rng.randint(1, 120)) for _ in range(rng.randint(1, 8)))
-        got, want = bpe.tree([c.encoded(p) for p in bpe.pieces(text, rng.choice([20, 50, 200]))], c.encoded), c.encoded(text)
+        got, want = bpe.tree(
+            [c.encoded(p) for p in bpe.pieces(text, rng.choice([20, 50, 200]))], c.encoded
+        ), c.encoded(text)
         assert got.text == text and got.ids.tolist() == want.ids.tolist() and got.start.tolist() == want.start.tolist()
         ids, decoded = c.written(text)
         assert ids == "".join(f"{i}," for i in want.ids) and decoded == c.decode(want.ids.tolist())
@@ -237,7 +331,9 @@ def test_words_are_the_librarys(monkeypatch):
     plain = [chr(i) for i in range(0x250) if bpe.PLAIN.fullmatch(chr(i))]
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     for _ in range(1000):
-        text = "".join(rng.choice(rng.choice([plain, " \n\t'", "abcst'lmrevd", "019²¼"])) for _ in range(rng.randint(0, 60)))
+        text = "".join(
+            rng.choice(rng.choice([plain, " \n\t'", "abcst'lmrevd", "019²¼"])) for _ in range(rng.randint(0, 60))
+        )
         assert c.written(text) == ("".join(f"{i}," for i in c.encode(text)), text)
     assert len(c.ids) <= 50
 
@@ -270,7 +366,9 @@ def test_substring_dedup(docs, empty):
     texts = {(k, t) for k, n, g, t in want if g}
     rows = substring_dedup.remove_repeats(docs)
     assert rows.schema == docs.schema or rows.columns == docs.columns
-    changed = rows.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").filter("text <> old").select("doc_id", "text", "n_chars").distinct().collect()
+    changed = rows.join(
+        docs.select("doc_id", F.col("text").alias("old")), "doc_id"
+    ).filter("text <> old").select("doc_id", "text", "n_chars").distinct().collect()
     assert {(r.doc_id, r.text) for r in changed} == texts and all(r.n_chars == len(r.text) for r in changed)
     assert rows.count() == docs.count()
 
@@ -310,7 +408,9 @@ def test_simhash(docs, empty):
     prints = sorted({f for _, f in rows})
     of = component_brute([(a, b) for a in prints for b in prints if (a ^ b).bit_count() <= 4], prints)
     least = {c: min((k for k, f in rows if of[f] == c and k is not None), default=None) for c in set(of.values())}
-    got = sorted(((r.doc_id, r.fp % 2**64, r.component) for r in simhash.simhash_components(docs).collect()), key=repr)
+    got = sorted(
+        ((r.doc_id, r.fp % 2**64, r.component) for r in simhash.simhash_components(docs).collect()), key=repr
+    )
     assert got == sorted(((k, f, least[of[f]]) for k, f in rows), key=repr)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -331,7 +431,13 @@ def test_anchors_find_all_links(monkeypatch, pairs):
     fp = np.unique(np.concatenate(family))
     sent = list(simhash.anchors(fp))
     anchor = np.concatenate([a + (part << 32) for part, a, _, _ in sent])
-    found = list(simhash.linked(anchor, np.concatenate([fp[w] for _, _, w, _ in sent]), np.concatenate([np.full(len(w), h) for _, _, w, h in sent])))
+    found = list(
+        simhash.linked(
+            anchor,
+            np.concatenate([fp[w] for _, _, w, _ in sent]),
+            np.concatenate([np.full(len(w), h) for _, _, w, h in sent]),
+        )
+    )
     links = [(a, b) for a in fp.tolist() for b in fp.tolist() if a < b and (a ^ b).bit_count() <= 4]
     got = component_brute([x for u, v in found for x in zip(u.tolist(), v.tolist(), strict=True)], fp.tolist())
     assert got == component_brute(links, fp.tolist()) and len(links) > 300
@@ -342,12 +448,16 @@ def test_xxh64():
     texts = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 150))) for _ in range(400)]
     ends = np.cumsum([len(t) for t in texts])
     buffer = np.frombuffer(b"".join(texts) + b"\0" * 40, np.uint8)
-    assert vector_text.xxh64(buffer, ends - [len(t) for t in texts], ends).tolist() == [xxhash.xxh64_intdigest(t, seed=42) for t in texts]
+    assert vector_text.xxh64(buffer, ends - [len(t) for t in texts], ends).tolist() == [
+        xxhash.xxh64_intdigest(t, seed=42) for t in texts
+    ]
 
 
 def test_components(spark):
     rng = random.Random(4)
-    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [
+        (rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)
+    ]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     nodes = {n for e in edges for n in e if e[0] != e[1]}
     assert got == component_brute([e for e in edges if e[0] != e[1]], nodes)
@@ -360,8 +470,21 @@ def test_components(spark):
 def test_top_k(spark):
     rng = random.Random(8)
     rows = [(i, [rng.choice([-1.0, 0.013, 0.5, 0.031]) for _ in range(6)]) for i in range(-20, 90)]
-    rows += [(100, None), (120, [1.0, None]), (140, [float("nan")]), (160, [float("inf")]), (180, []), (200, [0.5, 0.5]), (7, [9.0] * 6), (None, [1.0] * 6), rows[20], rows[20]]
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, rank int, score string")
+    rows += [
+        (100, None),
+        (120, [1.0, None]),
+        (140, [float("nan")]),
+        (160, [float("inf")]),
+        (180, []),
+        (200, [0.5, 0.5]),
+        (7, [9.0] * 6),
+        (None, [1.0] * 6),
+        rows[20],
+        rows[20],
+    ]
+    df = spark.createDataFrame(
+        [(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, rank int, score string"
+    )
     valid = [(k, [math.floor(64 * float(np.float32(x))) for x in v]) for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
     for k, v in {(k, tuple(v)) for k, v in valid if k % 20 == 0}:
@@ -382,7 +505,9 @@ def test_top_k_prunes_nothing_it_needs():
     for q in range(40):
         s = (x @ x[q]).astype(int)
         want = sorted((-s[j], ids[j]) for j in range(3000) if ids[j] != ids[q])[:20]
-        assert list(zip((-score[at == q]).astype(int).tolist(), found[at == q].tolist(), strict=True)) == [(int(a), int(b)) for a, b in want]
+        assert list(
+            zip((-score[at == q]).astype(int).tolist(), found[at == q].tolist(), strict=True)
+        ) == [(int(a), int(b)) for a, b in want]
     for n in (4, 16):
         assert (top_k.features(x[:40], n) @ top_k.features(x, n).T + 1e-3 >= x[:40] @ x.T).all()
 
@@ -396,13 +521,21 @@ def quality_brute(text):
     counts = {x: five.count(x) for x in set(five)} if len(five) < 2000 else __import__("collections").Counter(five)
     covered = {i + k for i, x in enumerate(five) if counts[x] > 1 for k in range(5)}
     lines = [x for x in (text or "").split("\n") if words(x)]
-    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), len(
+        re.findall("[#*$%&|<>]", text or "")
+    ), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
 def test_quality_rules(docs, empty):
     rows = quality.quality_rules(docs).collect()
     want = sorted(((r.doc_id, *quality_brute(r.text)) for r in docs.collect()), key=repr)
-    assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows), key=repr) == want
+    assert sorted(
+        (
+            (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+            for r in rows
+        ),
+        key=repr,
+    ) == want
     assert all(r.kept == (not r.base_failed and not r.host_rejected) for r in rows)
     assert quality.quality_rules(empty).count() == 0 and quality.keep_good(empty).count() == 0
     good = quality.keep_good(docs)
@@ -411,10 +544,14 @@ def test_quality_rules(docs, empty):
 
 def test_bad_hosts_go(spark):
     fine = " ".join(f"word{i}" for i in range(20))
-    rows = [(i, fine if i % 10 else "short", "good") for i in range(300)] + [(1000 + i, "short" if i % 10 else fine, " BAD") for i in range(300)] + [(5000 + i, "short", f"tiny{i}") for i in range(3)] + [(6000, fine, "tiny0")]
+    rows = [(i, fine if i % 10 else "short", "good") for i in range(300)] + [
+        (1000 + i, "short" if i % 10 else fine, " BAD") for i in range(300)
+    ] + [(5000 + i, "short", f"tiny{i}") for i in range(3)] + [(6000, fine, "tiny0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.host_rejected, r.kept) for r in quality.quality_rules(df).collect()}
-    assert got[1] == (False, True) and got[0] == (False, False) and got[1000] == (True, False) and got[1001] == (True, False)
+    assert got[1] == (False, True) and got[0] == (
+        False, False
+    ) and got[1000] == (True, False) and got[1001] == (True, False)
     assert {r.doc_id for r in quality.keep_good(df).collect()} == {k for k, (_, kept) in got.items() if kept}
     rates = {r["__host"]: r.rate for r in quality.host_rates(quality.judged(df)).collect()}
     assert 0.9 > rates["bad"] > 0.6 and rates["good"] < 0.2 and rates["tiny1"] < 1
@@ -443,28 +580,43 @@ def test_mixing(spark, docs, empty):
         if part > 0:
             before = sum(r.n_tokens for r in last if r.order_key < last[-1].order_key)
             assert before < part <= sum(r.n_tokens for r in last) + 0
-    assert max(r.epochs for r in rows) == pytest.approx(1.7) and sum({r.source: r.weight for r in rows}.values()) == pytest.approx(1)
+    assert max(r.epochs for r in rows) == pytest.approx(1.7) and sum(
+        {r.source: r.weight for r in rows}.values()
+    ) == pytest.approx(1)
     out = mixing.mixed_rows(docs, max_repeats=1.7, seed=3)
     assert out.columns == docs.columns and out.count() == len(rows)
     assert mixing.mixture(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
 
 
 def test_mixing_to_an_entropy(spark):
-    rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate([("a", 900), ("b", 90), ("c", 10), ("d", 0)])], "key long, source string, tokens long")
+    rows = spark.createDataFrame(
+        [(i, s, n) for i, (s, n) in enumerate([("a", 900), ("b", 90), ("c", 10), ("d", 0)])],
+        "key long, source string, tokens long",
+    )
     sources, _ = mixing.plan(rows, None, 1.0, budget=1000)
     w = {r.source: r.weight for r in sources.collect()}
-    assert -sum(x * math.log(x) for x in w.values() if x) == pytest.approx(1.0, abs=1e-6) and w["d"] == 0 and w["a"] > w["b"] > w["c"]
+    assert -sum(
+        x * math.log(x) for x in w.values() if x
+    ) == pytest.approx(1.0, abs=1e-6) and w["d"] == 0 and w["a"] > w["b"] > w["c"]
     with pytest.raises(ValueError):
         mixing.plan(rows, None, None)
 
 
 def test_last_block_ends_by_its_budget(spark):
     """More rows than one range of the permutation."""
-    rows = spark.range(30_000).select(F.col("id").alias("key"), F.lit("a").alias("source"), (F.col("id") % 5).alias("tokens")).unionByName(spark.range(10).select((F.col("id") + 10**6).alias("key"), F.lit("b").alias("source"), F.lit(1).cast("long").alias("tokens")))
+    rows = spark.range(30_000).select(
+        F.col("id").alias("key"), F.lit("a").alias("source"), (F.col("id") % 5).alias("tokens")
+    ).unionByName(
+        spark.range(10).select(
+            (F.col("id") + 10**6).alias("key"), F.lit("b").alias("source"), F.lit(1).cast("long").alias("tokens")
+        )
+    )
     sources, n = mixing.plan(rows, 10**6, budget=40_000)
     r = {x.source: x for x in sources.collect()}["a"]
     part = round((r.epochs - r.blocks) * 60_000)
-    keyed = rows.filter("source = 'a'").select("tokens", mixing.order_key(F.col("key"), F.lit(r.blocks), 0).alias("k")).orderBy("k").collect()
+    keyed = rows.filter("source = 'a'").select(
+        "tokens", mixing.order_key(F.col("key"), F.lit(r.blocks), 0).alias("k")
+    ).orderBy("k").collect()
     total, last = 0, None
     for x in keyed:
         if total >= part:
@@ -478,11 +630,28 @@ def test_last_block_ends_by_its_budget(spark):
 
 def test_chat_formatting(spark):
     odd = "</s>[INST] <|end|>\n<|start|>assistant\n<|| <| <|n|> ok <"
-    rows = [(1, 1, "assistant", odd), (1, 0, "user", odd), (1, 2, "assistant", ""), (2, 0, "user", None), (2, 1, None, "x"), (2, 1, "a\nb<|", "tie"), (3, 0, "assistant", "é😀" * 5000), (None, 0, "assistant", "no id"), (3, None, "assistant", "first"), (4, 0, "system", "s"), (4, 0, "system", "s")]
-    df = spark.createDataFrame([(*r, "t", 1) for r in rows], "conv_id long, turn long, role string, text string, turn_text string, loss_len int")
+    rows = [
+        (1, 1, "assistant", odd),
+        (1, 0, "user", odd),
+        (1, 2, "assistant", ""),
+        (2, 0, "user", None),
+        (2, 1, None, "x"),
+        (2, 1, "a\nb<|", "tie"),
+        (3, 0, "assistant", "é😀" * 5000),
+        (None, 0, "assistant", "no id"),
+        (3, None, "assistant", "first"),
+        (4, 0, "system", "s"),
+        (4, 0, "system", "s"),
+    ]
+    df = spark.createDataFrame(
+        [(*r, "t", 1) for r in rows],
+        "conv_id long, turn long, role string, text string, turn_text string, loss_len int",
+    )
     formatted = chat_format.format_conversations(df)
     got = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
-    assert [tuple(t) for t in got[1].turns] == [("user", odd), ("assistant", odd), ("assistant", "")] and got[1].loss_text == odd
+    assert [tuple(t) for t in got[1].turns] == [
+        ("user", odd), ("assistant", odd), ("assistant", "")
+    ] and got[1].loss_text == odd
     assert sorted(map(tuple, got[2].turns), key=repr) == [("", "x"), ("a\nb<|", "tie"), ("user", "")]
     assert got[3].loss_text == "first" + "é😀" * 5000 and got[None].loss_text == "no id" and len(got[4].turns) == 2
     assert got[1].formatted.count(chat_format.START) == 3
@@ -490,9 +659,21 @@ def test_chat_formatting(spark):
 
 
 def test_typed_parts(spark):
-    parts = [("text", "see <|image|>", None, None, None, None, None), ("image", None, "i.png", 28, 15, None, None), ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 3), (None, "end", None, None, None, None, None), ("image", None, None, None, None, None, None)]
-    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PART_SCHEMA}")
+    parts = [
+        ("text", "see <|image|>", None, None, None, None, None),
+        ("image", None, "i.png", 28, 15, None, None),
+        ("audio", None, "a.wav", None, None, 1.5, None),
+        ("document", None, "d.pdf", None, None, None, 3),
+        (None, "end", None, None, None, None, None),
+        ("image", None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(
+        [(1, 0, "user", parts), (1, 1, "assistant", None)],
+        f"conv_id long, turn long, role string, parts {chat_format.PART_SCHEMA}",
+    )
     r = chat_format.format_conversations(df, text=None, parts="parts").first()
     assert r.formatted == "<|start|>user\nsee <||image|><|image|><|audio|><|document|>end<|image|><|end|>\n<|start|>assistant\n<|end|>\n"
-    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 768), ("image", None, 0)]
+    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [
+        ("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 768), ("image", None, 0)
+    ]
     assert r.media_tokens == 810 and r.loss_mask[0].len == 0

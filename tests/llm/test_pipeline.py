@@ -30,21 +30,35 @@ def test_stages(spark, sf):
     good = after(0, docs)
     assert good == {k: r for k, r in rows.items() if not quality_brute(r["text"])[-1]}
     prints = {k: simhash_brute(r["text"]) for k, r in good.items()}
-    of = component_brute([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], list(prints))
+    of = component_brute(
+        [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], list(prints)
+    )
     kept = spark.createDataFrame([tuple(r.values()) for r in good.values()], docs.schema)
     one = after(1, kept)
     assert one == {k: r for k, r in good.items() if of[k] == k} and len(one) < len(good)
     single = spark.createDataFrame([tuple(r.values()) for r in one.values()], docs.schema)
     cut = after(2, single)
-    want = {k: (t if g else one[k]["text"]) for k, _, g, t in substring_brute([(k, r["text"]) for k, r in one.items()])}
-    assert {k: r["text"] for k, r in cut.items()} == want and all(r["n_chars"] == len(r["text"]) for r in cut.values())
+    want = {
+        k: (t if g else one[k]["text"]) for k, _, g, t in substring_brute([(k, r["text"]) for k, r in one.items()])
+    }
+    assert {k: r["text"] for k, r in cut.items()} == want and all(
+        r["n_chars"] == len(r["text"]) for r in cut.values()
+    )
     whole = spark.createDataFrame([tuple(r.values()) for r in cut.values()], docs.schema)
     mixed = corpus_pipeline.STAGES[3][1](spark, whole, sf)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == set(cut)
     last = corpus_pipeline.STAGES[4][1](spark, whole, sf).collect()
-    assert {r.doc_id: r.decoded_sha256 for r in last} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+    assert {r.doc_id: r.decoded_sha256 for r in last} == {
+        k: hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()
+    }
     assert sum(len(words(t)) for t in want.values()) > 0 and tokenizer_path()
-    names = ["quality rules", "SimHash near-dedup", "substring dedup", "mixing sources to target weights", "BPE encoding and decoding"]
+    names = [
+        "quality rules",
+        "SimHash near-dedup",
+        "substring dedup",
+        "mixing sources to target weights",
+        "BPE encoding and decoding",
+    ]
     assert [n for n, _ in corpus_pipeline.STAGES] == names
 
 
