@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types
-from ..operators import binning, charts, clean, encode, impact, univariate
+from ..operators import binning, charts, clean, encode, impact, report, univariate
 from ..operators.profile import profile, profile_wide
 from ..sources.files import extract_columns, scan, schema_table, sink
 from ..sources.shared import shared_dir
@@ -699,6 +699,39 @@ def clean_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, out, "csv", "n_nationkey int, n_name string")
 
 
+@query("SELECT * FROM (VALUES ('no', false, 0), ('yes', true, 25)) AS t(answer, written, n)")
+def clean_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whoever is asked decides whether anything is written."""
+    from .actions import CleaningAction
+    from .api import carry_out
+
+    found = []
+    for answer in ("no", "yes"):
+        action = CleaningAction(
+            f"{sf_dir}/nation.parquet", "parquet", scratch(spark, answer), "test", "n_regionkey", action="drop_rows"
+        )
+        out = carry_out(spark, action, confirm=lambda asked, answer=answer: answer == "yes")
+        found.append((answer, out is not None, len(extract_columns(spark, action.output_path, "csv")) and out.count()))
+    return spark.createDataFrame(found, "answer string, written boolean, n int")
+
+
+# Reports
+
+
+@query("SELECT * FROM (VALUES ('First 20 rows, label', 22)) AS t(title, lines)")
+def enc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = encode.encode(events(spark, sf_dir), "kind", "label", "event_id", "preview")
+    text = report.preview_report(first, "First 20 rows, label").split("\n")
+    return spark.createDataFrame([(text[0], len(text))], "title string, lines int")
+
+
+@query("SELECT * FROM (VALUES ('First 20 rows, standardize', 22)) AS t(title, lines)")
+def bin_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = binning.transform(events(spark, sf_dir), "v", "standardize", order_key="event_id", scope="preview")
+    text = report.preview_report(first, "First 20 rows, standardize").split("\n")
+    return spark.createDataFrame([(text[0], len(text))], "title string, lines int")
+
+
 # Impact
 
 IMPACT = f"""
