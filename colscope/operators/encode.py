@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import require_categorical, require_column
+from ..sources.shared import shared_dir
 
 
 class Encoding(str, Enum):
@@ -47,26 +48,44 @@ def encode_frequency(df: DataFrame, column: str) -> DataFrame:
     return _looked_up(df, column, shares, F.col("__count") / F.col("__n"))
 
 
-def _numbered(values: DataFrame, order: str) -> DataFrame:
-    """``value, __code``: places from 0 in ``order``. The table has one row a category, not one a row."""
-    return values.select("value", (F.row_number().over(Window.orderBy(order)) - 1).alias("__code"))
+def _numbered(values: DataFrame, order: str, large: bool) -> DataFrame:
+    """``value, __code``: places from 0 in ``order``, which has no ties. The table has one row a category, not one a row.
 
+    Categories are numbered in one task, unless they are ``large``: then they are dealt by range, written, numbered
+    within each range, and ranges are offset by what lies before them.
+    """
+    if not large:
+        return values.select("value", (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("__code"))
+    shared_dir(values.sparkSession)
+    ranged = values.repartitionByRange(order).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range")) - F.col("__size")
+    offsets = sizes.select("__range", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return ranged.withColumn("__within", within).join(F.broadcast(offsets), "__range").select(
+        "value", (F.col("__before") + F.col("__within")).alias("__code")
+    )
 
-def encode_label(df: DataFrame, column: str, order_key: str) -> DataFrame:
-    """Codes from 0 in order of first appearance by ``order_key``; null stays null."""
+
+def encode_label(df: DataFrame, column: str, order_key: str, large: bool = False) -> DataFrame:
+    """Codes from 0 in order of first appearance by ``order_key``; null stays null. ``large``: for more categories
+    than one task should number."""
     require_categorical(df, column)
     require_column(df, order_key)
-    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.min(order_key).alias("__first")
+    known = df.filter(F.col(column).isNotNull())
+    first = known.groupBy(F.col(column).alias("value")).agg(F.min(order_key).alias("__first"))
+    return _looked_up(
+        df, column, _numbered(first, "__first", large), F.col("__code").cast("int" if not large else "long")
     )
-    return _looked_up(df, column, _numbered(first, "__first"), F.col("__code"))
 
 
-def encode_ordinal(df: DataFrame, column: str) -> DataFrame:
-    """Ranks from 0 among the distinct values in order; null stays null."""
+def encode_ordinal(df: DataFrame, column: str, large: bool = False) -> DataFrame:
+    """Ranks from 0 among the distinct values in order; null stays null. ``large``: as for labels."""
     require_categorical(df, column)
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return _looked_up(df, column, _numbered(values, "value"), F.col("__code"))
+    return _looked_up(
+        df, column, _numbered(values, "value", large), F.col("__code").cast("int" if not large else "long")
+    )
 
 
 def encode_one_hot(df: DataFrame, column: str, values: list[str | None] | None = None, most: int = 1000) -> DataFrame:

@@ -103,6 +103,16 @@ def test_encodings(kinds):
         encode.encode(kinds, "k", "target")
 
 
+def test_many_categories(spark):
+    df = spark.range(5000).select(
+        (F.col("id") * 7919 % 5003).alias("i"), F.concat(F.lit("v"), F.col("id") % 1500).alias("k")
+    )
+    for encoded in (encode.encode_ordinal, lambda d, c, **o: encode.encode_label(d, c, "i", **o)):
+        small, large = (encoded(df, "k", large=size).orderBy("i", "k").collect() for size in (False, True))
+        assert [tuple(r) for r in small] == [tuple(r) for r in large]
+        assert {r.k_encoded for r in large} == set(range(1500))
+
+
 def test_bins(doubles):
     df = doubles(1.0, 2.0, 4.0, 5.0, 7.0, 10.0, None)
     assert [r.x_binned for r in binning.bin_equal_width(df, "x", 3).collect()] == [0, 0, 0, 1, 1, 2, None]
