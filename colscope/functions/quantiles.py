@@ -2,7 +2,8 @@
 
 A first aggregate sketches, for each group and probability, two values around the quantile. A second one counts the
 rows below the lower of them. A third pass keeps only the few rows between the two; their distinct values are put in
-order, by group, and the wanted ranks are read off. All aggregate before they shuffle, so no task holds a column.
+order, by group and cell of the bracket, and the wanted ranks are read off. All aggregate before they shuffle, so no
+task holds a column.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: The sketch's ranks are off by one in ACCURACY of a group's rows at most; the bracket allows for several times that.
 #: A group of under SMALL rows, where single ranks count, is all in the bracket.
 ACCURACY, SLACK, SMALL = 10_000, 0.0008, 10_000
+#: What is in a bracket is put in order in so many cells of equal width, each by itself.
+CELLS = 512
 
 
 def nearest_rank(n: Column, q: float) -> tuple[Column, Column, Column]:
@@ -70,14 +73,26 @@ def quantiles(
         F.array(*[F.when((x >= low[i]) & (x <= high[i]), F.lit(i)) for i in numbers]), lambda i: i.isNotNull()
     )
     near = reduce(or_, [(x >= low[i]) & (x <= high[i]) for i in numbers])
+    low_i, high_i = F.col("b")[2 * F.col("i")], F.col("b")[2 * F.col("i") + 1]
+    cell = (
+        F.when(F.isnan("x"), F.lit(CELLS).cast("long"))
+        .when(low_i < high_i, F.floor((x - low_i) / (high_i - low_i) * (CELLS - 1)))
+        .otherwise(F.lit(0).cast("long"))
+    )
+    slot = [*keys, "i", "cell"]
     counted = (
-        seen.filter(near).select(*keys, "x", F.explode(inside).alias("i")).groupBy(*keys, "i", "x")
+        seen.filter(near)
+        .select(*keys, "x", "b", F.explode(inside).alias("i"))
+        .groupBy(*keys, "i", cell.alias("cell"), "x")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy("x"))
-    ranked = met(counted.withColumn("upto", upto), below, keys)
-    ranked = met(ranked, sketch.select(*keys, "n"), keys)
-    ranked = ranked.withColumn("upto", F.col("upto") + F.array(*[f"c{i}" for i in numbers])[F.col("i")])
+    cells = counted.groupBy(*slot).agg(F.sum("c").alias("s"))
+    earlier = F.sum("s").over(Window.partitionBy(*keys, "i").orderBy("cell")) - F.col("s")
+    upto = F.sum("c").over(Window.partitionBy(*slot).orderBy("x"))
+    ranked = met(counted.withColumn("upto", upto), cells.select(*slot, earlier.alias("earlier")), slot)
+    ranked = met(met(ranked, below, keys), sketch.select(*keys, "n"), keys)
+    missed = F.array(*[f"c{i}" for i in numbers])[F.col("i")]
+    ranked = ranked.withColumn("upto", F.col("upto") + F.col("earlier") + missed)
     parts = []
     for i, (_, q, rule) in enumerate(wanted):
         for name, rank in zip((f"l{i}", f"h{i}"), RULES[rule](F.col("n"), q), strict=False):

@@ -235,6 +235,16 @@ def test_large_quantiles(spark):
     )
 
 
+def test_quantiles_of_extremes(spark):
+    inf, nan = float("inf"), float("nan")
+    for xs in ([inf, -inf, 0.0, 1.0, nan], [nan, nan, 1.0], [-inf] * 3 + [2.0], [1e308, -1e308, 0.0, 5.0, 5.0]):
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        ordered = sorted(xs, key=lambda v: (v != v, v))
+        wanted = [(f"q{i}", i / 4, "nearest") for i in range(5)]
+        got = quantiles(df, "x", wanted).first()
+        assert [repr(v) for v in got] == [repr(ordered[int((len(xs) - 1) * i / 4 + 0.5)]) for i in range(5)]
+
+
 def test_plans_stay_in_the_engine(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet")
     plan = univariate.quartiles(df, "l_extendedprice")._jdf.queryExecution().executedPlan().toString()
