@@ -100,7 +100,8 @@ class Codec:
         ids = self.ids
         if new := [w for w in set(words) if w not in ids]:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.changed.update((w, d) for w, d in zip(new, self.tokenizer.decode_batch(found, skip_special_tokens=False), strict=True) if w != d)
+            decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            self.changed.update((w, d) for w, d in zip(new, decoded, strict=True) if w != d)
             if len(ids) + len(new) > REMEMBERED:
                 ids = {w: ids[w] for w in words if w in ids}
                 self.unseen += len(new)
@@ -142,7 +143,9 @@ def _agreed(x: Encoded, shift_x: int, y: Encoded, shift_y: int, least: int, most
     here = np.intersect1d(x.start + shift_x, y.start + shift_y)
     for p in here[(here >= least) & (here <= most)].tolist():
         i, j = int(np.searchsorted(x.start, p - shift_x)), int(np.searchsorted(y.start, p - shift_y))
-        if i and j and x.ids[i] == y.ids[j] and x.ids[i - 1] == y.ids[j - 1] and x.start[i - 1] + shift_x == y.start[j - 1] + shift_y and x.opens[i] == y.opens[j]:
+        if not (i and j and x.opens[i] == y.opens[j] and x.ids[i] == y.ids[j]):
+            continue
+        if x.ids[i - 1] == y.ids[j - 1] and x.start[i - 1] + shift_x == y.start[j - 1] + shift_y:
             found.append(p)
     return found
 
@@ -202,7 +205,8 @@ def _encoded_long(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            out = [(k, h, i, x) for k, text, h in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for i, x in enumerate(pieces(text))]
+            rows = zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)
+            out = [(k, h, i, x) for k, text, h in rows for i, x in enumerate(pieces(text))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in out], b.schema.field(0).type),

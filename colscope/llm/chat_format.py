@@ -138,7 +138,7 @@ def format_conversations(
 
 
 def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What formatted conversations say: ``conv, formatted, turns`` (role, text), ``loss_text``. Placeholders stay in texts."""
+    """What formatted conversations say: ``conv, formatted, turns`` (role, text), ``loss_text``. Placeholders stay."""
     pieces = F.slice(F.split("formatted", r"<\|start\|>"), 2, F.lit(2**31 - 1))
 
     def turn(piece: Column) -> Column:

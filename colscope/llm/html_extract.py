@@ -31,10 +31,16 @@ NAME_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """
+    a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s
+    samp small span strike strong sub sup time tt u var wbr
+    """.split()
 )
 CLOSES_P = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+    """
+    address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1
+    h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul
+    """.split()
 )
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -46,18 +52,33 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 SCOPE = frozenset(
-    "article aside blockquote body button caption details div fieldset footer form header html li main nav object section table td th ul ol".split()
+    """
+    article aside blockquote body button caption details div fieldset footer form header html li main nav object
+    section table td th ul ol
+    """.split()
 )
 
 #: Elements and names that are not the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 NOT_TAGS = frozenset(
-    "head nav header footer aside form script style noscript template iframe svg button select option textarea input dialog menu object canvas audio video map datalist".split()
+    """
+    head nav header footer aside form script style noscript template iframe svg button select option textarea
+    input dialog menu object canvas audio video map datalist
+    """.split()
 )
 NOT_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
+    """
+    navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar
+    """.split()
 )
 NOT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond responses related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner banners skip hidden copyright disclaimer form search".split()
+    """
+    ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos
+    promotion nav navbar navigation menu menus header masthead topbar footer sidebar sidebars aside cookie
+    cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription
+    signup login share sharing social comment comments commentlist disqus reply replies respond responses
+    related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget widgets banner
+    banners skip hidden copyright disclaimer form search
+    """.split()
 )
 NOT_ENDINGS = (
     "sidebar", "navbar", "nav", "menu", "footer", "comments", "advert", "masthead", "pageheader", "siteheader"

@@ -56,7 +56,8 @@ def exponent(sources: DataFrame, max_repeats: float | None, target_entropy: floa
             return [v is None or v <= max_repeats for v in row]
         columns = [c for a in points for c in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p)))]
         row = sources.agg(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return [z is None or math.log(z) - a * s / z >= target_entropy for a, z, s in zip(points, row[::2], row[1::2], strict=True)]
+        found = zip(points, row[::2], row[1::2], strict=True)
+        return [z is None or math.log(z) - a * s / z >= target_entropy for a, z, s in found]
 
     low, high = 0.0, 1.0
     if max_repeats is not None and met([low])[0]:

@@ -93,7 +93,8 @@ def shard_bounded(
     cell = F.pmod(position, F.lit(cells)).cast("int")
     found = {r["cell"]: r["count"] for r in df.groupBy(cell.alias("cell")).count().collect()}  # `cells` rows at most
     segments = place([found.get(c, 0) for c in range(cells)], owners, n_shards, epsilon)
-    plan = df.sparkSession.createDataFrame(segments, "cell int, first long, until long, shard int, base long")  # cells + shards rows and a few
+    # About as many rows as there are cells and shards.
+    plan = df.sparkSession.createDataFrame(segments, "cell int, first long, until long, shard int, base long")
     content = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(
         F.col(key).alias("key"),

@@ -268,7 +268,8 @@ def dedup_substrings(
 
     def returned(pick: Callable[[list[bytes]], Iterator[bytes]]) -> Callable[[pa.Table], pa.Table]:
         def run(t: pa.Table) -> pa.Table:
-            found = [(r, b, x) for r, b, x in zip(t.column("range").to_pylist(), t.column("block").to_pylist(), pick(t.column("hashes").to_pylist()), strict=True) if x]
+            ranges, blocks, hashes = (t.column(c).to_pylist() for c in ("range", "block", "hashes"))
+            found = [(r, b, x) for r, b, x in zip(ranges, blocks, pick(hashes), strict=True) if x]
             return pa.table(
                 {
                     "range": pa.array([r for r, _, _ in found], pa.int32()),
@@ -344,7 +345,8 @@ def remove_repeats(
         t = t.set_column(t.column_names.index(text), text, pa.array(texts, t.schema.field(text).type))
         if length in t.column_names:
             field = t.schema.field(length)
-            sizes = [len(x) if gone else old for x, (_, gone, _), old in zip(texts, kept, t.column(length).to_pylist(), strict=True)]
+            known = t.column(length).to_pylist()
+            sizes = [len(x) if gone else n for x, (_, gone, _), n in zip(texts, kept, known, strict=True)]
             t = t.set_column(t.column_names.index(length), length, pa.array(sizes, field.type))
         return t
 

@@ -53,8 +53,10 @@ def exact(a: np.ndarray, b: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | N
             return a @ b.T
         return np.einsum("ij,ij->i", a[pairs[0]], b[pairs[1]])
     rows, cols = pairs if pairs is not None else np.indices((len(a), len(b))).reshape(2, -1)
-    big = [max(-(2**63), min(2**63 - 1, sum(int(p) * int(q) for p, q in zip(a[i], b[j], strict=True)))) for i, j in zip(rows, cols, strict=True)]
-    out = np.array(big, dtype=object)
+    products = (
+        sum(int(p) * int(q) for p, q in zip(a[i], b[j], strict=True)) for i, j in zip(rows, cols, strict=True)
+    )
+    out = np.array([max(-(2**63), min(2**63 - 1, s)) for s in products], dtype=object)
     return out if pairs is not None else out.reshape(len(a), len(b))
 
 
@@ -88,7 +90,8 @@ def best(
             else:
                 product = exact(queries[live], vectors[part])
                 mask &= product > least[live, None]
-                if product.shape[1] > k + 1 and product.dtype != object and mask.mean() > DENSE:  # one of a row may be the query itself
+                # One of a row may be the query itself.
+                if product.shape[1] > k + 1 and product.dtype != object and mask.mean() > DENSE:
                     mask &= product >= np.partition(product, product.shape[1] - k - 1, axis=1)[:, -k - 1, None]
                 q, c = np.nonzero(mask)
                 s, q = product[q, c], live[q]
