@@ -47,7 +47,7 @@ def _index(x: Column, breaks: Column) -> Column:
 
 
 def _binned(df: DataFrame, column: str, breaks: DataFrame) -> DataFrame:
-    """Adds ``column_binned`` (from 0), ``column_lower`` and ``column_upper`` (null: unbounded); ``breaks`` is one row."""
+    """Adds ``column_binned`` (from 0), ``column_lower`` and ``column_upper`` (null: none); ``breaks`` is one row."""
     x = F.col(column).cast("double")
     out = df.crossJoin(F.broadcast(breaks)).withColumn("__bin", _index(x, F.col("__breaks")))
     return out.select(

@@ -32,8 +32,17 @@ def profile_wide(df: DataFrame, approximate: bool = False) -> DataFrame:
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row a column: ``column, dtype, nulls, nunique, n_rows``."""
     wide = profile_wide(df, approximate)
-    rows = [F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), F.lit(kind).alias("dtype"), F.col(f"`{name}_nulls`").alias("nulls"), F.col(f"`{name}_nunique`").alias("nunique"), F.col("n_rows")) for i, (name, kind) in enumerate(df.dtypes)]
-    return wide.select(F.inline(F.array(*rows))).drop("position")
+    rows = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(kind).alias("dtype"),
+            F.col(f"`{name}_nulls`").alias("nulls"),
+            F.col(f"`{name}_nunique`").alias("nunique"),
+            F.col("n_rows"),
+        )
+        for name, kind in df.dtypes
+    ]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def profile_record(df: DataFrame, approximate: bool = False) -> dict:
