@@ -29,7 +29,7 @@ LONG, PIECE = 1 << 16, 1 << 15
 #: Characters on which the finding of words may depend beyond a word, with room to spare: special tokens have 13.
 MARGIN = 16
 #: Encoded words that a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 # The word pattern of byte-level BPE, for characters whose classes all versions of Unicode share.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\r"

@@ -15,7 +15,7 @@ SPACE_CLASS = "[ \\t-\\r]+"
 BROADCAST_ROWS = 10_000
 
 #: Arrow batches hold whole texts, in the engine and in Python, so they are limited by bytes.
-BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(8 << 20)
+BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
 
 
 def small_batches(spark: SparkSession) -> None:

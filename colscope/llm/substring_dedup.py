@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .vector_text import U64, Words, mixed, read_words
+from .vector_text import U64, Words, mixed, read_words, release
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
 #: Bytes of text in a block, and hashes in a range, on average: at least, and at most. Both grow with the input in
 #: between, as there is a piece for each block and range.
-BLOCK_BYTES, MOST_BLOCK_BYTES, RANGE_HASHES, MOST_RANGE_HASHES = 4 << 20, 32 << 20, 1 << 20, 8 << 20
+BLOCK_BYTES, MOST_BLOCK_BYTES, RANGE_HASHES, MOST_RANGE_HASHES = 2 << 20, 32 << 20, 1 << 20, 8 << 20
 BLOCKS, RANGES = 4096, 1365
 #: Bytes that are hashed at once.
 RUN_BYTES = 1 << 18
@@ -254,6 +254,7 @@ def dedup_substrings(
     blocks = rows.repartition("__block")
 
     def block_of(t: pa.Table) -> Block:
+        release()  # what the block before took
         return read_block(t.column(key).to_pylist(), t.column(text).to_pylist())
 
     def sent(pairs: Iterator[tuple[int, bytes]], block: int) -> pa.Table:

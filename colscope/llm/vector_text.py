@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -27,6 +28,13 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+def release() -> None:
+    """Give freed memory back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of each have about ``most`` bytes, or are one text."""
     for batch in batches:
@@ -38,6 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) ->
         cuts = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
             yield batch.slice(a, b - a)
+    release()
 
 
 def read_words(texts: Sequence[str | None], lower: bool = False) -> Words:
