@@ -89,10 +89,12 @@ def best(
                 s = exact(queries, vectors[part], (q, c))
             else:
                 product = exact(queries[live], vectors[part])
-                mask &= product > least[live, None]
-                # One of a row may be the query itself.
-                if product.shape[1] > k + 1 and product.dtype != object and mask.mean() > DENSE:
-                    mask &= product >= np.partition(product, product.shape[1] - k - 1, axis=1)[:, -k - 1, None]
+                own = query_ids[live, None] == ids[part]
+                mask &= (product > least[live, None]) & ~own
+                # Any number of a row may be the query's own, so they go before its k best are found.
+                if product.shape[1] > k and product.dtype != object and mask.mean() > DENSE:
+                    product[own] = -np.inf
+                    mask &= product >= np.partition(product, product.shape[1] - k, axis=1)[:, -k, None]
                 q, c = np.nonzero(mask)
                 s, q = product[q, c], live[q]
         ok = (s > least[q]) & (ids[part][c] != query_ids[q])

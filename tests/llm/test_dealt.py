@@ -512,6 +512,21 @@ def test_top_k_prunes_nothing_it_needs():
         assert (top_k.features(x[:40], n) @ top_k.features(x, n).T + 1e-3 >= x[:40] @ x.T).all()
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 40, 100])
+def test_top_k_of_repeated_queries(times):
+    rng = np.random.default_rng(times)
+    x = np.floor(64 * rng.normal(size=(300, 16)))
+    x[:times] = 3 * x[0]
+    ids = np.maximum(np.arange(300) - times + 1, 0)
+    for query in (0, times):
+        at, found, score = top_k.best(x[[query]], ids[[query]], x, ids, 20)
+        s = (x @ x[query]).astype(int)
+        want = sorted((-s[j], ids[j]) for j in range(300) if ids[j] != ids[query])[:20]
+        assert list(zip((-score).astype(int).tolist(), found.tolist(), strict=True)) == [
+            (int(a), int(b)) for a, b in want
+        ]
+
+
 # 8
 
 
