@@ -8,6 +8,7 @@ such container fall back on their own best.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -87,8 +88,8 @@ NOT_BEGINNINGS = ("comment", "cookie", "advert", "sidebar", "newsletter", "spons
 ARTICLE_NAMES = frozenset("article content entry post story body text main maincontent articlebody prose".split())
 ROOTS = frozenset("html body main article".split())
 MILLION = 1_000_000
-#: Elements open at once, and levels that a path tells apart, at most; what lies deeper counts as on the last.
-MOST_OPEN, MOST_LEVELS = 512, 48
+#: Levels that a path spells out; those of deeper elements are digests, so that they stay short.
+SPELLED_LEVELS = 48
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -144,7 +145,9 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
         tag not in ROOTS and (role in NOT_ROLES or bool(bad))
     ) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
     depth = parent.depth + 1 if parent else 0
-    path = label if parent is None else f"{parent.path}>{label}" if depth < MOST_LEVELS else parent.path
+    path = label if parent is None else f"{parent.path}>{label}"
+    if depth >= SPELLED_LEVELS:
+        path = "~" + hashlib.md5(path.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
     return Node(
         tag,
         path,
@@ -159,21 +162,23 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
     """``("open", node, "")``, ``("close", node, "")``, ``("break", None, "")`` and ``("text", node, text)`` in page
     order. End tags that may be left out are put in; what a cut page leaves open is closed at its end."""
     stack: list[Node] = []
+    places: dict[str, list[int]] = defaultdict(list)  # by tag where it is open, so that deep pages take no longer
     at = 0
 
     def popped(to: int) -> list[tuple[str, Node | None, str]]:
         out: list[tuple[str, Node | None, str]] = [("close", n, "") for n in reversed(stack[to:])]
+        for _, n, _ in out:
+            places[n.tag].pop()
         del stack[to:]
         return out
 
+    def nearest(tags: set[str] | frozenset[str]) -> int:
+        return max((p[-1] for t in tags if (p := places.get(t))), default=-1)
+
     def scope(tags: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> int:
         """Where the nearest of ``tags`` is open, looking out as far as the nearest of ``limits``; else -1."""
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in limits:
-                return -1
-        return -1
+        i = nearest(tags)
+        return i if i >= 0 and i >= nearest(limits) else -1
 
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -202,7 +207,7 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
         if tag in CLOSES:
             while (i := scope(*CLOSES[tag])) >= 0:
                 yield from popped(i)
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag == "body" and (i := scope({"head"}, frozenset())) >= 0:
             yield from popped(i)
@@ -215,9 +220,7 @@ def walk(html: str) -> Iterator[tuple[str, Node | None, str]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if len(stack) >= MOST_OPEN:
-            yield "break", None, ""
-            continue
+        places[tag].append(len(stack))
         stack.append(node)
         yield "open", node, ""
     yield from popped(0)
@@ -229,22 +232,18 @@ def scores(html: str) -> dict[str, int]:
     chars: dict[str, int] = defaultdict(int)
     weight: dict[str, float] = {}
     whole = 0
-    inside: list[Node] = []
+    inside: list[tuple[Node, int]] = []  # with the text there was before it; no two that are open have one path
     for kind, node, text in walk(html):
         if kind == "open" and node.tag not in INLINE and node.tag not in (
             "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "pre", "blockquote"
         ):
-            if node.depth < MOST_LEVELS:
-                inside.append(node)
-        elif kind == "close" and inside and inside[-1] is node:
-            inside.pop()
-        elif kind == "text" and (
-            node is None or not (node.dropped or node.link)
-        ) and (n := len("".join(text.split()))):
-            whole += n
-            for path, x in {x.path: x for x in inside}.items():
-                chars[path] += n
-                weight[path] = x.weight
+            inside.append((node, whole))
+        elif kind == "close" and inside and inside[-1][0] is node:
+            if n := whole - inside.pop()[1]:
+                chars[node.path] += n
+                weight[node.path] = node.weight
+        elif kind == "text" and (node is None or not (node.dropped or node.link)):
+            whole += len("".join(text.split()))
     return {p: int(MILLION * weight[p] * n / whole) for p, n in chars.items()}
 
 

@@ -216,6 +216,17 @@ def test_deep_html():
     assert html_extract.extract(deep, None) == "core x"
 
 
+def test_text_after_deep_html():
+    deep = "<div>" * 600 + "mid" + "</div>" * 600
+    page = "<body><div class=x><p>start</p>%s<p>the rest of the article</p></div></body>"
+    assert html_extract.extract(page % deep, None) == "start mid the rest of the article"
+    assert html_extract.extract(page % deep, "body>div.x") == "start mid the rest of the article"
+    menu = "<div>" * 600 + "<nav>menu</nav><div class=comments>No!</div>" + "</div>" * 600
+    assert html_extract.extract(page % menu, "body>div.x") == "start the rest of the article"
+    inner = "<div>" * 600 + "<article>the article</article>" + "</div>" * 600
+    assert html_extract.extract(f"<body>words{inner}</body>", None) == "the article"
+
+
 def test_html_of_the_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract_text(pages).collect()}
