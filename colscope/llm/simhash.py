@@ -240,7 +240,13 @@ def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose key is its component's smallest; components without any key stay as they are."""
-    found = simhash_components(df, key, text)
-    kept = found.filter(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each component: that with the smallest key, null keys last, and of rows that share it the one with
+    the smallest hash of all columns but maps. Of rows that are equal in these one stays."""
+    hashed = F.xxhash64(F.col(key).isNull(), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind])
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), hashed.alias("hash"))
+    marked = df.withColumn("__row", row)
+    kept = simhash_components(marked, "__row", text).select(F.col("component").alias("__row")).distinct()
+    # Equal rows combine before they are dealt.
+    return marked.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )

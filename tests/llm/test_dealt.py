@@ -429,6 +429,16 @@ def test_simhash(docs, empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(7, a, "x"), (7, a, "x"), (7, a, "y"), (9, a, "x"), (None, a, "x"), (7, b, "x"), (7, b, "x")]
+    rows += [(None, c, "x"), (None, c, "x"), (None, c, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert sorted((r[:2] for r in got), key=repr) == sorted([(7, a), (7, b), (None, c)], key=repr)
+    assert set(got) <= set(rows)
+
+
 @pytest.mark.parametrize("pairs", [1 << 20, 1])
 def test_anchors_find_all_links(monkeypatch, pairs):
     monkeypatch.setattr(simhash, "PAIRS", pairs)
