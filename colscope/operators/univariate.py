@@ -107,16 +107,18 @@ def modes(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(most)).filter(F.col("count") == F.col("__most")).drop("__most")
 
 
-def univariate_categorical(df: DataFrame, column: str, most_modes: int = 1000) -> DataFrame:
+def univariate_categorical(df: DataFrame, column: str, most_modes: int | None = None) -> DataFrame:
     """One row: ``modes`` (in order), ``n_modes, n_unique, valid_count, null_count, total_count``.
 
-    If every value of a large column is as frequent as any other, all are modes: the list has the ``most_modes``
-    smallest, ``n_modes`` says how many there are, and ``modes`` (the function) gives all as a table.
+    If every value of a large column is as frequent as any other, all are modes. The list has them all, or the
+    ``most_modes`` smallest if given; ``n_modes`` says how many there are, and ``modes`` (the function) gives all as a
+    table, without a list that one task holds.
     """
     c = F.col(require_categorical(df, column))
     counts = df.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     found = modes(df, column)
-    listed = found.orderBy("value").limit(most_modes).agg(F.sort_array(F.collect_list("value")).alias("modes"))
+    first = found if most_modes is None else found.orderBy("value").limit(most_modes)
+    listed = first.agg(F.sort_array(F.collect_list("value")).alias("modes"))
     number = found.agg(F.count(F.lit(1)).alias("n_modes"))
     valid = F.col("v").isNotNull()
     one = counts.agg(

@@ -71,6 +71,13 @@ def test_categorical(kinds):
     assert "No valid data found." in report.categorical_report(empty, "k") and univariate.frequency_table(empty, "k").count() == 0
 
 
+def test_all_modes_are_listed(spark):
+    df = spark.range(1500).selectExpr("lpad(id, 4, '0') AS s")
+    s = univariate.univariate_categorical(df, "s").first()
+    assert (s.modes, s.n_modes) == ([f"{i:04}" for i in range(1500)], 1500)
+    assert univariate.univariate_categorical(df, "s", most_modes=2).first().modes == ["0000", "0001"]
+
+
 def test_profile(spark, kinds):
     assert {
         r["column"]: (r.dtype, r.nulls, r.nunique, r.n_rows) for r in profile(kinds).collect()
