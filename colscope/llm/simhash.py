@@ -244,7 +244,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     the smallest hash of all columns but maps. Of rows that are equal in these one stays."""
     hashed = F.xxhash64(F.col(key).isNull(), *[F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind])
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), hashed.alias("hash"))
-    marked = df.withColumn("__row", row)
+    # With fields that may be null, as the components have it: else the join casts and deals the texts once more.
+    marked = df.withColumn(
+        "__row", row.cast(f"struct<none:boolean,key:{df.schema[key].dataType.simpleString()},hash:bigint>")
+    )
     kept = simhash_components(marked, "__row", text).select(F.col("component").alias("__row")).distinct()
     # Equal rows combine before they are dealt.
     return marked.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(
