@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Words are maximal runs of anything but U+0020 and U+0009..U+000D.
 SPACE_CLASS = "[ \\t-\\r]+"
 
-#: Tables up to this many narrow rows may be broadcast; beyond it joins are salted.
-BROADCAST_ROWS = 10_000
+#: Lookup tables up to this size, as measured, are broadcast.
+BROADCAST_BYTES = 32 << 20
+
+#: Rows that a key may have, and the share of all rows (one in so many), before joins deal it to many tasks.
+HOT_ROWS, HOT_SHARE = 1000, 2000
 
 #: Arrow batches hold whole texts, in the engine and in Python, so they are limited by bytes.
 BATCH_LIMIT, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), str(4 << 20)
@@ -34,57 +41,80 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own in local mode."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="colscope-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of a narrow table, written reliably; files go when the table is no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, wherever the session's file systems have them."""
+    for path in paths:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
-_written: list[str] = []
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``written`` makes within the block are deleted at its end, also if it fails; others are not touched."""
+    paths: list[str] = []
+    outer = _tables.set(paths)
+    try:
+        yield paths
+    finally:
+        _tables.reset(outer)
+        delete(spark, *paths)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """A wide table written once as Parquet in the shared folder and read back. It stays until ``drop_written``."""
+def written(df: DataFrame, label: str = "rows") -> DataFrame:
+    """A table written once as Parquet in the shared folder and read back, which cuts its lineage: nothing before it is
+    planned or computed again, and what reads it takes the columns it needs. It stays, unless written within a
+    ``scratch`` block."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    if (tables := _tables.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *more: str) -> None:
-    """Delete the tables that ``written`` made in this process, and more paths; nothing may read them any longer."""
-    for path in [*_written, *more]:
-        found = spark._jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-    _written.clear()
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with columns ``c0``, ``c1`` and so on, so that columns an operator adds can't clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def number(df: DataFrame, column: str) -> str:
+    """What ``numbered`` calls a column."""
+    return f"c{df.columns.index(column)}"
+
+
+def named(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, out of what became of ``numbered(like)``."""
+    return df.select(*[f"c{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
+def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The values of ``key`` that more than ``rows`` rows and one row in ``HOT_SHARE`` have, so ``HOT_SHARE`` at most."""
+    counts = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") > max(rows, total // HOT_SHARE)).select(key)
+
 
+def join_hot(df: DataFrame, lookup: DataFrame, key: str, hot: DataFrame | None = None, salts: int = 32) -> DataFrame:
+    """Left join of a table with one that is unique by ``key`` and may be as large, without a task that gets all rows
+    of a hot key: those are dealt by the order in which they are read as well, and met by copies of their one match.
+    ``hot`` has the keys, at most some thousand; without it they are counted. ``df`` should be a table that is read from
+    files, as rows then keep their order if a task is run again."""
+    hot = F.broadcast((hot_keys(df, key, HOT_ROWS) if hot is None else hot).withColumn("__hot", F.lit(True)))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    left = df.withColumn("__turn", turn).join(hot, key, "left")
+    left = left.withColumn("__salt", F.when(F.col("__hot"), F.col("__turn")).otherwise(F.lit(0)))
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [key, "__salt"], "left").drop("__salt", "__turn", "__hot")
 
-def join_lookup(df: DataFrame, lookup: DataFrame, key: str, rows: int, salts: int = 32) -> DataFrame:
-    """Left join of a large, possibly skewed table with a lookup table unique by ``key``.
 
-    ``rows`` is the counted size of the lookup table. Up to ``BROADCAST_ROWS`` it is broadcast; beyond that
-    both sides are dealt by key and salt, so a key with a third of all rows is spread over ``salts`` tasks.
-    Null keys match no row of the lookup table.
-    """
-    if rows <= BROADCAST_ROWS:
+def join_lookup(df: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join of a large, possibly skewed table with a lookup table unique by ``key``, which is measured first: up to
+    ``BROADCAST_BYTES`` it is broadcast, beyond that ``join_hot`` joins them. Null keys match no row."""
+    texts = [F.octet_length(c) for c, kind in lookup.dtypes if kind == "string"]
+    size = F.lit(64) + sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0))
+    if (lookup.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
         return df.join(F.broadcast(lookup), key, "left")
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map" not in kind]), F.lit(salts))
-    many = lookup.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    return df.withColumn("__salt", spread).join(many, [key, "__salt"], "left").drop("__salt")
+    return join_hot(df, lookup, key)

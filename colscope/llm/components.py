@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import HOT_ROWS, HOT_SHARE, join_hot, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Tie the neighbours of each node (large: the larger ones; else the smaller ones and itself) to the smallest."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """Tie the neighbours of each node (large: the larger ones; else the smaller ones and itself) to the smallest.
+    There are ``n`` edges, or somewhat fewer."""
     swapped = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
     near = edges.unionByName(swapped) if large else edges
-    # As a table of its own: a hub's rows can be split only if nothing but the join needs them together.
-    least = checkpointed(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    tied = near.join(least, "u")
+    least = written(
+        near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    )
+    hubs = least.filter(F.col("n") > max(HOT_ROWS, n // HOT_SHARE)).select("u")
+    tied = join_hot(near, least.drop("n"), "u", hubs)
     if large:
         out = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,11 +30,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges (u, v)``; root is the component's smallest node.
 
-    Minima are added up before they are dealt, and what a hub has is joined, not gathered, so its rows can be
-    split. Each round's edges are checkpointed; the number of rounds grows with the logarithm of a component's
-    diameter. Loops are ignored.
+    Minima are added up before they are dealt, and what a hub has is joined in many tasks, not gathered. Each round's edges are written; the number of rounds grows with the logarithm of a component's
+    diameter. Loops and edges with a null end are ignored, repeated edges count once, no edges give no rows.
     """
-    now = checkpointed(
+    now = written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
     )
     seen = None
@@ -42,4 +44,4 @@ def components(edges: DataFrame) -> DataFrame:
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         seen = mark
-        now = checkpointed(_star(_star(now, True), False))
+        now = written(_star(written(_star(now, True, mark[0])), False, mark[0]))
