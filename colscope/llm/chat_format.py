@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import number, numbered
+
 START, END = "<|start|>", "<|end|>\n"
 PART_SCHEMA = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
@@ -74,14 +76,27 @@ def visit_parts(parts: Column) -> dict[str, Column]:
             part["kind"] == "document", F.coalesce(part["pages"], F.lit(0)).cast("long") * F.lit(PAGE_TOKENS)
         ).otherwise(F.lit(0)).cast("long")
 
-    def shown(part: Column) -> Column:
+    def body(sofar: Column, part: Column) -> Column:
+        """Texts that follow one another are escaped as one, so no control string can be put together out of two, and a
+        ``<`` in front of a placeholder stands apart from it."""
+        mark = F.concat(F.lit("<|"), part["kind"], F.lit("|>"))
         return F.when(
-            _attached(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))
-        ).otherwise(escape(part["text"]))
+            _attached(part),
+            F.struct(F.concat(sofar["done"], escape(sofar["open"]), mark).alias("done"), F.lit("").alias("open")),
+        ).otherwise(
+            F.struct(
+                sofar["done"].alias("done"), F.concat(sofar["open"], F.coalesce(part["text"], F.lit(""))).alias("open")
+            )
+        )
 
     attached = F.filter(parts, _attached)
     return {
-        "body": F.array_join(F.transform(parts, shown), ""),
+        "body": F.aggregate(
+            parts,
+            F.struct(F.lit("").alias("done"), F.lit("").alias("open")),
+            body,
+            lambda s: F.concat(s["done"], escape(s["open"])),
+        ),
         "attachments": F.transform(attached, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("tokens"))),
         "media_tokens": F.aggregate(attached, F.lit(0).cast("long"), lambda a, p: a + tokens(p)),
     }
@@ -89,24 +104,22 @@ def visit_parts(parts: Column) -> dict[str, Column]:
 
 def format_turns(df: DataFrame, role: str = "role", text: str | None = "text", parts: str | None = None) -> DataFrame:
     """Every row's turn: all columns, then ``turn_text``, ``loss_from`` and ``loss_len`` (code points within it),
-    ``attachments``, ``media_tokens``. Nothing is shuffled. Only the body of an assistant's turn bears loss."""
-    seen = visit_parts(F.col(parts) if parts else text_part(F.col(text)))
-    head = F.concat(F.lit(START), escape_role(F.col(role)), F.lit("\n"))
-    learned = F.coalesce(F.col(role) == "assistant", F.lit(False))
-    return df.withColumns(
-        {
-            "__body": seen["body"],
-            "attachments": seen["attachments"],
-            "media_tokens": seen["media_tokens"],
-            "__head": head,
-        }
-    ).withColumns(
-        {
-            "turn_text": F.concat("__head", "__body", F.lit(END)),
-            "loss_from": F.char_length("__head"),
-            "loss_len": F.when(learned, F.char_length("__body")).otherwise(F.lit(0)),
-        }
-    ).drop("__body", "__head")
+    ``attachments``, ``media_tokens``, which replace columns of these names. Nothing is shuffled. Only the body of an
+    assistant's turn bears loss. Null roles, texts and lists of parts are empty; texts may be of any length; repeated
+    rows are formatted each for itself; an empty table gives no rows."""
+    inner, role = numbered(df), F.col(number(df, role))
+    seen = visit_parts(F.col(number(df, parts)) if parts else text_part(F.col(number(df, text))))
+    head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
+    learned = F.coalesce(role == "assistant", F.lit(False))
+    made = {
+        "turn_text": F.concat("head", "body", F.lit(END)),
+        "loss_from": F.char_length("head"),
+        "loss_len": F.when(learned, F.char_length("body")).otherwise(F.lit(0)),
+        "attachments": F.col("attachments"),
+        "media_tokens": F.col("media_tokens"),
+    }
+    kept = [F.col(number(df, c)).alias(c) for c in df.columns if c not in made]
+    return inner.withColumns({**seen, "head": head}).select(*kept, *[c.alias(name) for name, c in made.items()])
 
 
 def format_conversations(
@@ -121,8 +134,9 @@ def format_conversations(
 
     ``loss_mask`` has, for each turn, the code points ``from`` the turn's start on and the ``len`` of them that
     bear loss. Turns are in order of ``turn`` (nulls first), ties by the formatted turn; repeated rows are turns
-    like any other, rows with a null conversation form one. A conversation's output is one value, so its rows
-    meet in one place; use ``format_turns`` where only single turns are needed.
+    like any other, rows with a null conversation form one. Null roles and texts are empty, an empty table gives no rows,
+    extra columns are ignored. A conversation's output is one value, so its rows meet in one place; use ``format_turns``
+    where only single turns are needed.
     """
     piece = F.struct(F.col(turn).alias("turn"), "turn_text", "loss_from", "loss_len", "attachments", "media_tokens")
     grouped = format_turns(df, role, text, parts).groupBy(F.col(conv).alias(conv)).agg(
@@ -138,7 +152,8 @@ def format_conversations(
 
 
 def read_back(df: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """What formatted conversations say: ``conv, formatted, turns`` (role, text), ``loss_text``. Placeholders stay."""
+    """What formatted conversations say: ``conv, formatted, turns`` (role, text), ``loss_text``. Placeholders stay. What
+    was null is empty, repeated rows are read each for itself, and an empty table gives no rows."""
     pieces = F.slice(F.split("formatted", r"<\|start\|>"), 2, F.lit(2**31 - 1))
 
     def turn(piece: Column) -> Column:
