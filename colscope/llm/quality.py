@@ -1,8 +1,9 @@
 """Quality rules with host-level verdicts.
 
-Each document is measured and judged by rules of its own. Rule failures are then added up by host, the hosts'
-failure rates are shrunk with a beta prior fitted to all hosts (method of moments), and a host whose shrunk rate
-is too high takes its remaining documents with it. The verdicts are joined back to the documents.
+Each document is measured and judged by rules of its own. Failures of each rule are then added up by host and each
+host's rates are shrunk with a beta prior that is fitted to all hosts, one for each rule (method of moments). A host
+whose shrunk rate of any rule lies in the upper tail of that rule's prior takes its remaining documents with it. The
+verdicts are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -10,15 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_lookup, let, words, written
+from .common import join_lookup, let, named, number, numbered, words, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: A host is rejected if its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.6
+#: A host is rejected if a shrunk rate is above the prior's mean plus so many of its deviations; but never with a
+#: rate under the first bound, when most of its documents pass, and always above the second.
+TAIL, BOUNDS = 2.0, (0.5, 0.8)
 #: Bounds of the prior's weight in documents.
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 10_000.0
 
+#: Documents fail by themselves by the first two rules; all four count for their host.
 RULES = ("too_short", "repeats_words", "repeats_lines", "symbols")
+MAX_REPEAT_LINES_PERCENT, MAX_SYMBOLS_PERCENT = 30, 10
 
 
 def repeated_words(w: Column) -> Column:
@@ -92,77 +96,79 @@ def judged(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame
     failed = {
         "__too_short": F.col("__n_words") < MIN_WORDS,
         "__repeats_words": 100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"),
-        "__repeats_lines": 100 * F.col("__n_dup_lines") > 30 * F.col("__n_lines"),
-        "__symbols": 100 * F.col("__n_symbols") > 10 * F.col("__word_chars"),
+        "__repeats_lines": 100 * F.col("__n_dup_lines") > MAX_REPEAT_LINES_PERCENT * F.col("__n_lines"),
+        "__symbols": 100 * F.col("__n_symbols") > MAX_SYMBOLS_PERCENT * F.col("__word_chars"),
     }
     return out.withColumns(failed).withColumn("__base_failed", F.col("__too_short") | F.col("__repeats_words"))
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """By host: documents, failures of each rule, and the shrunk rate of documents that fail any base rule.
+    """By host: documents, and of each rule its failures ``n_rule``, the shrunk rate ``rate_rule`` and the ``limit_rule``.
 
-    The prior is beta(m s, (1 - m) s): m is the mean of the hosts' rates, each host counting by its documents, and
-    s follows from their variance beyond binomial noise. Both are single figures that pass through the driver.
+    A rule's prior is beta(m s, (1 - m) s): m is the mean of the hosts' rates, each host counting by its documents, and
+    s follows from their variance beyond binomial noise. Its deviation is sqrt(m (1 - m) / (s + 1)). They are single
+    figures that pass through the driver.
     """
-    counts = [
-        F.count(F.lit(1)).alias("n_docs"),
-        F.count_if("__base_failed").alias("n_failed"),
-        *[F.count_if(f"__{r}").alias(f"n_{r}") for r in RULES],
-    ]
-    hosts = checkpointed(rows.groupBy("__host").agg(*counts))
-    total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f")).first()
+    counts = [F.count(F.lit(1)).alias("n_docs"), *[F.count_if(f"__{r}").alias(f"n_{r}") for r in RULES]]
+    hosts = written(rows.groupBy("__host").agg(*counts))
+    total = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum("n_docs").alias("n"), *[F.sum(f"n_{r}").alias(r) for r in RULES]).first()
     n, k = total["n"] or 1, total["k"] or 1
-    mean = (total["f"] or 0) / n
+    mean = {r: (total[r] or 0) / n for r in RULES}
     spread = hosts.agg(
-        F.sum(F.col("n_docs") * F.pow(F.col("n_failed") / F.col("n_docs") - F.lit(mean), F.lit(2.0)))
-    ).first()[0] or 0.0
-    noise = mean * (1 - mean)
-    extra = spread / n - noise * k / n
-    strength = min(max(noise / extra - 1, MIN_STRENGTH), MAX_STRENGTH) if extra > 0 else MAX_STRENGTH
-    return hosts.withColumn(
-        "rate", (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    )
-
-
-def rejected_hosts(rows: DataFrame, max_rate: float = MAX_HOST_RATE) -> tuple[DataFrame, int]:
-    """The hosts whose verdict is no, and how many there are."""
-    bad = host_rates(rows).filter(F.col("rate") > max_rate).select("__host", F.lit(True).alias("__rejected"))
-    return bad, bad.count()
-
-
-def quality_rules(
-    df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE
-) -> DataFrame:
+        *[
+            F.sum(F.col("n_docs") * F.pow(F.col(f"n_{r}") / F.col("n_docs") - F.lit(mean[r]), F.lit(2.0))).alias(r)
+            for r in RULES
+        ]
+    ).first()
+    out = hosts
+    for r, m in mean.items():
+        noise = m * (1 - m)
+        extra = (spread[r] or 0.0) / n - noise * k / n
+        s = min(max(noise / extra - 1, MIN_STRENGTH), MAX_STRENGTH) if extra > 0 else MAX_STRENGTH
+        limit = min(max(m + TAIL * (noise / (s + 1)) ** 0.5, BOUNDS[0]), BOUNDS[1])
+        out = out.withColumn(f"rate_{r}", (F.col(f"n_{r}") + F.lit(m * s)) / (F.col("n_docs") + F.lit(s)))
+        out = out.withColumn(f"limit_{r}", F.lit(limit))
+    return out
+
+
+def rejected_hosts(rows: DataFrame) -> DataFrame:
+    """``__host, __rejected`` of the hosts whose verdict is no: the first of the rules (by ``RULES``) they break."""
+    rates = host_rates(rows)
+    broken = F.coalesce(*[F.when(F.col(f"rate_{r}") > F.col(f"limit_{r}"), F.lit(r)) for r in RULES])
+    return written(rates.select("__host", broken.alias("__rejected")).filter("__rejected IS NOT NULL"))
+
+
+def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """Every document's measures and verdicts: ``key, host, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, host_rejected, kept``.
+    n_repeat_words, base_failed, host_rule, kept``; ``host_rule`` is the rule that its host breaks, else null.
 
-    Null texts have no words; null hosts count as the empty one, hosts are compared trimmed and in lower case.
-    Repeated rows are judged, and count for their host, each for itself. Extra columns are ignored.
+    Null and empty texts have no words; null hosts count as the empty one, hosts are compared trimmed and in lower
+    case. Texts are measured whole, however long. Repeated rows are judged, and count for their host, each for itself;
+    keys, which may be null, decide nothing. An empty table gives no rows; extra columns are ignored.
     """
-    rows = checkpointed(
+    rows = written(
         judged(
             df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(host).alias("__source")),
             "__text",
             "__source",
         ).drop("__text", "__source")
     )
-    bad, n = rejected_hosts(rows, max_rate)
-    out = join_lookup(rows, bad, "__host", n) if n else rows.withColumn("__rejected", F.lit(None).cast("boolean"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rejected = F.coalesce("__rejected", F.lit(False))
-    return out.select(
+    return join_lookup(rows, rejected_hosts(rows), "__host").select(
         F.col("__key").alias(key),
         F.col("__host").alias("host"),
         *[F.col(f"__{c}").alias(c) for c in names],
-        rejected.alias("host_rejected"),
-        (~F.col("__base_failed") & ~rejected).alias("kept"),
+        F.col("__rejected").alias("host_rule"),
+        (~F.col("__base_failed") & F.col("__rejected").isNull()).alias("kept"),
     )
 
 
-def keep_good(df: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass, with their own columns. They are measured once and written, then filtered."""
-    rows = written(judged(df, text, host), "quality")
-    bad, n = rejected_hosts(rows, max_rate)
-    out = join_lookup(rows, bad, "__host", n).filter(F.col("__rejected").isNull()) if n else rows
-    return out.filter(~F.col("__base_failed")).select(*[F.col(f"`{c}`") for c in df.columns])
+def keep_good(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with their own columns, whatever their names.
 
+    Nulls, empty and long texts and repeated rows are as there; an empty table stays empty. Documents are measured
+    once and written (see ``written``), then filtered.
+    """
+    rows = written(judged(numbered(df), number(df, text), number(df, host)), "quality")
+    out = join_lookup(rows, rejected_hosts(rows), "__host").filter("__rejected IS NULL AND NOT __base_failed")
+    return named(out, df)
