@@ -6,13 +6,17 @@ differences of 0, 1 and 3 cover all residues of 7. So only anchors are hashed an
 found in two documents or more return to where they came from, every window that holds such an anchor is extended
 to its full 13 words, and these windows alone are sent with the smallest key that has them.
 
-Documents are dealt into blocks by a hash of their key; a block fits in a task. What is sent is packed by block and
-hash range, each hash at most twice (anchors) or once (windows) a block, so a passage that a third of all documents
-share arrives once from every block and never as one large group.
+Words are hashed by XXH64 and windows told apart by 96 bits of two hashes over their words; anchors, where a false match
+only costs a look, by 32 bits within a range.
+
+Documents are dealt into blocks by a hash of key and text, so that no key fills a block; a block fits in a task. What
+is sent is packed by block and hash range, each hash at most twice (anchors) or once (windows) a block, so a passage
+that a third of all documents share arrives once from every block and never as one large group.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -21,18 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .vector_text import U64, Words, mixed, read_words, release
+from .common import named, number, numbered, small_batches
+from .vector_text import U64, Words, mixed, read_words, release, xxh64
 
 WINDOW, PERIOD, COVER, ANCHOR = 13, 7, (0, 1, 3), 7
 #: Bytes of text in a block, and hashes in a range, on average: at least, and at most. Both grow with the input in
 #: between, as there is a piece for each block and range.
 BLOCK_BYTES, MOST_BLOCK_BYTES, RANGE_HASHES, MOST_RANGE_HASHES = 2 << 20, 32 << 20, 1 << 20, 8 << 20
 BLOCKS, RANGES = 4096, 1365
-#: Bytes that are hashed at once.
-RUN_BYTES = 1 << 18
+#: Words that are hashed at once.
+RUN_WORDS = 1 << 16
 LAST = np.iinfo(np.int64).max
-ODD = U64(0x9E3779B97F4A7C15)
 
 
 class Block(NamedTuple):
@@ -47,24 +50,9 @@ class Block(NamedTuple):
 
 
 def _word_hashes(w: Words) -> np.ndarray:
-    """64-bit hashes of the words: differences of a running sum over the bytes, brought to one place. The sum runs
-    over ``RUN_BYTES`` at a time, or one word if it is longer, so that little more than the words takes memory."""
-    out = np.empty(len(w.start), U64)
-    byte = mixed(np.arange(256, dtype=U64), 77)
-    begin = 0
-    with np.errstate(over="ignore"):
-        while begin < len(out):
-            base = int(w.start[begin])
-            end = max(int(np.searchsorted(w.end, base + RUN_BYTES, "right")), begin + 1)
-            n = int(w.end[end - 1]) - base
-            scale, back = np.full(n, ODD), np.full(n, U64(pow(int(ODD), -1, 1 << 64)))
-            scale[0] = back[0] = 1
-            total = np.zeros(n + 1, U64)
-            np.cumsum(byte[w.buffer[base : base + n]] * np.cumprod(scale, out=scale), out=total[1:])
-            a, z = w.start[begin:end] - base, w.end[begin:end] - base
-            out[begin:end] = mixed((total[z] - total[a]) * np.cumprod(back, out=back)[a] + (z - a).astype(U64), 5)
-            begin = end
-    return out
+    """XXH64 of each word, ``RUN_WORDS`` at a time, so that little more than the words takes memory."""
+    parts = [slice(a, a + RUN_WORDS) for a in range(0, len(w.start), RUN_WORDS)]
+    return np.concatenate([np.empty(0, U64), *[xxh64(w.buffer, w.start[p], w.end[p]) for p in parts]])
 
 
 def read_block(keys: list, texts: list[str | None]) -> Block:
@@ -83,11 +71,12 @@ def read_block(keys: list, texts: list[str | None]) -> Block:
 
 
 def runs(b: Block, at: np.ndarray, length: int, salt: int) -> np.ndarray:
-    """Hashes of the ``length`` words from each of ``at`` on."""
+    """Hashes of the ``length`` words from each of ``at`` on; each ``salt`` is a hash function of its own."""
+    odd = mixed(np.array([salt], U64), 99)[0] | U64(1)
     with np.errstate(over="ignore"):
         h = np.zeros(len(at), U64)
         for k in range(length):
-            h = h * ODD + b.word_hash[at + k]
+            h = h * odd + b.word_hash[at + k]
         return mixed(h, salt)
 
 
@@ -136,13 +125,27 @@ def shared_anchors(sent: list[bytes]) -> Iterator[bytes]:
         yield own[np.isin(own, shared, assume_unique=True)].tobytes()
 
 
-WINDOW_KIND = np.dtype([("h", "<u8"), ("key", "<i8")])
+#: A window as a block sends it, with the smallest of its keys there and whether it has others; and as it returns:
+#: whether all of the block's are later than another block's, or only those with other keys than the smallest.
+WINDOW_KIND = np.dtype([("h", "<u8"), ("g", "<u4"), ("key", "<i8"), ("more", "?")])
+LATER_KIND = np.dtype([("h", "<u8"), ("g", "<u4"), ("all", "?")])
 
 
-def windows(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows start, and their hashes."""
-    at = np.flatnonzero(b.left >= WINDOW)
-    return at, runs(b, at, WINDOW, 2)
+def window_hashes(b: Block, at: np.ndarray) -> np.ndarray:
+    return runs(b, at, WINDOW, 2)
+
+
+def second_hashes(b: Block, at: np.ndarray) -> np.ndarray:
+    return (runs(b, at, WINDOW, 3) >> U64(32)).astype(np.uint32)
+
+
+def _grouped(h: np.ndarray, g: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by window and key, and in it where each window begins."""
+    order = np.lexsort((key, g, h))
+    h, g = h[order], g[order]
+    head = np.ones(len(h), bool)
+    head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return order, head
 
 
 def block_windows(
@@ -163,46 +166,61 @@ def block_windows(
     np.add.at(steps, np.maximum(hit - (WINDOW - ANCHOR), hit - b.number[hit]), 1)
     np.add.at(steps, hit + 1, -1)
     start = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (b.left >= WINDOW))
-    h = runs(b, start, WINDOW, 2)
-    # The range comes from a hash of its own, so that range and hash together tell more than 64 bits.
-    place = runs(b, start, WINDOW - 1, 3) % U64(n_ranges)
-    key = b.key[b.text_of[start]]
-    order = np.lexsort((key, h, place))
-    h, key, place = h[order], key[order], place[order]
-    head = np.ones(len(h), bool)
-    head[1:] = (h[1:] != h[:-1]) | (place[1:] != place[:-1])
-    rows = np.empty(int(head.sum()), WINDOW_KIND)
-    rows["h"], rows["key"] = h[head], key[head]
-    yield from _packed(place[head], rows)
+    h, g, key = window_hashes(b, start), second_hashes(b, start), b.key[b.text_of[start]]
+    order, head = _grouped(h, g, key)
+    firsts = np.flatnonzero(head)
+    lasts = np.concatenate([firsts[1:], [len(head)]])[: len(firsts)] - 1
+    rows = np.empty(len(firsts), WINDOW_KIND)
+    for name, values in (("h", h), ("g", g), ("key", key)):
+        rows[name] = values[order[firsts]]
+    rows["more"] = key[order[lasts]] != rows["key"]
+    place = (mixed(rows["h"], 7) >> U64(32)) % U64(n_ranges)
+    order = np.argsort(place, kind="stable")
+    yield from _packed(place[order], rows[order])
 
 
 def later_windows(sent: list[bytes]) -> Iterator[bytes]:
-    """Of each block's windows those that a smaller key of another block has."""
+    """Of each block's windows those that a smaller key has, of another block or of its own."""
     rows = [np.frombuffer(s, WINDOW_KIND) for s in sent]
     every = np.concatenate(rows)
-    order = np.lexsort((every["key"], every["h"]))
-    every = every[order]
-    head = np.ones(len(every), bool)
-    head[1:] = every["h"][1:] != every["h"][:-1]
-    h, key = every["h"][head], every["key"][head]
-    for r in rows:
-        yield r["h"][key[np.searchsorted(h, r["h"])] < r["key"]].tobytes()
+    order, head = _grouped(every["h"], every["g"], every["key"])
+    least = np.empty(len(every), np.int64)
+    least[order] = every["key"][order][np.flatnonzero(head)][np.cumsum(head) - 1]
+    out = np.empty(len(every), LATER_KIND)
+    out["h"], out["g"], out["all"] = every["h"], every["g"], least < every["key"]
+    wanted = out["all"] | every["more"]
+    at = np.cumsum([len(r) for r in rows])[:-1]
+    for mine, chosen in zip(np.split(out, at), np.split(wanted, at), strict=True):
+        yield mine[chosen].tobytes()
 
 
 def removed_words(b: Block, later: list[bytes]) -> np.ndarray:
     """For each word whether a window covers it that starts in a document with a smaller key."""
-    at, h = windows(b)
-    key = b.key[b.text_of[at]]
-    order = np.lexsort((key, h))
-    sorted_h = h[order]
-    head = np.ones(len(h), bool)
-    head[1:] = sorted_h[1:] != sorted_h[:-1]
-    least = np.empty(len(h), np.int64)
-    least[order] = key[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    gone = least < key
-    known = np.unique(np.concatenate([np.frombuffer(x, U64) for x in later])) if later else np.empty(0, U64)
-    if len(known):
-        gone |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    known = np.concatenate([np.empty(0, LATER_KIND), *[np.frombuffer(x, LATER_KIND) for x in later]])
+    if not len(known):
+        return np.zeros(len(b.left), bool)
+    known = known[np.argsort(known["h"], kind="stable")]
+    at = np.flatnonzero(b.left >= WINDOW)
+    h = window_hashes(b, at)
+    found = np.searchsorted(known["h"], h)
+    hit = known["h"][np.minimum(found, len(known) - 1)] == h
+    at, h, found = at[hit], h[hit], found[hit]
+    g = second_hashes(b, at)
+    gone, own = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    while True:  # more than once only if windows that differ have one first hash
+        here = np.minimum(found, len(known) - 1)
+        same = (found < len(known)) & (known["h"][here] == h)
+        if not same.any():
+            break
+        equal = same & (known["g"][here] == g)
+        gone |= equal & known["all"][here]
+        own |= equal & ~known["all"][here]
+        found = found + 1
+    local = np.flatnonzero(own)
+    key = b.key[b.text_of[at[local]]]
+    order, head = _grouped(h[local], g[local], key)
+    if len(local):
+        gone[local[order]] |= key[order][np.flatnonzero(head)][np.cumsum(head) - 1] < key[order]
     steps = np.zeros(len(b.left) + 1, np.int64)
     np.add.at(steps, at[gone], 1)
     np.add.at(steps, at[gone] + WINDOW, -1)
@@ -240,8 +258,9 @@ def dedup_substrings(
 ) -> DataFrame:
     """Apply ``finish`` to the rows of every block and what ``kept_texts`` says of them, row by row.
 
-    Keys are integers. Null keys come after all others, and equal keys are one document's: neither removes the
-    other's words. Null texts have no words. Windows are judged on the input.
+    Keys are integers. Null keys come after all others, and equal keys are one document's, so that neither these nor
+    repeated rows remove each other's words. Null and empty texts have no words, and texts of any length are read whole;
+    one text must fit in a task. Windows are judged on the input. An empty table gives no rows.
     """
     small_batches(df.sparkSession)
     size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
@@ -250,7 +269,7 @@ def dedup_substrings(
     range_hashes = min(max(RANGE_HASHES, hashes // RANGES), MOST_RANGE_HASHES)
     n_blocks = max(int(size // block_bytes) + 1, 2 * df.sparkSession.sparkContext.defaultParallelism)
     n_ranges = max(8, int(hashes // range_hashes) + 1)
-    rows = df.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
+    rows = df.withColumn("__block", F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).cast("int"))
     blocks = rows.repartition("__block")
 
     def block_of(t: pa.Table) -> Block:
@@ -314,8 +333,8 @@ def dedup_substrings(
 
 
 def substring_digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_words, n_removed, kept_sha256`` of every row; extra columns are ignored."""
-    import hashlib
+    """``key, n_words, n_removed, kept_sha256`` of every row; extra columns are ignored. Nulls, ties, repeated rows and
+    empty tables are as in ``dedup_substrings``."""
 
     def finish(t: pa.Table, kept: list[tuple[int, int, bytes]]) -> pa.Table:
         return pa.table(
@@ -336,23 +355,23 @@ def substring_digests(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 def remove_repeats(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars"
 ) -> DataFrame:
-    """All rows and columns; texts that lose words become the kept words joined by one space, and ``length``, if
-    there is such a column, their code points. Other texts stay as they are."""
+    """All rows and columns, whatever their names; texts that lose words become the kept words joined by one space, and
+    ``length``, if there is such a column, their code points. Other texts stay as they are, also null ones. Nulls, ties,
+    repeated rows and empty tables are as in ``dedup_substrings``."""
+    rows, text = numbered(df), number(df, text)
+    length = number(df, length) if length in df.columns else None
 
     def finish(t: pa.Table, kept: list[tuple[int, int, bytes]]) -> pa.Table:
         texts = [
             x.decode() if gone else old for (_, gone, x), old in zip(kept, t.column(text).to_pylist(), strict=True)
         ]
         t = t.set_column(t.column_names.index(text), text, pa.array(texts, t.schema.field(text).type))
-        if length in t.column_names:
+        if length:
             field = t.schema.field(length)
             known = t.column(length).to_pylist()
             sizes = [len(x) if gone else n for x, (_, gone, _), n in zip(texts, kept, known, strict=True)]
             t = t.set_column(t.column_names.index(length), length, pa.array(sizes, field.type))
         return t
 
-    return dedup_substrings(df, finish, _ddl(df), key, text)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return named(dedup_substrings(rows, finish, schema, number(df, key), text), df)
