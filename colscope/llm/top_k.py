@@ -1,10 +1,11 @@
 """Exact top-k by inner product, with multi-resolution segment statistics.
 
-A vector's segments are summed up by mean and deviation, at 4 and at 16 segments. For two vectors these give a
+A vector's segments are summed up by mean and deviation, at 4, 16 and 32 segments. For two vectors these give a
 lower bound of their squared distance, the sum over segments of w (m1 - m2)^2 + (s1 - s2)^2 (w: segment length, s:
 root of the summed squared deviations), and with the norms an upper bound of their inner product. Queries and
-candidates meet in blocks; in a block, pairs whose coarse bound can't reach the query's k-th best score so far go,
-then those whose fine bound can't, and only survivors get exact integer products.
+candidates meet in blocks; in a block, pairs go whose bound can't reach the query's k-th best score so far, level by
+level, and only survivors get exact integer products. What a query's k-th best reaches at least is known beforehand
+from a sample of ``SAMPLE`` rows, so that no block starts from nothing.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SCALE = 64.0
-LEVELS = (4, 16)
-#: Most queries and candidates in a block, candidates that are bounded at once, and share of survivors from which
-#: one product of whole matrices is cheaper than single ones.
-QUERIES, CANDIDATES, STRIDE, DENSE = 4096, 16384, 1024, 0.05
+LEVELS = (4, 16, 32)
+#: Most queries and candidates in a block, candidates that are bounded at once, share of survivors from which one
+#: product of whole matrices is cheaper than single ones, and share that a level must drop to be tried again in a block.
+QUERIES, CANDIDATES, STRIDE, DENSE, USEFUL = 4096, 16384, 1024, 0.05, 0.02
+#: Rows of the sample that gives first thresholds, and its bytes: at most.
+SAMPLE, SAMPLE_BYTES = 2048, 8 << 20
 
 
 def scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +39,12 @@ def scaled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.isfinite(out).all(axis=1)
 
 
+def same_width(*tables: np.ndarray) -> list[np.ndarray]:
+    """With zeros beyond the end of the narrower ones."""
+    width = max(t.shape[1] for t in tables)
+    return [np.pad(t, ((0, 0), (0, width - t.shape[1]))) for t in tables]
+
+
 def features(x: np.ndarray, segments: int) -> np.ndarray:
     """Rows whose plain inner product bounds that of the vectors: means times the root of w, and deviations."""
     width = max(1, -(-x.shape[1] // segments))
@@ -60,44 +69,80 @@ def exact(a: np.ndarray, b: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | N
     return out if pairs is not None else out.reshape(len(a), len(b))
 
 
-def best(
+def reached(
     queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+) -> np.ndarray:
+    """A score for each query that its k-th best is above, as k of these rows show; minus infinity if they can't."""
+    out = np.full(len(queries), -np.inf)
+    for a in range(0, len(queries) if len(ids) >= k else 0, STRIDE):
+        product = exact(queries[a : a + STRIDE], vectors)
+        if product.dtype == object:
+            return np.full(len(queries), -np.inf)
+        product[query_ids[a : a + STRIDE, None] == ids] = -np.inf
+        out[a : a + STRIDE] = np.partition(product, len(ids) - k, axis=1)[:, len(ids) - k] - 1
+    return out
+
+
+def best(
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    vectors: np.ndarray,
+    ids: np.ndarray,
+    k: int,
+    least: np.ndarray | None = None,
+    tally: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``which query, id, score`` of each query's k best, ties to smaller ids; a query's own id takes no part."""
+    """``which query, id, score`` of each query's k best, ties to smaller ids; a query's own id takes no part.
+
+    ``least`` are scores that only candidates above them matter for. ``tally`` counts the pairs, those dropped by each
+    level, and those that got exact products.
+    """
     order = np.argsort(ids, kind="stable")  # in this order a later tie never wins
     vectors, ids = vectors[order], ids[order]
-    coarse, fine = ([features(x, n) for x in (queries, vectors)] for n in LEVELS)
+    levels = [[features(x, n) for x in (queries, vectors)] for n in LEVELS]
+    useful = [True] * len(LEVELS)
     slack = 1e-9 * (
         np.linalg.norm(queries, axis=1).max(initial=0) * np.linalg.norm(vectors, axis=1).max(initial=0)
     ) + 1e-6
     at, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    least = np.full(len(queries), -np.inf)
+    least = np.full(len(queries), -np.inf) if least is None else least.copy()
+    tally = np.zeros(len(LEVELS) + 2, np.int64) if tally is None else tally
     for a in range(0, len(ids), STRIDE):
         part = slice(a, min(a + STRIDE, len(ids)))
-        mask = coarse[0] @ coarse[1][part].T + slack > least[:, None]
-        if mask.mean() < DENSE:
-            q, c = np.nonzero(mask)
-            ok = np.einsum("ij,ij->i", fine[0][q], fine[1][part][c]) + slack > least[q]
-            q, c = q[ok], c[ok]
+        mask = query_ids[:, None] != ids[part]  # any number of a row may be the query's own
+        left = int(mask.sum())
+        tally[0] += left
+        pairs = None
+        for level, (fq, fc) in enumerate(levels):
+            if not useful[level] or not left:
+                continue
+            if pairs is None:
+                mask &= fq @ fc[part].T + slack > least[:, None]
+                now = int(mask.sum())
+                pairs = np.nonzero(mask) if now < DENSE * mask.size else None
+            else:
+                q, c = pairs
+                ok = np.einsum("ij,ij->i", fq[q], fc[part][c]) + slack > least[q]
+                pairs = q[ok], c[ok]
+                now = len(pairs[0])
+            tally[1 + level] += left - now
+            useful[level] = left - now >= USEFUL * left or not np.isfinite(least).all()
+            left = now
+        tally[-1] += left
+        if pairs is not None:
+            q, c = pairs
             s = exact(queries, vectors[part], (q, c))
         else:
             live = np.flatnonzero(mask.any(axis=1))
-            mask = mask[live] & (fine[0][live] @ fine[1][part].T + slack > least[live, None])
-            if mask.mean() < DENSE:
-                q, c = np.nonzero(mask)
-                q = live[q]
-                s = exact(queries, vectors[part], (q, c))
-            else:
-                product = exact(queries[live], vectors[part])
-                own = query_ids[live, None] == ids[part]
-                mask &= (product > least[live, None]) & ~own
-                # Any number of a row may be the query's own, so they go before its k best are found.
-                if product.shape[1] > k and product.dtype != object and mask.mean() > DENSE:
-                    product[own] = -np.inf
-                    mask &= product >= np.partition(product, product.shape[1] - k, axis=1)[:, -k, None]
-                q, c = np.nonzero(mask)
-                s, q = product[q, c], live[q]
-        ok = (s > least[q]) & (ids[part][c] != query_ids[q])
+            mask = mask[live]
+            product = exact(queries[live], vectors[part])
+            mask &= product > least[live, None]
+            if product.shape[1] > k and product.dtype != object and mask.mean() > DENSE:
+                product[query_ids[live, None] == ids[part]] = -np.inf
+                mask &= product >= np.partition(product, product.shape[1] - k, axis=1)[:, -k, None]
+            q, c = np.nonzero(mask)
+            s, q = product[q, c], live[q]
+        ok = s > least[q]
         at, found, score = np.concatenate([at, q[ok]]), np.concatenate(
             [found, ids[part][c[ok]]]
         ), np.concatenate([score, s[ok]])
@@ -117,9 +162,10 @@ def best(
 def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
     """The k best of all other rows for each row whose key is divisible by ``every``: ``query_id, rank, vec_id, score``.
 
-    Rows take no part if key or vector is null or a component is null, infinite or no number. A shorter vector
-    counts as if zeros followed. A row's own are all rows with its key; a query that is repeated exactly counts
-    once, repeated candidates count each. Extra columns are ignored.
+    Rows take no part if key or vector is null or a component is null, infinite or no number. A shorter vector, also an
+    empty one, counts as if zeros followed; vectors may be long, but a block of rows must fit in a task. A row's own are
+    all rows with its key; a query that is repeated exactly counts once, repeated candidates count each; ties go to
+    smaller keys. A table without queries, or an empty one, gives no rows. Extra columns are ignored.
     """
     small_batches(df.sparkSession)
     v = F.col(vector)
@@ -129,10 +175,21 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
     )
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.select(F.count(F.lit(1)), F.count_if(F.col(key) % every == 0)).first()
+    n = rows.select(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0), F.max(F.size("v"))).first()
+    sample_rows = max(min(SAMPLE, SAMPLE_BYTES // (8 * max(n[2] or 0, 1))), 1)
+    sampled = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).collect() if n[0] else []
+    sample = df.sparkSession.sparkContext.broadcast(
+        (np.array([r.id for r in sampled], np.int64), pa.array([r.v for r in sampled], pa.list_(pa.float64())))
+    )
     c_blocks = max(-(-n[0] // CANDIDATES), min(2 * cores, -(-n[0] // 512)), 1)
     q_blocks = max(-(-n[1] // QUERIES), 1)
 
+    def thresholds(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        sample_ids, column = sample.value
+        y, ok = scaled(column)
+        x, y = same_width(x, y)
+        return reached(x, ids, y[ok], sample_ids[ok], k)
+
     def packed(side: str, blocks: int, others: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -146,40 +203,48 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int
                 columns = [
                     pa.array(cells, pa.list_(pa.int64())), pa.array([kind().itemsize for _ in rows], pa.int32())
                 ]
+                start = np.full(len(ids), -np.inf)
+                if side == "q":
+                    start[ok] = thresholds(x[ok], ids[ok])
                 columns += [
                     pa.array([f(r).tobytes() for _, r in rows], pa.binary())
-                    for f in (lambda r: ids[r], lambda r: sign[r], lambda r: x[r].astype(kind))
+                    for f in (
+                        lambda r: ids[r],
+                        lambda r: sign[r],
+                        lambda r: x[r].astype(kind),
+                        lambda r: start[r] if side == "q" else start[:0],
+                    )
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["cells", "width", "ids", "signs", "x"])
+                yield pa.RecordBatch.from_arrays(columns, names=["cells", "width", "ids", "signs", "x", "start"])
 
         return run
 
     def sent(table: DataFrame, side: str, blocks: int, others: int) -> DataFrame:
         signed = table.withColumn("sign", F.xxhash64("id", "v"))
         return signed.mapInArrow(
-            packed(side, blocks, others), "cells array<long>, width int, ids binary, signs binary, x binary"
-        ).select(F.explode("cells").alias("cell"), "width", "ids", "signs", "x")
+            packed(side, blocks, others), "cells array<long>, width int, ids binary, signs binary, x binary, start binary"
+        ).select(F.explode("cells").alias("cell"), "width", "ids", "signs", "x", "start")
 
-    def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, signs, xs = [], [], []
-        for width, i, s, x in zip(*(t.column(c).to_pylist() for c in ("width", "ids", "signs", "x")), strict=True):
+    def unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, signs, starts, xs = [], [], [], []
+        names = ("width", "ids", "signs", "x", "start")
+        for width, i, s, x, start in zip(*(t.column(c).to_pylist() for c in names), strict=True):
             ids.append(np.frombuffer(i, np.int64))
             signs.append(np.frombuffer(s, np.int64))
-            xs.append(
-                np.frombuffer(
-                    x, np.float32 if width == 4 else np.float64
-                ).astype(np.float64).reshape(len(ids[-1]), -1)
-            )
-        dims = max((x.shape[1] for x in xs), default=0)
-        whole = np.concatenate([np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in xs]) if xs else np.empty((0, 0))
-        return np.concatenate(ids or [np.empty(0, np.int64)]), np.concatenate(signs or [np.empty(0, np.int64)]), whole
+            starts.append(np.frombuffer(start, np.float64))
+            read = np.frombuffer(x, np.float32 if width == 4 else np.float64)
+            xs.append(read.astype(np.float64).reshape(len(ids[-1]), -1))
+        whole = np.concatenate(same_width(*xs)) if xs else np.empty((0, 0))
+        none = np.empty(0, np.int64)
+        return np.concatenate([none, *ids]), np.concatenate([none, *signs]), whole, np.concatenate([none, *starts])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, _, x = unpack(left)
-        query_ids, signs, y = unpack(right)
-        dims = max(x.shape[1], y.shape[1])
-        x, y = (np.pad(z, ((0, 0), (0, dims - z.shape[1]))) for z in (x, y))
-        at, found, score = best(y, query_ids, x, ids, k) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
+        ids, _, x, _ = unpack(left)
+        query_ids, signs, y, start = unpack(right)
+        x, y = same_width(x, y)
+        at, found, score = (
+            best(y, query_ids, x, ids, k, start) if len(x) and len(y) else (np.empty(0, np.int64),) * 3
+        )
         return pa.table(
             {"query_id": query_ids[at], "sign": signs[at], "vec_id": found, "score": score.astype(np.int64)}
         )
