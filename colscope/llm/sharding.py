@@ -3,8 +3,8 @@
 The ring is cut into equal cells. Every shard owns the arcs before its virtual nodes; a row's cell is a hash of
 its key. A shard takes its own rows clockwise up to its capacity, and the rows beyond continue clockwise to the
 next shard with room. Only the number of rows in each cell (a fixed number of cells) reaches the driver, which
-works out which ranks of a cell go where; rows then get their rank within their cell, so no task ever holds more
-than a cell.
+works out which ranks of a cell go where. Rows that are alike are counted before they are dealt, ranked together and
+given out in pieces, and a cell is ranked in ``PARTS`` parts by checksum, so no key and no group of copies fills a task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
+#: Parts of a cell that are ranked by themselves, and like rows that a task gives out at once.
+PARTS, PIECE = 64, 10_000
+
 
 def ring_owners(n_shards: int, vnodes: int, cells: int) -> list[int]:
     """The shard that owns each cell: that of the first virtual node at or after it, clockwise."""
@@ -85,40 +90,68 @@ def shard_bounded(
     ``size`` is the UTF-8 length of the text plus 1 and ``text_crc32`` its CRC-32 (null texts count as empty).
     ``law`` is ``rows``: with ``epsilon`` 0 the counts of any two shards differ by one at most; ``grown_shard``
     is null, as loads depend on all rows. Rows with a null key are placed by their text; rows that are equal in key,
-    size and checksum are interchangeable, so ties never change the table that results. Extra columns are ignored.
+    size and checksum are interchangeable, so ties and repeated rows, which all stay, never change the table that results.
+    An empty table gives no rows. Extra columns are ignored.
     """
     owners = ring_owners(n_shards, vnodes, cells)
+    content = F.coalesce(F.col(text), F.lit(""))
     # Rows without a key would all have one place, so theirs follows from the text.
-    position = F.when(F.col(key).isNull(), F.xxhash64(F.lit(1), F.col(text))).otherwise(F.xxhash64(F.col(key)))
-    cell = F.pmod(position, F.lit(cells)).cast("int")
-    found = {r["cell"]: r["count"] for r in df.groupBy(cell.alias("cell")).count().collect()}  # `cells` rows at most
+    name = F.coalesce(F.concat(F.lit("key/"), F.col(key).cast("string")), F.concat(F.lit("text/"), content))
+    rows = written(
+        df.select(
+            F.col(key).alias("key"),
+            (F.octet_length(content).cast("long") + 1).alias("size"),
+            F.crc32(content).cast("long").alias("text_crc32"),
+            F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("position"),
+        )
+        .withColumn("cell", F.pmod("position", F.lit(cells)).cast("int"))
+        .withColumn("part", F.pmod("text_crc32", F.lit(PARTS)).cast("int"))
+    )
+    sizes = written(rows.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")))  # a bounded number of rows
+    found = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     segments = place([found.get(c, 0) for c in range(cells)], owners, n_shards, epsilon)
     # About as many rows as there are cells and shards.
     plan = df.sparkSession.createDataFrame(segments, "cell int, first long, until long, shard int, base long")
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(
-        F.col(key).alias("key"),
-        (F.octet_length(content).cast("long") + 1).alias("size"),
-        F.crc32(content).cast("long").alias("text_crc32"),
-        cell.alias("cell"),
-        position.alias("position"),
+    earlier = F.sum("n").over(Window.partitionBy("cell").orderBy("part")) - F.col("n")
+    offsets = sizes.select("cell", "part", earlier.alias("earlier"))
+    order = ["position", "key", "size", "text_crc32"]
+    alike = rows.groupBy("cell", "part", *order).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(
+        Window.partitionBy("cell", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = alike.withColumn("upto", upto).join(F.broadcast(offsets), ["cell", "part"])
+    runs = ranked.withColumn("end", F.col("earlier") + F.col("upto")).withColumn("begin", F.col("end") - F.col("n"))
+    placed = runs.join(
+        F.broadcast(plan.withColumnRenamed("cell", "in_cell")),
+        (F.col("cell") == F.col("in_cell")) & (F.col("begin") < F.col("until")) & (F.col("end") > F.col("first")),
     )
-    ranked = rows.withColumn(
-        "rank",
-        F.row_number().over(
-            Window.partitionBy("cell").orderBy("position", "key", "size", "text_crc32")
-        ).cast("long") - 1,
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    taken = placed.select(
+        "key",
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("base") + F.greatest("begin", "first") - F.col("first")).alias("slot"),
+        (F.least("end", "until") - F.greatest("begin", "first")).alias("n"),
     )
-    placed = ranked.join(
-        F.broadcast(plan),
-        (ranked["cell"] == plan["cell"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["until"]),
+    pieces = taken.filter(F.col("n") > PIECE).withColumn(
+        "skip", F.explode(F.sequence(zero, F.col("n") - 1, F.lit(PIECE).cast("long")))
     )
-    return placed.select(
+    dealt = pieces.select(
+        "key",
+        "size",
+        "text_crc32",
+        "shard",
+        (F.col("slot") + F.col("skip")).alias("slot"),
+        F.least(F.col("n") - F.col("skip"), F.lit(PIECE)).alias("n"),
+    ).repartition("shard", "slot")
+    every = taken.filter(F.col("n") <= PIECE).unionByName(dealt)
+    return every.withColumn("step", F.explode(F.sequence(zero, F.col("n") - one))).select(
         F.col("key").alias(key),
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
-        (F.col("base") + F.col("rank") - F.col("first")).alias("slot"),
+        (F.col("slot") + F.col("step")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
