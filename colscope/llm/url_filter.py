@@ -2,17 +2,18 @@
 
 A rule is written in a small filter language: plain text, ``*`` (anything), ``^`` (a separator or the end),
 ``||`` in front (start of a host label), ``|`` in front or behind (start or end of the URL), and ``@@`` in
-front of everything for an exception that allows what other rules block. Every rule is filed under the one of
-its literal tokens that is rarest in the table at hand; the tokens of a URL fetch candidate rules and only those
-run their regular expressions. Rules without a usable token are tried on every URL.
+front of everything for an exception that allows what other rules block. Prefix rules ``host/path`` fit a host with
+its subdomains if the path starts with the rule's path; the longest one that fits decides before any pattern does.
 
-Prefix rules ``host/path`` fit a host with its subdomains if the path starts with the rule's path; the longest
-one that fits decides before any pattern does.
+Every rule of either kind is a regular expression filed under the one of its literal tokens that is rarest in the table
+at hand; the tokens of a URL fetch candidate rules and only those run. Rules without a usable token are tried on every
+URL. The index is broadcast, as it is a list of rules, not of rows, and a worker compiles a rule when it first meets it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -50,12 +51,14 @@ TOKEN = re.compile("[a-z0-9]+")
 
 @dataclass(frozen=True)
 class Pattern:
-    """One pattern rule: its text, regular expression, whether it allows, and its literal tokens."""
+    """One rule: its text, regular expression, whether it allows, its literal tokens, and whether it is a prefix rule.
+    Patterns are matched with the URL in lower case, prefix rules with its host (in lower case) and path."""
 
     text: str
     regex: str
     allows: bool
     tokens: tuple[str, ...]
+    prefix: bool = False
 
 
 def parse_pattern(text: str) -> Pattern:
@@ -82,17 +85,27 @@ def parse_pattern(text: str) -> Pattern:
     return Pattern(text, regex, allows, tuple(dict.fromkeys(usable)))
 
 
-def index_patterns(
-    patterns: Iterable[Pattern], counts: dict[str, int]
-) -> tuple[dict[str, list[Pattern]], list[Pattern]]:
-    """Rules by their rarest token (ties: the longer, then the smaller), and the rules without one."""
-    index: dict[str, list[Pattern]] = {}
+def parse_prefix(rule: str, verdict: str) -> Pattern:
+    """Read a prefix rule. A path's last token may go on in the URL, so it is none of the rule's."""
+    host, slash, path = rule.partition("/")
+    regex = rf"(?:[^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}"
+    tokens = TOKEN.findall(host) + [
+        m[0] for m in TOKEN.finditer(path.translate(UPPER_TO_LOWER)) if m.end() < len(path)
+    ]
+    return Pattern(rule, regex, verdict == "allow", tuple(dict.fromkeys(tokens)), True)
+
+
+def index_rules(rules: list[Pattern], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
+    """The rules' numbers by their rarest token (ties: that of fewer rules, then the longer, then the smaller), and those
+    without a token."""
+    index: dict[str, list[int]] = {}
     rest = []
-    for p in patterns:
+    used = Counter(t for p in rules for t in p.tokens)
+    for i, p in enumerate(rules):
         if p.tokens:
-            index.setdefault(min(p.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(p)
+            index.setdefault(min(p.tokens, key=lambda t: (counts.get(t, 0), used[t], -len(t), t)), []).append(i)
         else:
-            rest.append(p)
+            rest.append(i)
     return index, rest
 
 
@@ -105,17 +118,49 @@ def split_url(url: str | None) -> tuple[str, str]:
     return m[1].translate(UPPER_TO_LOWER), m[2]
 
 
-def fitting_prefix(host: str, path: str, rules: dict[str, list[tuple[str, str, str]]]) -> tuple[str, str] | None:
-    """The longest prefix rule that fits, with its verdict. ``rules``: (path, rule, verdict) by host."""
-    best, at = None, 0
-    while True:
-        for prefix, rule, verdict in rules.get(host[at:], ()):
-            if path.startswith(prefix) and (best is None or len(rule) > len(best[0])):
-                best = rule, verdict
-        dot = host.find(".", at)
-        if dot < 0:
-            return best
-        at = dot + 1
+class Judge:
+    """What a worker needs: the rules, prefix rules first and the longest first, and their index."""
+
+    def __init__(self, rules: list[Pattern], index: dict[str, list[int]], rest: list[int]) -> None:
+        self.rules, self.index, self.rest = rules, index, rest
+        self.compiled: dict[int, re.Pattern] = {}
+
+    def fits(self, i: int, site: str, low: str) -> bool:
+        if i not in self.compiled:
+            self.compiled[i] = re.compile(self.rules[i].regex, re.S)
+        if self.rules[i].prefix:
+            return self.compiled[i].match(site) is not None
+        return self.compiled[i].search(low) is not None
+
+    def verdict(self, url: str | None) -> tuple[str, str, str | None, str, str | None]:
+        """``host, path, rule, verdict, pattern``."""
+        host, path = split_url(url)
+        if url is None:
+            return host, path, None, "allow", None
+        low = url.translate(UPPER_TO_LOWER)
+        fetched = [i for t in set(TOKEN.findall(low)) for i in self.index.get(t, ())]
+        hits = [self.rules[i] for i in sorted({*fetched, *self.rest}) if self.fits(i, host + path, low)]
+        prefix = next((p for p in hits if p.prefix), None)
+        patterns = [p for p in hits if not p.prefix]
+        hit = next((p for p in patterns if p.allows), None) or next(iter(patterns), None)
+        decides = prefix or hit
+        return (
+            host,
+            path,
+            prefix.text if prefix else None,
+            "block" if decides and not decides.allows else "allow",
+            hit.text if hit else None,
+        )
+
+
+_judges: list = []
+
+
+def judge_of(shared: tuple[list[Pattern], dict[str, list[int]], list[int]]) -> Judge:
+    """One for each worker and list of rules."""
+    if not _judges or _judges[0] is not shared:
+        _judges[:] = shared, Judge(*shared)
+    return _judges[1]
 
 
 def token_counts(df: DataFrame, url: str, tokens: list[str]) -> dict[str, int]:
@@ -143,38 +188,20 @@ def filter_urls(
 
     ``rule`` is the prefix rule that decided (else null), ``pattern`` the pattern rule that did (else null): the
     first exception that matches, else the first blocking rule. A URL no rule speaks of is allowed. Null URLs and
-    URLs without ``://`` have an empty host and path; patterns still see the latter. Repeated rows are judged each
-    for itself, other columns are ignored, an empty table gives no rows.
+    URLs without ``://`` have an empty host and path; patterns still see the latter. URLs may be of any length. Of prefix
+    rules of one length the first decides. Repeated rows are judged each for itself, null ids stay, other columns are
+    ignored, an empty table gives no rows.
     """
     small_batches(df.sparkSession)
-    parsed = [parse_pattern(p) for p in patterns]
-    counts = token_counts(df, url_col, sorted({t for p in parsed for t in p.tokens}))
-    index, rest = index_patterns(parsed, counts)
-    order = {p.text: i for i, p in reversed(list(enumerate(parsed)))}
-    by_host: dict[str, list[tuple[str, str, str]]] = {}
-    for rule, verdict in prefixes:
-        host, slash, path = rule.partition("/")
-        by_host.setdefault(host, []).append((slash + path, rule, verdict))
+    rules = sorted((parse_prefix(*p) for p in prefixes), key=lambda p: -len(p.text))
+    rules += dict.fromkeys(parse_pattern(p) for p in patterns)
+    counts = token_counts(df, url_col, sorted({t for p in rules for t in p.tokens}))
+    shared = df.sparkSession.sparkContext.broadcast((rules, *index_rules(rules, counts)))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {p.text: re.compile(p.regex, re.S) for p in parsed}
+        judge = judge_of(shared.value)
         for batch in batches:
-            out: list[tuple] = []
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                low = (url or "").translate(UPPER_TO_LOWER)
-                fits = fitting_prefix(host, path, by_host)
-                candidates = {
-                    p.text: p for t in set(TOKEN.findall(low)) for p in index.get(t, ())
-                } | {p.text: p for p in rest}
-                hits = [
-                    p
-                    for p in sorted(candidates.values(), key=lambda p: order[p.text])
-                    if url is not None and compiled[p.text].search(low)
-                ]
-                hit = next((p for p in hits if p.allows), None) or next(iter(hits), None)
-                verdict = fits[1] if fits else "block" if hit and not hit.allows else "allow"
-                out.append((host, path, fits[0] if fits else None, verdict, hit.text if hit else None))
+            out = [judge.verdict(url) for url in batch.column(1).to_pylist()]
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(c, pa.string()) for c in columns]],
