@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import join_hot, small_batches, written
 from .vector_text import slices
 
 #: Characters above which a text is cut, and of a piece at most.
@@ -197,30 +197,26 @@ def _digests(ids: str, text: str) -> tuple[int, str, str]:
     return ids.count(","), hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-def _encoded_long(
-    rows: DataFrame, definition, finish, schema: str, names: list[str], types: list[pa.DataType]
-) -> DataFrame:
-    """``finish(codec, tokens)`` for the texts of ``rows (key, text)``; equal rows are encoded once and all returned."""
-    field = rows.schema["key"].dataType.simpleString()
+def _encoded_long(rows: DataFrame, definition, finish, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
+    """``finish(codec, tokens)`` for the texts of ``rows (key, text)``. Each different text is encoded once, and copies
+    get what became of it by its digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            rows = zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)
-            out = [(k, h, i, x) for k, text, h in rows for i, x in enumerate(pieces(text))]
+            out = [
+                (h, i, x)
+                for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                for i, x in enumerate(pieces(text))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in out], b.schema.field(0).type),
-                    pa.array([r[1] for r in out], pa.string()),
-                    pa.array([r[2] for r in out], pa.int32()),
-                    pa.array([r[3] for r in out], pa.string()),
-                ],
-                names=["key", "h", "piece", "text"],
+                [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))],
+                names=["h", "piece", "text"],
             )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(definition.value)
-        for b in slices(batches, 3):
-            found = [c.encoded(t) for t in b.column(3).to_pylist()]
+        for b in slices(batches, 2):
+            found = [c.encoded(t) for t in b.column(2).to_pylist()]
             kind = np.uint16 if c.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,43 +230,40 @@ def _encoded_long(
                         )
                     ],
                 ],
-                names=["key", "h", "piece", "text", "ids", "start", "opens"],
+                names=["h", "piece", "text", "ids", "start", "opens"],
             )
 
     def join(t: pa.Table) -> pa.Table:
         c = codec(definition.value)
         kind = np.uint16 if c.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         t = t.sort_by("piece")
-        parts, copies = {}, 0
-        for piece, text, ids, start, opens in zip(
-            *(t.column(n).to_pylist() for n in ("piece", "text", "ids", "start", "opens")), strict=True
+        parts = []
+        for text, ids, start, opens in zip(
+            *(t.column(n).to_pylist() for n in ("text", "ids", "start", "opens")), strict=True
         ):
-            copies += piece == 0
-            if piece not in parts:
-                at = np.frombuffer(ids, kind).astype(np.int64)
-                parts[piece] = Encoded(
+            at = np.frombuffer(ids, kind).astype(np.int64)
+            parts.append(
+                Encoded(
                     text,
                     at,
                     np.frombuffer(start, np.uint16).astype(np.int64),
                     np.unpackbits(np.frombuffer(opens, np.uint8), count=len(at)).astype(bool),
                 )
-        values = finish(c, tree(list(parts.values()), c.encoded).ids.tolist())
-        key = t.column("key")[0]
-        return pa.table(
-            [
-                pa.array([key.as_py()] * copies, t.schema.field("key").type),
-                *[pa.array([v] * copies, t) for v, t in zip(values, types, strict=True)],
-            ],
-            names=names,
-        )
-
-    cut_up = rows.withColumn("h", F.sha2("text", 256)).mapInArrow(
-        cut, f"key {field}, h string, piece int, text string"
+            )
+        values = finish(c, tree(parts, c.encoded).ids.tolist())
+        columns = [pa.array([v], t) for v, t in zip(values, types[1:], strict=True)]
+        return pa.table([pa.array([t.column("h")[0].as_py()], pa.string()), *columns], names=["h", *names[1:]])
+
+    digested = rows.withColumn("h", F.sha2("text", 256))
+    keys = written(digested.select("key", "h"))
+    cut_up = digested.groupBy("h").agg(F.any_value("text").alias("text")).mapInArrow(
+        cut, "h string, piece int, text string"
     )
     leaves = cut_up.repartition("h", "piece").mapInArrow(
-        encode, f"key {field}, h string, piece int, text string, ids binary, start binary, opens binary"
+        encode, "h string, piece int, text string, ids binary, start binary, opens binary"
     )
-    return leaves.groupBy("key", "h").applyInArrow(join, schema)
+    found = leaves.groupBy("h").applyInArrow(join, f"h string, {schema}")
+    return join_hot(keys, found, "h").select(*names)
 
 
 def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns: str, long: int) -> DataFrame:
@@ -281,14 +274,8 @@ def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[key].dataType.simpleString()
     names = ["key", *[c.split()[0] for c in columns.split(", ")]]
-    types = [
-        pa.from_numpy_dtype(np.int64)
-        if c.split()[1] == "long"
-        else pa.list_(pa.int32())
-        if c.split()[1] == "array<int>"
-        else pa.string()
-        for c in columns.split(", ")
-    ]
+    arrow = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "string": pa.string()}
+    types = [None, *[arrow[c.split()[1]] for c in columns.split(", ")]]
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,23 +283,24 @@ def _run(df: DataFrame, path: str, key: str, text: str, short, finish, columns:
         for b in slices(batches, 1):
             found = list(zip(*[short(c, t) for t in b.column(1).to_pylist()], strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(x, t) for x, t in zip(found, types, strict=True)]], names=names
+                [b.column(0), *[pa.array(x, t) for x, t in zip(found, types[1:], strict=True)]], names=names
             )
 
-    schema = f"key {kind}, {columns}"
-    out = rows.filter(F.char_length("text") <= long).mapInArrow(whole, schema)
-    many = _encoded_long(rows.filter(F.char_length("text") > long), definition, finish, schema, names, types)
+    out = rows.filter(F.char_length("text") <= long).mapInArrow(whole, f"key {kind}, {columns}")
+    many = _encoded_long(rows.filter(F.char_length("text") > long), definition, finish, columns, names, types)
     return out.unionByName(many).withColumnRenamed("key", key)
 
 
 def encode_texts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
-    """``key, ids`` of every row, ids as the library encodes the whole text; null texts are empty. Repeated rows stay,
-    extra columns are ignored. ``path`` is the tokenizer's file as the driver sees it."""
+    """``key, ids`` of every row, ids as the library encodes the whole text, however long; null texts are empty and have
+    none. Keys may be null or tie, repeated rows stay, extra columns are ignored, an empty table gives no rows. ``path``
+    is the tokenizer's file as the driver sees it."""
     return _run(df, path, key, text, lambda c, t: (c.encode(t),), lambda c, ids: (ids,), "ids array<int>", long)
 
 
 def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key, text`` of every row's ids; null ids decode to the empty text."""
+    """``key, text`` of every row's ids, as the library decodes them whole; null and empty ids decode to the empty text.
+    Keys may be null or tie, repeated rows stay, extra columns are ignored, an empty table gives no rows."""
     with open(path, encoding="utf-8") as f:
         definition = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -331,7 +319,7 @@ def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
 
 def token_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
     """``key, n_tokens, ids_sha256, decoded_sha256`` of every row: what ``encode_texts`` and ``decode_ids`` give,
-    digested where it is made, so that no ids are moved."""
+    digested where it is made, so that no ids are moved. Nulls, ties, repeated rows and empty tables are as there."""
 
     def finish(c: Codec, ids: list[int]) -> tuple[int, str, str]:
         return _digests("".join([f"{i}," for i in ids]), c.decode(ids))
