@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_lookup, small_batches
+from .common import join_lookup, small_batches, written
 from .vector_text import slices
 
 TOKEN = re.compile(
@@ -88,8 +88,8 @@ NOT_BEGINNINGS = ("comment", "cookie", "advert", "sidebar", "newsletter", "spons
 ARTICLE_NAMES = frozenset("article content entry post story body text main maincontent articlebody prose".split())
 ROOTS = frozenset("html body main article".split())
 MILLION = 1_000_000
-#: Levels that a path spells out; those of deeper elements are digests, so that they stay short.
-SPELLED_LEVELS = 48
+#: Characters that a path spells out; longer ones are digests, rolled on from level to level, so that all stay short.
+SPELLED = 256
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -146,7 +146,7 @@ def _open(tag: str, attributes: str, parent: Node | None) -> Node:
     ) or "hidden" in a or "display:none" in style or a.get("aria-hidden") == "true"
     depth = parent.depth + 1 if parent else 0
     path = label if parent is None else f"{parent.path}>{label}"
-    if depth >= SPELLED_LEVELS:
+    if len(path) > SPELLED:
         path = "~" + hashlib.md5(path.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
     return Node(
         tag,
@@ -313,12 +313,15 @@ def host_paths(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
 
 
 def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``key, url, text, n_chars`` of every page, from the whole page. Repeated rows are extracted each for itself;
-    extra columns are ignored."""
+    """``key, url, text, n_chars`` of every page, from the whole page, however long or deep. Null and empty pages have an
+    empty text; pages whose URL is null or has no host vote together. Keys may be null or tie; of paths with equal votes
+    the smaller wins. Repeated rows vote, and are extracted, each for itself; an empty table gives no rows; extra columns
+    are ignored. Paths are short, so that those of some hundred thousand hosts are broadcast; beyond ``BROADCAST_BYTES``
+    pages meet them by host."""
     small_batches(df.sparkSession)
-    winners = checkpointed(host_paths(df, url, html))
+    winners = written(host_paths(df, url, html))
     rows = with_host(df.select(key, url, html), url)
-    found = join_lookup(rows, winners, "__host", winners.count()).select(
+    found = join_lookup(rows, winners, "__host").select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), "__path"
     )
 
