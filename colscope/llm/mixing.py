@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_lookup, words
+from .common import join_lookup, named, number, numbered, words, written
 
 SECTIONS, ROUNDS = 16, 12
 #: Rows in a range of the permutation, on average, when the end of a source's last block is sought.
@@ -29,7 +29,7 @@ def order_key(key: Column, block: Column, seed: int) -> Column:
 
 def source_totals(rows: DataFrame) -> DataFrame:
     """``source, rows, tokens, share`` from ``rows (key, source, tokens)``; empty sources have a null share."""
-    totals = checkpointed(
+    totals = written(
         rows.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens"))
     )
     whole = totals.agg(F.sum("tokens")).first()[0] or 0
@@ -80,9 +80,9 @@ def plan(
     target_entropy: float | None = None,
     budget: float | None = None,
     seed: int = 0,
-) -> tuple[DataFrame, int]:
+) -> DataFrame:
     """For each source of ``rows (key, source, tokens)`` its ``weight, epochs, blocks`` (whole ones) and ``until``, the
-    last order key of the block after them (null: none); and how many sources there are.
+    last order key of the block after them (null: none).
 
     Without ``budget`` it is the smallest that gives every source one whole block, so no row is left out. Sources
     without tokens have weight 0 and one block.
@@ -91,9 +91,9 @@ def plan(
     a = exponent(sources, max_repeats, target_entropy)
     power = F.pow(F.col("share"), F.lit(a))
     figures = sources.agg(
-        F.sum(power), F.min(power / F.col("share")), F.sum("tokens"), F.count(F.lit(1)), F.max("rows")
+        F.sum(power), F.min(power / F.col("share")), F.sum("tokens"), F.max("rows")
     ).first()
-    z, least, tokens, n, most_rows = figures[0] or 1.0, figures[1] or 1.0, figures[2] or 0, figures[3], figures[4] or 0
+    z, least, tokens, most_rows = figures[0] or 1.0, figures[1] or 1.0, figures[2] or 0, figures[3] or 0
     per_token = 1 / least if budget is None else budget / max(tokens, 1) / z
     epochs = F.coalesce(power / F.col("share") * F.lit(per_token), F.lit(1.0))
     # A millionth of a block, such as rounding may leave, is none.
@@ -102,7 +102,7 @@ def plan(
     ).withColumn("epochs", epochs).withColumn(
         "blocks", F.floor(F.col("epochs") + F.lit(1e-6)).cast("long")
     )
-    planned = checkpointed(
+    planned = written(
         planned.withColumn(
             "part",
             F.greatest(F.round((F.col("epochs") - F.col("blocks")) * F.col("tokens"), 0), F.lit(0.0)).cast("long"),
@@ -110,34 +110,34 @@ def plan(
     )
     bits = min(max(math.ceil(math.log2(max(most_rows, 1) / RANGE_ROWS)), 4), 20) if most_rows > RANGE_ROWS else 4
     partial = planned.filter("part > 0").select("source", "blocks", "part")
-    keyed = join_lookup(rows, partial, "source", n).filter(F.col("part").isNotNull()).withColumn(
+    keyed = join_lookup(rows, partial, "source").filter(F.col("part").isNotNull()).withColumn(
         "order_key", order_key(F.col("key"), F.col("blocks"), seed)
     )
-    keyed = checkpointed(
+    keyed = written(
         keyed.withColumn("range", F.shiftright("order_key", 60 - bits)).select(
             "source", "part", "range", "order_key", "tokens"
         )
     )
     ranges = keyed.groupBy("source", "part", "range").agg(F.sum("tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.partitionBy("source").orderBy("range")) - F.col("tokens")
-    crossing = ranges.withColumn("before", before).filter(F.col("before") < F.col("part")).groupBy("source").agg(
-        F.max_by(F.struct("range", "before"), "range").alias("last")
-    ).select("source", "last.range", "last.before")
-    inside = keyed.join(F.broadcast(crossing) if n <= 10_000 else crossing, ["source", "range"])
+    crossing = written(
+        ranges.withColumn("before", before).filter(F.col("before") < F.col("part")).groupBy("source").agg(
+            F.max_by(F.struct("range", "before"), "range").alias("last")
+        ).select("source", F.col("last.range").alias("last"), "last.before")
+    )
+    inside = join_lookup(keyed, crossing, "source").filter(F.col("range") == F.col("last"))
     running = F.sum("tokens").over(Window.partitionBy("source").orderBy("order_key")) - F.col("tokens")
     ends = inside.withColumn(
         "at", F.col("before") + running
     ).filter(F.col("at") < F.col("part")).groupBy("source").agg(
         F.max("order_key").alias("until")
     )
-    return checkpointed(
-        planned.join(ends, "source", "left").select("source", "weight", "epochs", "blocks", "until")
-    ), n
+    return written(planned.join(ends, "source", "left").select("source", "weight", "epochs", "blocks", "until"))
 
 
 def narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``key, source, tokens`` of every row; tokens are words, a null source is the empty one."""
-    return checkpointed(
+    return written(
         df.select(
             F.col(key).alias("key"),
             F.coalesce(F.col(source), F.lit("")).alias("source"),
@@ -146,10 +146,10 @@ def narrow(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, sources: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+def _blocks(rows: DataFrame, sources: DataFrame, key: str, seed: int) -> DataFrame:
     """Each row once for every block that has it. Columns that are added have ``__`` in front."""
     planned = sources.select(*[F.col(c).alias(f"__{c}") for c in sources.columns])
-    found = join_lookup(rows, planned, "__source", n)
+    found = join_lookup(rows, planned, "__source")
     last = F.col("__until").isNotNull() & (order_key(F.col(key), F.col("__blocks"), seed) <= F.col("__until"))
     upto = F.col("__blocks") - F.when(last, F.lit(0)).otherwise(F.lit(1))
     numbers = F.when(upto >= 0, F.sequence(F.lit(0).cast("long"), upto)).otherwise(F.array().cast("array<long>"))
@@ -175,8 +175,8 @@ def mixture(
     and keep together in a permutation. An empty table gives no rows; extra columns are ignored.
     """
     rows = narrow(df, key, text, source)
-    sources, n = plan(rows, max_repeats, target_entropy, budget, seed)
-    out = _blocks(rows.withColumnRenamed("source", "__source"), sources, n, "key", seed)
+    sources = plan(rows, max_repeats, target_entropy, budget, seed)
+    out = _blocks(rows.withColumnRenamed("source", "__source"), sources, "key", seed)
     return out.select(
         F.col("key").alias(key),
         F.col("__source").alias("source"),
@@ -198,8 +198,10 @@ def mixed_rows(
     budget: float | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """The mixture itself: the rows of ``df``, with its columns, as often as they are in it."""
-    sources, n = plan(narrow(df, key, text, source), max_repeats, target_entropy, budget, seed)
-    return _blocks(
-        df.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, n, key, seed
-    ).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The mixture itself: the rows of ``df``, with its columns, whatever their names, as often as they are in it.
+
+    Nulls, ties, repeated rows and empty tables are as in ``mixture``; null and empty texts, which have no tokens, stay.
+    """
+    rows, key, text, source = numbered(df), *(number(df, c) for c in (key, text, source))
+    sources = plan(narrow(rows, key, text, source), max_repeats, target_entropy, budget, seed)
+    return named(_blocks(rows.withColumn("__source", F.coalesce(F.col(source), F.lit(""))), sources, key, seed), df)
