@@ -126,6 +126,47 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
+OP3_SQL = r"""
+WITH RECURSIVE
+z AS (SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS t(i)
+  UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM z WHERE k < 8),
+y AS (SELECT list(c ORDER BY n) AS tab FROM z WHERE k = 8),
+d AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes,
+    CAST('0x' || substr(md5(coalesce('key/' || doc_id, 'text/' || coalesce(text, ''))), 1, 15) AS BIGINT) AS position FROM documents),
+e AS (
+  SELECT doc_id, size, position, position % 4096 AS cell,
+    xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST('0x' || x AS BIGINT))), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d CROSS JOIN y),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY text_crc32 % 64, position, doc_id, size, text_crc32) - 1 AS i FROM e),
+v AS (SELECT s AS shard, sha256(s || '/' || v) AS digest FROM range(16) AS a(s) CROSS JOIN range(64) AS b(v)),
+w AS (SELECT CAST(CAST('0x' || substr(digest, 1, 16) AS UBIGINT) % 4096 AS BIGINT) AS place, arg_min(shard, digest) AS shard FROM v GROUP BY 1),
+o AS (SELECT cell, coalesce(arg_min(shard, place) FILTER (WHERE place >= cell), arg_min(shard, place)) AS shard FROM range(4096) AS c(cell) CROSS JOIN w GROUP BY cell),
+n AS (SELECT o.cell, o.shard, count(e.cell) AS n FROM o LEFT JOIN e ON e.cell = o.cell GROUP BY o.cell, o.shard),
+m AS (SELECT s AS shard, (SELECT count(*) FROM documents) // 16 + CASE WHEN s < (SELECT count(*) FROM documents) % 16 THEN 1 ELSE 0 END AS room FROM range(16) AS t(s)),
+h AS (SELECT n.*, greatest(least(n, room - (sum(n) OVER (PARTITION BY n.shard ORDER BY cell) - n)), 0) AS home, sum(n) OVER (PARTITION BY n.shard ORDER BY cell) - n AS before FROM n JOIN m ON m.shard = n.shard),
+x AS (SELECT cell, home, n - home AS n, row_number() OVER (ORDER BY cell) AS turn FROM h WHERE n > home),
+q AS (
+  SELECT turn, x.cell, list(shard ORDER BY near) AS ring
+  FROM x JOIN (SELECT x.cell, o.shard, min((o.cell - x.cell - 1 + 4096) % 4096) AS near FROM x CROSS JOIN o GROUP BY x.cell, o.shard) AS f ON f.cell = x.cell GROUP BY turn, x.cell),
+u AS (
+  SELECT CAST(0 AS BIGINT) AS turn, list(CAST(least(room, coalesce(used, 0)) AS BIGINT) ORDER BY m.shard) AS used, list(CAST(room AS BIGINT) ORDER BY m.shard) AS room, CAST([] AS STRUCT(shard BIGINT, first BIGINT, until BIGINT, base BIGINT)[]) AS parts
+  FROM m LEFT JOIN (SELECT shard, sum(n) AS used FROM n GROUP BY shard) AS k ON k.shard = m.shard
+  UNION ALL
+  SELECT x.turn, list_transform(range(16), lambda s: u.used[s + 1] + list_sum(list_prepend(0, list_transform(list_filter(f.parts, lambda p: p.shard = s), lambda p: p.until - p.first)))), u.room, f.parts
+  FROM u JOIN x ON x.turn = u.turn + 1 JOIN q ON q.turn = x.turn
+  CROSS JOIN LATERAL (
+    SELECT list_transform(range(1, len(q.ring) + 1), lambda i: u.room[q.ring[i] + 1] - u.used[q.ring[i] + 1]) AS free) AS g
+  CROSS JOIN LATERAL (
+    SELECT list_transform(range(1, len(q.ring) + 1), lambda i: {'shard': q.ring[i],
+      'first': x.home + least(x.n, list_sum(list_prepend(0, g.free[1:i - 1]))), 'until': x.home + least(x.n, list_sum(g.free[1:i])), 'base': u.used[q.ring[i] + 1]}) AS parts) AS f),
+p AS (
+  SELECT cell, CAST(shard AS BIGINT) AS shard, CAST(0 AS BIGINT) AS first, CAST(home AS BIGINT) AS until, CAST(before AS BIGINT) AS base FROM h WHERE home > 0
+  UNION ALL SELECT x.cell, t.part.shard, t.part.first, t.part.until, t.part.base FROM u JOIN x ON x.turn = u.turn CROSS JOIN LATERAL (SELECT unnest(u.parts) AS part) AS t WHERE t.part.until > t.part.first)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p.shard AS INTEGER) AS shard, CAST(base + i - first AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN p ON p.cell = r.cell AND i >= first AND i < until
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -170,18 +211,25 @@ l AS (
 m AS (
   SELECT d.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE base_failed) AS DOUBLE) AS f FROM b GROUP BY host),
-t AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS k FROM h),
+b AS (
+  SELECT *, n_words < 10 AS too_short, 100 * n_repeat_words > 20 * n_words AS repeats_words,
+    100 * n_dup_lines > 30 * n_lines AS repeats_lines, 100 * n_symbols > 10 * word_chars AS symbols FROM m),
+a AS (SELECT host, unnest(['too_short', 'repeats_words', 'repeats_lines', 'symbols']) AS rule,
+  unnest([1, 2, 3, 4]) AS place, unnest([too_short, repeats_words, repeats_lines, symbols]) AS failed FROM b),
+h AS (SELECT host, rule, place, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS f FROM a GROUP BY host, rule, place),
+t AS (SELECT rule, sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS k FROM h GROUP BY rule),
 e AS (
-  SELECT any_value(t.mean) AS mean, any_value(t.mean * (1 - t.mean)) AS noise,
+  SELECT h.rule, any_value(t.mean) AS mean, any_value(t.mean * (1 - t.mean)) AS noise,
     sum(h.n * power(h.f / h.n - t.mean, 2)) / any_value(t.n) - any_value(t.mean * (1 - t.mean) * t.k / t.n) AS extra
-  FROM h CROSS JOIN t),
-s AS (SELECT mean, CASE WHEN extra > 0 THEN least(greatest(noise / extra - 1, 2.0), 10000.0) ELSE 10000.0 END AS strength FROM e),
-r AS (SELECT host, (f + mean * strength) / (n + strength) > 0.6 AS host_rejected FROM h CROSS JOIN s)
-SELECT b.*, host_rejected, NOT base_failed AND NOT host_rejected AS kept FROM b JOIN r ON r.host = b.host
+  FROM h JOIN t ON t.rule = h.rule GROUP BY h.rule),
+s AS (SELECT rule, mean, noise, CASE WHEN extra > 0 THEN least(greatest(noise / extra - 1, 2.0), 10000.0) ELSE 10000.0 END AS strength FROM e),
+r AS (
+  SELECT host, arg_min(h.rule, place) AS host_rule FROM h JOIN s ON s.rule = h.rule
+  WHERE (f + mean * strength) / (n + strength) > least(greatest(mean + 2 * sqrt(noise / (strength + 1)), 0.5), 0.8) GROUP BY host)
+SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, too_short OR repeats_words AS base_failed, host_rule,
+  NOT (too_short OR repeats_words) AND host_rule IS NULL AS kept FROM b LEFT JOIN r ON r.host = b.host
 """
 
 OP9_SQL = r"""
@@ -221,6 +269,7 @@ FROM c GROUP BY conv_id
 
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
+    "op3_sharding": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op7_exact_top_k": OP7_SQL,
     "op9_mixing": OP9_SQL,
