@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import meet_groups, quantiles
 from ..functions.types import is_categorical, is_numeric, require_categorical, require_numeric
+from ..sources.shared import shared_dir
 
 
 def _complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -84,8 +85,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048) -> DataFrame:
-    """``x, density``: a Gaussian kernel estimate with Scott's bandwidth on a grid three bandwidths beyond the values.
+def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048, cut: float = 3.0) -> DataFrame:
+    """``x, density``: a Gaussian kernel estimate with Scott's bandwidth on a grid ``cut`` bandwidths beyond the values.
 
     Values are first counted in ``cells`` cells of equal width, so that no more than ``points`` times ``cells``
     kernels are added up. A constant column has no estimate.
@@ -100,7 +101,7 @@ def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048) ->
     binned = rows.crossJoin(F.broadcast(one)).groupBy(
         "n", "low", "high", "h", cell.alias("cell")
     ).agg(F.count(F.lit(1)).alias("c"))
-    start, length = F.col("low") - 3 * F.col("h"), F.col("high") - F.col("low") + 6 * F.col("h")
+    start, length = F.col("low") - cut * F.col("h"), F.col("high") - F.col("low") + 2 * cut * F.col("h")
     grid = binned.select(
         "n",
         "h",
@@ -117,6 +118,14 @@ def density(df: DataFrame, column: str, points: int = 200, cells: int = 2048) ->
     return grid.groupBy("i").agg(F.max(x).alias("x"), F.sum(kernel).alias("density")).drop("i")
 
 
+def histogram_curve(df: DataFrame, column: str, points: int = 200) -> DataFrame:
+    """``x, count``: the density that goes with a histogram, from the lowest value to the highest, in counts of its bins."""
+    bins = histogram_bins(df, column).select(F.col("n").cast("double") * F.col("width"))
+    return density(df, column, points, cut=0.0).crossJoin(F.broadcast(bins.toDF("area"))).select(
+        "x", (F.col("density") * F.col("area")).alias("count")
+    )
+
+
 def points(df: DataFrame, columns: Sequence[str], fraction: float | None = None, seed: int = 0) -> DataFrame:
     """The points of a scatter or bubble chart. ``fraction`` samples them, for tables of more than can be drawn."""
     rows = _complete(df, columns)
@@ -136,7 +145,8 @@ def boxes(df: DataFrame, category: str, number: str) -> DataFrame:
     )
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= F.col("q1") - spread) & (F.col("x") <= F.col("q3") + spread)
-    seen = rows.join(box, "category")
+    shared_dir(df.sparkSession)
+    seen = meet_groups(rows, box.checkpoint(), ["category"])
     return seen.groupBy("category", "q1", "median", "q3").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),

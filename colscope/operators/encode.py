@@ -21,6 +21,11 @@ class Encoding(str, Enum):
     FREQUENCY = "frequency"
     ONE_HOT = "one_hot"
 
+    @classmethod
+    def _missing_(cls, value: object) -> Encoding | None:
+        """Names may end in ``_encoding``."""
+        return next((k for k in cls if value == f"{k.value}_encoding"), None)
+
 
 class TooManyValues(ValueError):
     """One column for each value would be too many columns."""
@@ -48,14 +53,9 @@ def encode_frequency(df: DataFrame, column: str) -> DataFrame:
     return _looked_up(df, column, shares, F.col("__count") / F.col("__n"))
 
 
-def _numbered(values: DataFrame, order: str, large: bool) -> DataFrame:
-    """``value, __code``: places from 0 in ``order``, which has no ties. The table has one row a category, not one a row.
-
-    Categories are numbered in one task, unless they are ``large``: then they are dealt by range, written, numbered
-    within each range, and ranges are offset by what lies before them.
-    """
-    if not large:
-        return values.select("value", (F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("__code"))
+def _numbered(values: DataFrame, order: str) -> DataFrame:
+    """``value, __code``: places from 0 in ``order``, which has no ties. Values are dealt by range, written, and numbered
+    within each range; ranges, of which there are as many as tasks, are offset by what lies before them."""
     shared_dir(values.sparkSession)
     ranged = values.repartitionByRange(order).withColumn("__range", F.spark_partition_id()).checkpoint()
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
@@ -67,25 +67,20 @@ def _numbered(values: DataFrame, order: str, large: bool) -> DataFrame:
     )
 
 
-def encode_label(df: DataFrame, column: str, order_key: str, large: bool = False) -> DataFrame:
-    """Codes from 0 in order of first appearance by ``order_key``; null stays null. ``large``: for more categories
-    than one task should number."""
+def encode_label(df: DataFrame, column: str, order_key: str) -> DataFrame:
+    """Codes (bigint) from 0 in order of first appearance by ``order_key``; null stays null."""
     require_categorical(df, column)
     require_column(df, order_key)
     known = df.filter(F.col(column).isNotNull())
     first = known.groupBy(F.col(column).alias("value")).agg(F.min(order_key).alias("__first"))
-    return _looked_up(
-        df, column, _numbered(first, "__first", large), F.col("__code").cast("int" if not large else "long")
-    )
+    return _looked_up(df, column, _numbered(first, "__first"), F.col("__code"))
 
 
-def encode_ordinal(df: DataFrame, column: str, large: bool = False) -> DataFrame:
-    """Ranks from 0 among the distinct values in order; null stays null. ``large``: as for labels."""
+def encode_ordinal(df: DataFrame, column: str) -> DataFrame:
+    """Ranks (bigint) from 0 among the distinct values in order; null stays null."""
     require_categorical(df, column)
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return _looked_up(
-        df, column, _numbered(values, "value", large), F.col("__code").cast("int" if not large else "long")
-    )
+    return _looked_up(df, column, _numbered(values, "value"), F.col("__code"))
 
 
 def encode_one_hot(df: DataFrame, column: str, values: list[str | None] | None = None, most: int = 1000) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import one_row, quantiles, sketch_columns
 from ..functions.types import require_categorical, require_numeric
 
 #: Absolute skewness below which a column counts as symmetric.
@@ -19,30 +20,44 @@ def skew_class(skewness: Column) -> Column:
     ).when(skewness > 0, "right-skewed").otherwise("left-skewed")
 
 
-def moments(df: DataFrame, column: str) -> DataFrame:
-    """One row: ``count, null_count, mean, min, max, range, variance, std, skewness``. Variance and deviation are the
-    sample's, skewness is the population's; all are null where undefined."""
+def _moment_columns(df: DataFrame, column: str) -> list[Column]:
     c = F.col(require_numeric(df, column))
     x = c.cast("double")
-    one = df.agg(
+    return [
         F.count(c).alias("count"),
         F.count_if(c.isNull()).alias("null_count"),
         F.mean(x).alias("mean"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
+        F.min(c).alias("min"),
+        F.max(c).alias("max"),
         F.var_samp(x).alias("variance"),
         F.stddev_samp(x).alias("std"),
         F.skewness(x).alias("skewness"),
-    )
-    return one.withColumn("range", F.col("max") - F.col("min"))
+    ]
+
+
+def _with_range(df: DataFrame, one: DataFrame, column: str) -> DataFrame:
+    whole = not isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+    high, low = (F.col(c).cast("bigint") if whole else F.col(c) for c in ("max", "min"))
+    return one.withColumn("range", F.try_subtract(high, low))
+
+
+def moments(df: DataFrame, column: str) -> DataFrame:
+    """One row: ``count, null_count, mean, min, max, variance, std, skewness, range``. Variance and deviation are the
+    sample's, skewness is the population's; all are null where undefined. Extremes are of the column's type; the range of
+    whole numbers is a bigint, null if it is none."""
+    return _with_range(df, df.agg(*_moment_columns(df, column)), column)
 
 
-def quartiles(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
+def _quartile_ranks(interpolation: str) -> list[tuple[str, float, str]]:
+    return [("q1", 0.25, interpolation), ("median", 0.5, "linear"), ("q3", 0.75, interpolation)]
+
+
+def quartiles(
+    df: DataFrame, column: str, interpolation: str = "nearest", sketch: DataFrame | None = None
+) -> DataFrame:
     """One row: ``q1, median, q3, iqr, lower_bound, upper_bound``. The median always interpolates."""
     require_numeric(df, column)
-    found = quantiles(
-        df, column, [("q1", 0.25, interpolation), ("median", 0.5, "linear"), ("q3", 0.75, interpolation)]
-    )
+    found = quantiles(df, column, _quartile_ranks(interpolation), sketch=sketch)
     spread = F.col("q3") - F.col("q1")
     return found.withColumns(
         {"iqr": spread, "lower_bound": F.col("q1") - 1.5 * spread, "upper_bound": F.col("q3") + 1.5 * spread}
@@ -50,26 +65,29 @@ def quartiles(df: DataFrame, column: str, interpolation: str = "nearest") -> Dat
 
 
 def outliers(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
-    """The rows strictly outside the bounds."""
-    bounds = quartiles(df, column, interpolation).select(
-        F.col("lower_bound").alias("__low"), F.col("upper_bound").alias("__high")
-    )
+    """The rows strictly outside the bounds, which are found when this is called."""
+    found = quartiles(df, column, interpolation).first()
     x = F.col(column).cast("double")
-    return df.crossJoin(F.broadcast(bounds)).filter(
-        (x < F.col("__low")) | (x > F.col("__high"))
-    ).drop("__low", "__high")
+    return df.filter((x < F.lit(found["lower_bound"])) | (x > F.lit(found["upper_bound"])))
 
 
 def univariate_numeric(df: DataFrame, column: str, interpolation: str = "nearest") -> DataFrame:
-    """One row: all of ``moments`` and ``quartiles``, ``outlier_count`` and ``skew_class``."""
-    bounds = quartiles(df, column, interpolation)
-    x = F.col(column).cast("double")
+    """One row: all of ``moments`` and ``quartiles``, ``outlier_count`` and ``skew_class``.
+
+    The column is read three times: for moments and sketch, for the quartiles, and for what lies outside their bounds.
+    The first two results, a row each, are read by the driver when this is called.
+    """
+    x = F.col(require_numeric(df, column)).cast("double")
+    sketched = df.agg(*_moment_columns(df, column), *sketch_columns(x, _quartile_ranks(interpolation)))
+    known = one_row(sketched, sketched.first())
+    bounds = quartiles(df, column, interpolation, known.select("n", "b"))
+    bounds = one_row(bounds, bounds.first())
     outside = df.select(x.alias("__x")).crossJoin(F.broadcast(bounds)).agg(
         F.count_if(
             (F.col("__x") < F.col("lower_bound")) | (F.col("__x") > F.col("upper_bound"))
         ).alias("outlier_count")
     )
-    whole = moments(df, column).crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(outside))
+    whole = _with_range(df, known.drop("n", "b"), column).crossJoin(bounds).crossJoin(outside)
     return whole.withColumn("skew_class", skew_class(F.col("skewness")))
 
 

@@ -67,7 +67,7 @@ class EngineeringAction(Action):
 
     def __post_init__(self) -> None:
         super().__post_init__()
-        kinds = {k.value: k for k in (*Encoding, *Binning)}
+        kinds = {k.value: k for k in (*Encoding, *Binning)} | {f"{k.value}_encoding": k for k in Encoding}
         if self.action not in kinds:
             raise ValueError(f"unknown action {self.action!r}")
         object.__setattr__(self, "action", kinds[self.action])

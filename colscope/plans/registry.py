@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import types
 from ..operators import binning, charts, clean, encode, impact, report, univariate
 from ..operators.profile import profile, profile_wide
-from ..sources.files import extract_columns, scan, schema_table, sink
+from ..sources.files import SHEET, extract_columns, scan, schema_table, sink
 from ..sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,34 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, written_json(spark, sf_dir), "json", "r_regionkey int, r_name string")
 
 
+def written_workbook(spark: SparkSession, sf_dir: str) -> str:
+    """A workbook of one sheet with the 25 nations: names as texts in the cells, keys as numbers."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+
+    def cell(v) -> str:
+        return f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+
+    lines = ["".join(map(cell, r)) for r in [["n_nationkey", "n_name", "n_regionkey"], *rows]]
+    data = "".join(f"<row>{line}</row>" for line in lines)
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{SHEET[1:-1]}"><sheetData>{data}</sheetData></worksheet>')
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'nation')}.xlsx")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(content.getvalue()))
+    out.close()
+    return path.toString()
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def scan_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark, written_workbook(spark, sf_dir), "xlsx")
+
+
 @query(
     "SELECT 'csv' AS format, CAST(count(*) AS BIGINT) AS n FROM nation UNION ALL SELECT 'json', CAST(count(*) AS BIGINT) FROM region UNION ALL SELECT 'parquet', CAST(count(*) AS BIGINT) FROM part"
 )
@@ -397,15 +425,17 @@ def chart_hist_whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(charts.histogram(table(spark, sf_dir, "part"), "p_size"))
 
 
-@query("""
+@query(f"""
 WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, stddev_samp(o_totalprice) * power(count(*), -0.2) AS h FROM orders),
 c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 2048)), 2047) AS cell, count(*) AS c FROM orders CROSS JOIN s GROUP BY 1),
 g AS (SELECT unnest(range(200)) AS i),
-x AS (SELECT i, lo - 3 * h + (hi - lo + 6 * h) * i / 199 AS x, n, h, lo, hi FROM g CROSS JOIN s)
-SELECT round(any_value(x), 4) AS x, round(1000000 * sum(c * exp(-power((x - (lo + (cell + 0.5) * ((hi - lo) / 2048))) / h, 2) / 2) / (n * h * sqrt(2 * pi()))), 6) AS density FROM x CROSS JOIN c GROUP BY i""")
+x AS (SELECT i, lo + (hi - lo) * i / 199 AS x, n, h, lo, hi FROM g CROSS JOIN s),
+w AS (SELECT count(*) AS bins FROM ({hist_sql("o_totalprice", "orders", "0")}) AS b)
+SELECT round(any_value(x), 4) AS x, round(any_value((hi - lo) / bins) * sum(c * exp(-power((x - (lo + (cell + 0.5) * ((hi - lo) / 2048))) / h, 2) / 2) / (h * sqrt(2 * pi()))), 6) AS count
+FROM x CROSS JOIN c CROSS JOIN w GROUP BY i""")
 def chart_kde(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = charts.density(table(spark, sf_dir, "orders"), "o_totalprice")
-    return found.select(F.round("x", 4).alias("x"), F.round(F.col("density") * 1000000, 6).alias("density"))
+    found = charts.histogram_curve(table(spark, sf_dir, "orders"), "o_totalprice")
+    return found.select(F.round("x", 4).alias("x"), F.round("count", 6).alias("count"))
 
 
 @query(f"SELECT CAST(user_id AS BIGINT) AS user_id, v FROM {EVENTS} AS e WHERE v IS NOT NULL AND user_id IS NOT NULL")
@@ -473,11 +503,11 @@ def frequency_sql(t: str) -> str:
 
 
 def label_sql(t: str) -> str:
-    return f"SELECT t.event_id, t.kind, CAST(c.code AS INTEGER) AS kind_encoded FROM {t} AS t LEFT JOIN (SELECT kind, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM {t} AS u WHERE kind IS NOT NULL GROUP BY kind) AS c ON c.kind = t.kind"
+    return f"SELECT t.event_id, t.kind, CAST(c.code AS BIGINT) AS kind_encoded FROM {t} AS t LEFT JOIN (SELECT kind, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM {t} AS u WHERE kind IS NOT NULL GROUP BY kind) AS c ON c.kind = t.kind"
 
 
 def ordinal_sql(t: str) -> str:
-    return f"SELECT event_id, kind, CAST(CASE WHEN kind IS NOT NULL THEN dense_rank() OVER (ORDER BY kind ASC NULLS LAST) - 1 END AS INTEGER) AS kind_encoded FROM {t} AS t"
+    return f"SELECT event_id, kind, CAST(CASE WHEN kind IS NOT NULL THEN dense_rank() OVER (ORDER BY kind ASC NULLS LAST) - 1 END AS BIGINT) AS kind_encoded FROM {t} AS t"
 
 
 query(frequency_sql(EVENTS), "enc_frequency")(_encoded("frequency"))
@@ -506,9 +536,12 @@ def enc_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(df, "o_orderstatus", "one_hot")
 
 
-@query("SELECT * FROM (VALUES ('label'), ('ordinal'), ('frequency'), ('one_hot')) AS t(kind)")
+@query(
+    "SELECT name || ending AS asked, name AS kind FROM (VALUES ('label'), ('ordinal'), ('frequency'), ('one_hot')) AS t(name) CROSS JOIN (VALUES (''), ('_encoding')) AS e(ending)"
+)
 def enc_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k.value,) for k in encode.Encoding], "kind string")
+    names = [f"{k.value}{ending}" for k in encode.Encoding for ending in ("", "_encoding")]
+    return spark.createDataFrame([(n, encode.Encoding(n).value) for n in names], "asked string, kind string")
 
 
 @query(f"SELECT count(*) AS rows, count(kind_encoded) AS encoded FROM ({label_sql(EVENTS)}) AS x")
@@ -718,18 +751,44 @@ def clean_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports
 
 
-@query("SELECT * FROM (VALUES ('First 20 rows, label', 22)) AS t(title, lines)")
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    """The lines of a report with their numbers, single spaces between cells."""
+    return spark.createDataFrame(
+        [(i, " ".join(line.split())) for i, line in enumerate(text.split("\n"))], "line int, text string"
+    )
+
+
+def report_sql(title: str, names: str, rows: str, cells: str) -> str:
+    return f"""SELECT CAST(0 AS INTEGER) AS line, '{title}' AS text UNION ALL SELECT 1, '{names}'
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY event_id) + 1 AS INTEGER), {cells} FROM ({rows}) AS r"""
+
+
+@query(
+    report_sql(
+        "First 20 rows, label",
+        "event_id kind kind_encoded",
+        label_sql(FIRST_20),
+        "event_id || ' ' || coalesce(kind, 'null') || ' ' || coalesce(CAST(kind_encoded AS VARCHAR), 'null')",
+    )
+)
 def enc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = encode.encode(events(spark, sf_dir), "kind", "label", "event_id", "preview")
-    text = report.preview_report(first, "First 20 rows, label").split("\n")
-    return spark.createDataFrame([(text[0], len(text))], "title string, lines int")
+    rows = events(spark, sf_dir).select("event_id", "kind")
+    first = encode.encode(rows, "kind", "label", "event_id", "preview").orderBy("event_id")
+    return _lines(spark, report.preview_report(first, "First 20 rows, label"))
 
 
-@query("SELECT * FROM (VALUES ('First 20 rows, standardize', 22)) AS t(title, lines)")
+@query(
+    report_sql(
+        "First 20 rows, standardize",
+        "event_id v v_std",
+        f"SELECT event_id, v, (v - (SELECT avg(v) FROM {PREVIEW_STD} AS a)) / (SELECT stddev_samp(v) FROM {PREVIEW_STD} AS b) AS v_std FROM {PREVIEW_STD} AS f",
+        "event_id || ' ' || coalesce(printf('%.4f', v), 'null') || ' ' || coalesce(printf('%.4f', v_std), 'null')",
+    )
+)
 def bin_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = binning.transform(events(spark, sf_dir), "v", "standardize", order_key="event_id", scope="preview")
-    text = report.preview_report(first, "First 20 rows, standardize").split("\n")
-    return spark.createDataFrame([(text[0], len(text))], "title string, lines int")
+    rows = events(spark, sf_dir).select("event_id", "v")
+    first = binning.transform(rows, "v", "standardize", order_key="event_id", scope="preview").orderBy("event_id")
+    return _lines(spark, report.preview_report(first, "First 20 rows, standardize"))
 
 
 # Impact

@@ -20,8 +20,8 @@ def running_numeric(stream: DataFrame, column: str) -> DataFrame:
         F.count(c).alias("count"),
         F.count_if(c.isNull()).alias("null_count"),
         F.mean(x).alias("mean"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
+        F.min(c).alias("min"),
+        F.max(c).alias("max"),
         F.stddev_samp(x).alias("std"),
     )
 

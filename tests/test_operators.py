@@ -114,10 +114,39 @@ def test_many_categories(spark):
     df = spark.range(5000).select(
         (F.col("id") * 7919 % 5003).alias("i"), F.concat(F.lit("v"), F.col("id") % 1500).alias("k")
     )
-    for encoded in (encode.encode_ordinal, lambda d, c, **o: encode.encode_label(d, c, "i", **o)):
-        small, large = (encoded(df, "k", large=size).orderBy("i", "k").collect() for size in (False, True))
-        assert [tuple(r) for r in small] == [tuple(r) for r in large]
-        assert {r.k_encoded for r in large} == set(range(1500))
+    values = [(r.i, r.k) for r in df.collect()]
+    first = {}
+    for i, k in sorted(values):
+        first.setdefault(k, len(first))
+    order = {k: n for n, k in enumerate(sorted(first))}
+    for kind, codes in (("label_encoding", first), ("ordinal_encoding", order)):
+        found = encode.encode(df, "k", kind, "i")
+        assert found.dtypes[-1] == ("k_encoded", "bigint")
+        assert {(r.i, r.k_encoded) for r in found.collect()} == {(i, codes[k]) for i, k in values}
+
+
+def test_whole_numbers_stay_whole(spark):
+    big = 2**53
+    s = univariate.univariate_numeric(spark.createDataFrame([(big + 1,), (big + 3,), (None,)], "x long"), "x").first()
+    assert (s["min"], s["max"], s["range"]) == (big + 1, big + 3, 2)
+    widest = spark.createDataFrame([(-(2**63),), (2**63 - 1,)], "x long")
+    assert univariate.moments(widest, "x").first()["range"] is None
+
+
+def test_reports_say_what_they_leave_out(spark):
+    df = spark.range(30).selectExpr("concat('v', id) AS s")
+    text = report.categorical_report(df, "s", rows=10)
+    assert "and 20 more" in text and "20 more values are left out" in text and "left out" not in report.categorical_report(df, "s")
+    assert len(report.categorical_report(df, "s").split("\n")) == 2 + 31 + 1
+
+
+def test_hot_groups_meet_in_parts(spark, monkeypatch):
+    from colscope.functions import quantiles as q
+
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    plain = sorted(map(tuple, quantiles(rows, "x", [("m", 0.5, "linear")], ["g"]).collect()), key=repr)
+    monkeypatch.setattr(q, "GROUPS", 0)
+    assert sorted(map(tuple, quantiles(rows, "x", [("m", 0.5, "linear")], ["g"]).collect()), key=repr) == plain
 
 
 def test_bins(doubles):
@@ -252,7 +281,25 @@ def test_quantiles_of_extremes(spark):
         assert [repr(v) for v in got] == [repr(ordered[int((len(xs) - 1) * i / 4 + 0.5)]) for i in range(5)]
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_plans_stay_in_the_engine(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    plan = univariate.quartiles(df, "l_extendedprice")._jdf.queryExecution().executedPlan().toString()
+    plan = final_plan(univariate.quartiles(df, "l_extendedprice"))
     assert "Python" not in plan and "ReadSchema: struct<l_extendedprice:double>" in plan
+    assert plan.count("FileScan") == 1  # and one for the sketch before it
+    assert final_plan(univariate.univariate_numeric(df, "l_extendedprice")).count("FileScan") == 1
+    box = final_plan(charts.boxes(df, "l_returnflag", "l_extendedprice"))
+    assert box.count("FileScan") == 1 and "BroadcastHashJoin" in box
+
+
+def test_curve_of_a_histogram(spark):
+    df = spark.range(2000).select((F.col("id") * 7 % 501).cast("double").alias("x"))
+    curve = charts.histogram_curve(df, "x").orderBy("x").collect()
+    bins = charts.histogram(df, "x").collect()
+    assert (curve[0].x, curve[-1].x) == (0.0, 500.0)
+    inner = [r["count"] for r in curve if 100 < r.x < 400]
+    assert sum(inner) / len(inner) == pytest.approx(2000 / len(bins), rel=0.05)
