@@ -126,6 +126,16 @@ SELECT page_id, host, path, rule,
 FROM r
 """
 
+#: For pages whose article is one element `article` with nothing in it to leave out, as the given ones are.
+OP2_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(replace(replace(t, '<b>', ''), '</b>', ''), '(?s)<[^>]*(>|$)', ' ', 'g') AS t FROM a),
+c AS (
+  SELECT page_id, url, replace(replace(replace(replace(replace(t, '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE
 z AS (SELECT i AS n, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS t(i)
@@ -269,6 +279,7 @@ FROM c GROUP BY conv_id
 
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
+    "op2_html_extraction": OP2_SQL,
     "op3_sharding": OP3_SQL,
     "op5_substring_dedup": OP5_SQL,
     "op7_exact_top_k": OP7_SQL,
