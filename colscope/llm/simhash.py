@@ -42,7 +42,7 @@ HAMMING = 15
 #: Fingerprints from which thirds are too few bits, and the probability that tables find a pair of the least similarity.
 MANY, RECALL = 16_000_000, 0.95
 #: Pairs that are compared at once in memory, and copies that are sent to a place: at least, and at most.
-PAIRS, COPIES, MOST_COPIES = 1 << 20, 400_000, 3_200_000
+PAIRS, COPIES, MOST_COPIES = 1 << 18, 400_000, 3_200_000
 
 
 class Scheme(NamedTuple):
@@ -213,10 +213,10 @@ def linked(
     group = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(anchor))
     if all_pairs:
-        begins, small = place + 1, sizes * sizes <= 8 * PAIRS
+        begins, small = place + 1, sizes * sizes <= 32 * PAIRS
         at = np.flatnonzero(small[group])
     else:
-        begins, small = bounds[group], sizes * np.add.reduceat(home.astype(np.int64), bounds[:-1]) <= 4 * PAIRS
+        begins, small = bounds[group], sizes * np.add.reduceat(home.astype(np.int64), bounds[:-1]) <= 16 * PAIRS
         at = np.flatnonzero(home & small[group])
     count = bounds[group + 1] - begins
     upto = np.cumsum(count[at])
