@@ -115,7 +115,8 @@ def quantiles(
     high = [F.col("b")[2 * i + 1] for i in numbers]
     # Each row counts once by how many lower ends are above it (as i = -1), and in every bracket that it is in.
     above = sum(((x < low[i]).cast("int") for i in numbers), F.lit(0))
-    places = F.array(F.lit(-1), *[F.when((x >= low[i]) & (x <= high[i]), F.lit(i)) for i in numbers])
+    inside = [F.when((x >= low[i]) & (x <= high[i]), F.lit(i)).otherwise(F.lit(-2)) for i in numbers]
+    places = F.array_remove(F.array(F.lit(-1), *inside), -2)  # in generated code, as a filter would not be
     low_i, high_i = F.col("b")[2 * F.col("i")], F.col("b")[2 * F.col("i") + 1]
     cell = (
         F.when(F.isnan("x"), F.lit(CELLS).cast("long"))
@@ -124,7 +125,7 @@ def quantiles(
     )
     slot = [*keys, "i", "cell"]
     counted = (
-        seen.select(*keys, "x", "b", above.alias("above"), F.explode(F.filter(places, lambda i: i.isNotNull())).alias("i"))
+        seen.select(*keys, "x", "b", above.alias("above"), F.explode(places).alias("i"))
         .groupBy(
             *keys,
             "i",
