@@ -50,15 +50,18 @@ def sketch_columns(value: Column, wanted: Sequence[tuple[str, float, str]]) -> l
     return [F.count(value).alias("n"), F.when(F.count(value) < SMALL, whole).otherwise(around).alias("b")]
 
 
-def one_row(df: DataFrame, found: Row) -> DataFrame:
-    """A row that the driver has read, as a table of constants."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+def constants(df: DataFrame, found: Row) -> dict[str, Column]:
+    """The columns of a row that the driver has read, as constants of their types."""
 
     def constant(v, kind: str) -> Column:
         return (F.array(*[F.lit(e) for e in v]) if isinstance(v, list) else F.lit(v)).cast(kind)
 
-    columns = [constant(v, kinds[c].simpleString()).alias(c) for c, v in found.asDict().items()]
-    return df.sparkSession.range(1).select(*columns)
+    return {name: constant(found[name], kind).alias(name) for name, kind in df.dtypes}
+
+
+def one_row(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """A table of one row of constants."""
+    return df.sparkSession.range(1).select(*columns.values())
 
 
 def meet_groups(rows: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -81,24 +84,26 @@ def quantiles(
     column: str,
     wanted: Sequence[tuple[str, float, str]],
     by: Sequence[str] = (),
-    sketch: DataFrame | None = None,
+    sketch: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One row a group with ``name`` for each ``(name, probability, rule)``; without ``by`` one row in all.
 
     Nulls take no part; a group without other values, and an empty table, have nulls. Values come as doubles; null
     is a group like any other. The first pass runs when this is called: without ``by`` its single row is read by the
-    driver (or given as ``sketch``, a table of that row), with it the table of groups is checkpointed.
+    driver (or given as ``sketch``, its constants ``n`` and ``b``), with it the table of groups is checkpointed.
     """
     value = F.col(column).cast("double")
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], value.alias("x"))
-    if sketch is None:
-        sketched = rows.groupBy(*keys).agg(*sketch_columns(F.col("x"), wanted))
-        if keys:
-            shared_dir(df.sparkSession)
-            sketch = sketched.checkpoint()
-        else:
-            sketch = one_row(sketched, sketched.first())
+    valued = rows.filter("x IS NOT NULL")
+    sketched = rows.groupBy(*keys).agg(*sketch_columns(F.col("x"), wanted))
+    if keys:
+        shared_dir(df.sparkSession)
+        sketch = sketched.checkpoint()
+        seen = meet_groups(valued, sketch, keys)
+    else:
+        known = constants(sketched, sketched.first()) if sketch is None else sketch
+        sketch, seen = one_row(df, known), valued.withColumns(known)
 
     def met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
         """A join in which null keys match, of single rows where there are no keys."""
@@ -108,8 +113,6 @@ def quantiles(
         same = reduce(and_, [left[k].eqNullSafe(renamed[f"{k}r"]) for k in on])
         return left.join(renamed, same, "left").drop(*[f"{k}r" for k in on])
 
-    valued = rows.filter("x IS NOT NULL")
-    seen = meet_groups(valued, sketch, keys) if keys else valued.crossJoin(F.broadcast(sketch))
     x, numbers = F.col("x"), range(len(wanted))
     low = [F.col("b")[2 * i] for i in numbers]
     high = [F.col("b")[2 * i + 1] for i in numbers]

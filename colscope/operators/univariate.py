@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import one_row, quantiles, sketch_columns
+from ..functions.quantiles import constants, one_row, quantiles, sketch_columns
 from ..functions.types import require_categorical, require_numeric
 
 #: Absolute skewness below which a column counts as symmetric.
@@ -53,7 +53,7 @@ def _quartile_ranks(interpolation: str) -> list[tuple[str, float, str]]:
 
 
 def quartiles(
-    df: DataFrame, column: str, interpolation: str = "nearest", sketch: DataFrame | None = None
+    df: DataFrame, column: str, interpolation: str = "nearest", sketch: dict[str, Column] | None = None
 ) -> DataFrame:
     """One row: ``q1, median, q3, iqr, lower_bound, upper_bound``. The median always interpolates."""
     require_numeric(df, column)
@@ -79,15 +79,16 @@ def univariate_numeric(df: DataFrame, column: str, interpolation: str = "nearest
     """
     x = F.col(require_numeric(df, column)).cast("double")
     sketched = df.agg(*_moment_columns(df, column), *sketch_columns(x, _quartile_ranks(interpolation)))
-    known = one_row(sketched, sketched.first())
-    bounds = quartiles(df, column, interpolation, known.select("n", "b"))
-    bounds = one_row(bounds, bounds.first())
+    known = constants(sketched, sketched.first())
+    sketch = {c: known.pop(c) for c in ("n", "b")}
+    bounds = quartiles(df, column, interpolation, sketch)
+    bounds = one_row(df, constants(bounds, bounds.first()))
     outside = df.select(x.alias("__x")).crossJoin(F.broadcast(bounds)).agg(
         F.count_if(
             (F.col("__x") < F.col("lower_bound")) | (F.col("__x") > F.col("upper_bound"))
         ).alias("outlier_count")
     )
-    whole = _with_range(df, known.drop("n", "b"), column).crossJoin(bounds).crossJoin(outside)
+    whole = _with_range(df, one_row(df, known), column).crossJoin(bounds).crossJoin(outside)
     return whole.withColumn("skew_class", skew_class(F.col("skewness")))
 
 
