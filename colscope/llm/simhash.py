@@ -13,9 +13,10 @@ Which tables there are depends on how many bits may differ and on how many finge
 - Four of 64 bits leave one of three thirds with a difference of one at most, so three tables find all links, comparing
   those at home with all. From ``MANY`` fingerprints on, where anchors of a third would be crowded, six tables have two
   of four quarters each; the best two differ in two bits at most, and all at an anchor are compared.
-- For a similarity of shingles (Jaccard) fingerprints have 128 bits, of which a share follows from the angle between
-  the shingle sets. Tables are cut from random orders of the bits, with more bits the more fingerprints there are, and
-  there are as many as find a pair of just that similarity with probability ``RECALL``.
+- For a similarity of shingles (Jaccard) fingerprints have 256 bits, of which a share follows from the angle between
+  the shingle sets. Half a deviation more than that may differ. Tables are cut from random orders of the bits, with more
+  bits the more fingerprints there are, and there are as many as find a pair that differs in as many bits as may with
+  probability ``RECALL``.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ from .vector_text import U64, mixed, read_words, slices, xxh64
 #: Words in a shingle and bits that may differ, where no similarity is given.
 SHINGLE, DISTANCE = 4, 4
 HAMMING = 15
-#: Fingerprints from which thirds are too few bits, and the probability that tables find a pair of the least similarity.
+#: 64-bit words of a fingerprint that tells a similarity, and how many deviations above the average may differ.
+WIDE, MARGIN = 4, 0.5
+#: Fingerprints from which thirds are too few bits, and the probability that tables find a pair that is at the limit.
 MANY, RECALL = 16_000_000, 0.95
-#: Pairs that are compared at once in memory, and copies that are sent to a place: at least, and at most.
-PAIRS, COPIES, MOST_COPIES = 1 << 18, 400_000, 3_200_000
+#: Pairs that are compared, and copies that are made, at once in memory; copies sent to a place: at least, and at most.
+PAIRS, MADE, COPIES, MOST_COPIES = 1 << 18, 1 << 19, 400_000, 3_200_000
 
 
 class Scheme(NamedTuple):
@@ -64,17 +67,21 @@ def by_distance(n: int) -> Scheme:
 
 
 def by_similarity(n: int, similarity: float) -> Scheme:
-    """Finds links of ``n`` fingerprints of 128 bits that differ in no more than sets of this similarity do on average."""
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """Finds links of ``n`` fingerprints of ``WIDE`` words that differ in no more bits than sets of this similarity do on
+    average, and ``MARGIN`` deviations."""
+    width = 64 * WIDE
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(width * share + MARGIN * math.sqrt(width * share * (1 - share)))
+    differ = most / width
     bits = min(max(math.ceil(math.log2(max(n, 1))) + 1, 18), 32)
     found = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(3))
     rng, tables = random.Random(0), []
     while 1 - (1 - found) ** len(tables) < RECALL:
-        order = rng.sample(range(128), 128)
-        tables += [tuple(order[a : a + bits]) for a in range(0, 128 - bits + 1, bits)]
+        order = rng.sample(range(width), width)
+        tables += [tuple(order[a : a + bits]) for a in range(0, width - bits + 1, bits)]
     while 1 - (1 - found) ** (len(tables) - 1) >= RECALL:
         tables.pop()
-    return Scheme(2, int(128 * differ), tuple(tables), True)
+    return Scheme(WIDE, most, tuple(tables), True)
 
 
 def fingerprints(texts: list[str | None], k: int = SHINGLE, words: int = 1) -> np.ndarray:
@@ -257,32 +264,31 @@ def link_edges(unique: DataFrame, n_unique: int, scheme: Scheme) -> DataFrame:
     buckets = -(-places // tables)
     kind = np.dtype([("a", "<u4"), ("f", "<u8", (scheme.words,)), ("h", "?")])
 
+    at_once = max(1, MADE // max(1, copies // max(1, n_unique)))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            if scheme.words == 1:
-                fp = b.column(0).to_numpy().view(U64)[:, None]
-            else:
-                fp = np.frombuffer(b"".join(b.column(1).to_pylist()), U64).reshape(-1, scheme.words)
-            parts = []
-            for i, table in enumerate(scheme.tables):
-                for anchor, which, is_home in anchors(fp, table):
-                    rows = np.empty(len(which), kind)
-                    rows["a"], rows["f"], rows["h"] = anchor, fp[which], is_home
-                    bucket = mixed(anchor.astype(U64) + U64(i << 32), 1) % U64(buckets)
-                    parts.append((bucket.astype(np.int64) * tables + i, rows))
-            place, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(place, kind="stable")
-            place, rows = place[order], rows[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(place[cuts[:-1]]),
-                    pa.array([rows[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                ],
-                names=["place", "sent"],
-            )
+        for batch in batches:
+            for a in range(0, len(batch), at_once):
+                yield packed(batch.slice(a, at_once))
+
+    def packed(b: pa.RecordBatch) -> pa.RecordBatch:
+        if scheme.words == 1:
+            fp = b.column(0).to_numpy().view(U64)[:, None]
+        else:
+            fp = np.frombuffer(b"".join(b.column(1).to_pylist()), U64).reshape(-1, scheme.words)
+        parts = []
+        for i, table in enumerate(scheme.tables):
+            for anchor, which, is_home in anchors(fp, table):
+                rows = np.empty(len(which), kind)
+                rows["a"], rows["f"], rows["h"] = anchor, fp[which], is_home
+                bucket = mixed(anchor.astype(U64) + U64(i << 32), 1) % U64(buckets)
+                parts.append((bucket.astype(np.int64) * tables + i, rows))
+        place, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(place, kind="stable")
+        place, rows = place[order], rows[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+        sent = [rows[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(place[cuts[:-1]]), pa.array(sent, pa.binary())], names=["place", "sent"])
 
     def compare(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("sent").to_pylist()), kind)
@@ -303,7 +309,7 @@ def _classes(
 ) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """``key, fp`` of every row; ``fp, least, n, root`` of every fingerprint: its smallest key, its rows, and the root
     of its component, if it has links; ``root, component`` of those: the smallest key; and how many rows there are."""
-    rows = written(fingerprint_table(df, key, text, shingle, 1 if similarity is None else 2))
+    rows = written(fingerprint_table(df, key, text, shingle, 1 if similarity is None else WIDE))
     unique = written(
         rows.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.min("bits").alias("bits"))
     )
@@ -325,7 +331,7 @@ def simhash_components(
     """``key, fp, component``: the number of every row's fingerprint and the smallest key its component has.
 
     Without ``similarity`` fingerprints have 64 bits and link at ``DISTANCE``, and no link is missed; with it, they have
-    128 bits and link where these say that the shingle sets are as similar or more, which errs by chance.
+    256 bits and link where these say that the shingle sets are as similar or more, which errs by chance.
 
     Texts that are null or have no words have fingerprint 0 and link like others; texts of any length are read whole.
     Rows with a null key link too; a component of such rows alone has a null ``component``. Repeated rows stay. Nothing

@@ -489,10 +489,10 @@ def test_anchors_find_all_links(monkeypatch, pairs, n):
 def test_tables_for_a_similarity(n):
     scheme = simhash.by_similarity(n, 0.8)
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 2**64, (400, 2), dtype=np.uint64)
+    a = rng.integers(0, 2**64, (400, scheme.words), dtype=np.uint64)
     b = a.copy()
     for i in range(400):
-        for bit in rng.permutation(128)[: scheme.most]:
+        for bit in rng.permutation(64 * scheme.words)[: scheme.most]:
             b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     links = {(min(x), max(x)) for x in links_of(np.concatenate([a, b]), scheme)}
     pairs = {

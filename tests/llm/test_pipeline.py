@@ -72,9 +72,9 @@ def test_sharding_of_hot_keys(spark, tmp_path, monkeypatch):
 
 
 def similar_brute(texts):
-    """Which of the texts stays for each: those whose fingerprints of 128 bits are close enough are linked."""
-    fp = simhash.fingerprints(list(texts.values()), corpus_pipeline.SHINGLE, 2)
-    most = simhash.by_similarity(len(texts), corpus_pipeline.SIMILARITY).most
+    """Which of the texts stays for each: those whose fingerprints of 256 bits are close enough are linked."""
+    scheme = simhash.by_similarity(len(texts), corpus_pipeline.SIMILARITY)
+    fp, most = simhash.fingerprints(list(texts.values()), corpus_pipeline.SHINGLE, scheme.words), scheme.most
     close = np.bitwise_count(fp[:, None, :] ^ fp[None, :, :]).sum(axis=2) <= most
     keys = list(texts)
     return component_brute([(keys[i], keys[j]) for i, j in np.argwhere(close) if i < j], keys)
