@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of five-word shingles have a similarity of 0.8 or more, as fingerprints of 128 bits tell
+    """Of documents whose sets of five-word shingles have a similarity of 0.8 or more, as fingerprints of 256 bits tell
     it, and of those linked through others, the one with the smallest id stays: null ids come last, ties are broken by
     the whole row, and of equal rows one stays. Texts that are null or have no words are alike. An empty table stays
     empty."""
